@@ -36,7 +36,7 @@ _UP, _DOWN = _powers(_STEP), _powers(_INVERSE)
 
 #: What separates words; what ends a sentence (its white space belongs to neither side).
 NOT_WORD = r"[^\p{L}\p{M}\p{N}\x01]+"
-SENTENCE_END = r"[.!?]+[ \t\r]+|[ \t\r]*\n\s*"
+SENTENCE_END = r"[.!?]+[ \t\r\n]+|[。！？]+[ \t\r\n]*|[ \t\r]*\n[ \t\r\n]*"
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import cdc, chat, gif, langid, sharding, toxicity
+from arbora.llm import cdc, chat, gif, langid, mixing, nearedup, sharding, spans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _fold(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(True))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.dedup_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), "removed_sentences")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -24,6 +29,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(given.unionByName(more)))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -38,6 +47,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.probe_edits(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.schedule(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__place").alias("place"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), _fold(4, 2)
     return langid.identify(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
@@ -48,10 +62,13 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_gif_media": op9_gif_media,
 }
@@ -73,5 +90,27 @@ fill(step, owner, claimed) AS (
 placed AS (SELECT claimed AS slot, shard FROM fill JOIN names ON k = (step - 1) % {_N} WHERE step > 0)
 SELECT doc_id, CAST(slot AS INTEGER) AS slot, shard FROM documents
 JOIN placed ON slot = CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '\\N')), 1, 8) AS BIGINT) % {_M}
+""",
+    "op7_mixing": f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, source, CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 7) AS BIGINT) AS h FROM documents),
+placed AS (SELECT doc_id, source, ROW_NUMBER() OVER (PARTITION BY source ORDER BY h % {mixing.BUCKETS}, h, doc_id) - 1 AS nth FROM hashed),
+sources AS (SELECT source, CASE {" ".join(f"WHEN source = '{s}' THEN {w}" for s, w in mixing.TARGETS.items())} ELSE {mixing.DEFAULT_WEIGHT} END AS weight,
+    CAST(CEIL(COUNT(*) / {mixing.BLOCK_SIZE}.0) AS BIGINT) AS blocks FROM documents GROUP BY source),
+lists AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(weight ORDER BY source NULLS FIRST) AS w,
+    list(blocks ORDER BY source NULLS FIRST) AS n, range(1, COUNT(*) + 1) AS k FROM sources),
+run(slot, base, done, began, pick, block) AS (
+    SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), list_transform(k, lambda i: CAST(0 AS BIGINT)), list_transform(k, lambda i: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM lists
+    UNION ALL
+    SELECT slot + 1, CASE WHEN over THEN slot + 2 ELSE base END, after, CASE WHEN over THEN after ELSE began END, pick, block FROM (
+        SELECT *, after[pick] = n[pick] AS over FROM (
+            SELECT *, done[pick] AS block, list_transform(done, lambda d, i: CASE WHEN i = pick THEN d + 1 ELSE d END) AS after FROM (
+                SELECT *, CAST(list_min(list_transform(
+                    list_filter(k, lambda i: began[i] < n[i] AND ((done[i] - began[i]) * total) // w[i] <= slot + 1 - base),
+                    lambda i: (((done[i] - began[i] + 1) * total + w[i] - 1) // w[i]) * 100000 + i)) % 100000 AS BIGINT) AS pick FROM (
+                    SELECT slot, base, done, began, n, w, k, list_sum(list_transform(k, lambda i: CASE WHEN began[i] < n[i] THEN w[i] ELSE 0 END)) AS total
+                    FROM run, lists WHERE list_sum(done) < list_sum(n)))))),
+slots AS (SELECT s[pick] AS source, block, slot FROM run, lists WHERE slot >= 0)
+SELECT p.doc_id, p.source, t.block, t.slot, CAST(p.nth % {mixing.BLOCK_SIZE} AS INTEGER) AS place
+FROM placed p JOIN slots t ON p.source IS NOT DISTINCT FROM t.source AND p.nth // {mixing.BLOCK_SIZE} = t.block
 """,
 }
