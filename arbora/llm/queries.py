@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import cdc, chat, gif, langid, mixing, nearedup, sharding, spans, toxicity
+from arbora.llm import cdc, chat, gif, langid, mixing, nearedup, sharding, spans, toxicity, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -71,6 +75,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_gif_media": op9_gif_media,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _SHARDS = ", ".join(f"'{s}'" for s in sharding.SHARDS)
