@@ -119,12 +119,22 @@ def fit(docs: DataFrame, learn: Column | None = None, rows_per_language: int = R
     return LanguageModel(names, centroids, owner, idf, float(np.quantile(own, 0.01)) * REJECT_PART)
 
 
+_RESULTS = ("lang_pred", "score", "rejected")
+
+
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, then ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double, rejected boolean"
+    """Columns ``keep``, then ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``, which replace any of their names."""
+    stay = [k for k, c in enumerate(keep) if c not in _RESULTS]
+    out = _labelled(docs, model, keep)
+    return out.select(*[F.col(f"c{k}").alias(keep[k]) for k in stay], *[F.col(f"__{c}").alias(c) for c in _RESULTS])
+
+
+def _labelled(docs: DataFrame, model: LanguageModel, given: tuple[str, ...]) -> DataFrame:
+    """The given columns as c0, c1, ... and the results with two underscores before their names."""
+    keep = [f"c{k}" for k in range(len(given))]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*[F.col(c).alias(k) for c, k in zip(given, keep, strict=True)], F.col("text").alias("__text"))
+    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(given, keep, strict=True)) + ", __lang_pred string, __score double, __rejected boolean"
 
     def run(batches):
         m = shared.value
@@ -143,7 +153,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
                 score = np.where(letters, score, 0.0).astype(np.float64)
                 yield pa.record_batch(
                     [*(part.column(c) for c in keep), pa.array(names[lang], pa.string()), pa.array(score), pa.array(~letters | (score < m.threshold) | (lang == len(m.languages)))],
-                    names=[*keep, "lang_pred", "score", "rejected"],
+                    names=[*keep, "__lang_pred", "__score", "__rejected"],
                 )
 
     return arrow_map(kept, run, schema)
@@ -156,5 +166,6 @@ def identify(docs: DataFrame, learn: Column | None = None, rows_per_language: in
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with their own columns."""
-    keep = tuple(docs.columns)
-    return identify(docs, keep=keep).where(~F.col("rejected")).select(*keep)
+    given = tuple(docs.columns)
+    out = _labelled(docs, fit(docs), given).where("not __rejected")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(given)])
