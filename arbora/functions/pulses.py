@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def pulse_key(gps_time: str = "GpsTime", source: str = "PointSourceId", channel: Column | None = None) -> Column:
@@ -13,7 +14,7 @@ def pulse_key(gps_time: str = "GpsTime", source: str = "PointSourceId", channel:
     return F.struct(F.round(F.col(gps_time) * 1e8).cast("bigint").alias("time"), (F.col(source) * 64 + (F.lit(0) if channel is None else channel)).alias("device"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pulse_hash(time: pd.Series, device: pd.Series) -> pd.Series:
     """A uniform number in [0, 1) for each pulse: two rounds of the splitmix64 finaliser."""
     with np.errstate(over="ignore"):

@@ -94,7 +94,7 @@ class PointTable:
         if self.exists() and not overwrite:
             raise ValueError("the table exists")
         empty = self.spark.createDataFrame([], point_schema()).withColumn("tx", F.lit(0)).withColumn("ty", F.lit(0))
-        empty.write.mode("overwrite").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points")
+        empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points")
         self._append("manifest", [], _MANIFEST, "overwrite")
         self._append("meta", [(epsg,)], "epsg int", "overwrite")
         return self
@@ -174,7 +174,7 @@ class PointTable:
     def optimize(self) -> None:
         """Rewrites the points with one sorted stretch of files for each tile, then swaps the folders."""
         laid = self.points().repartitionByRange("Year", "tx", "ty").sortWithinPartitions("Year", "tx", "ty", z_order("X", "Y"))
-        laid.write.mode("overwrite").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points_new")
+        laid.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points_new")
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.rename(path(f"{self.path}/points"), path(f"{self.path}/points_old"))
@@ -212,7 +212,6 @@ class RasterStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
     _has, _append = PointTable._has, PointTable._append
 
@@ -244,7 +243,7 @@ class RasterStore:
     def write(self, raster: DataFrame, variable: str, resolution: float, year: int) -> None:
         """Replaces the slice of one variable, resolution and year by row, col, value."""
         rows = raster.select("row", "col", F.col("value").cast("float").alias("value"), F.lit(variable).alias("variable"), F.lit(float(resolution)).alias("resolution"), F.lit(year).alias("year"))
-        rows.write.mode("overwrite").partitionBy("variable", "resolution", "year").parquet(f"{self.path}/raster")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "resolution", "year").parquet(f"{self.path}/raster")
 
     def read(self, variable: str, resolution: float, year: int | None = None) -> DataFrame:
         keep = (F.col("variable") == variable) & (F.col("resolution") == float(resolution))
