@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import cdc, chat, gif, langid, mixing, nearedup, sharding, spans, toxicity, unigram
+from arbora.llm.arrowtext import SENTENCE_END
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,5 +118,31 @@ run(slot, base, done, began, pick, block) AS (
 slots AS (SELECT s[pick] AS source, block, slot FROM run, lists WHERE slot >= 0)
 SELECT p.doc_id, p.source, t.block, t.slot, CAST(p.nth % {mixing.BLOCK_SIZE} AS INTEGER) AS place
 FROM placed p JOIN slots t ON p.source IS NOT DISTINCT FROM t.source AND p.nth // {mixing.BLOCK_SIZE} = t.block
+""",
+    "op1_substring_dedup": rf"""
+WITH parts AS (SELECT doc_id, unnest(found) AS part, generate_subscripts(found, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:{SENTENCE_END}|\z)') AS found FROM documents WHERE text IS NOT NULL)),
+words AS (SELECT doc_id, i, part, regexp_extract_all(lower(part), '[\p{{L}}\p{{M}}\p{{N}}]+') AS ws FROM parts),
+said AS (SELECT doc_id, i, ws, len(ws) AS n, ROW_NUMBER() OVER w AS k, SUM(len(ws)) OVER w - len(ws) AS before FROM words WHERE len(ws) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT a.doc_id, a.k, CASE WHEN ANY_VALUE(a.n) >= {spans.LONG_SENTENCE} THEN a.k ELSE MIN(b.k) END AS last FROM said a
+    LEFT JOIN said b ON a.doc_id = b.doc_id AND b.k > a.k AND b.before + b.n - a.before >= {spans.MIN_WORDS} AND b.before - a.before < {spans.MIN_WORDS} + a.n GROUP BY a.doc_id, a.k),
+spans AS (SELECT r.doc_id, r.k, r.last, md5(string_agg(array_to_string(s.ws, ' '), ' ' ORDER BY s.k)) AS span FROM runs r
+    JOIN said s ON s.doc_id = r.doc_id AND s.k BETWEEN r.k AND r.last GROUP BY r.doc_id, r.k, r.last),
+later AS (SELECT doc_id, k, last FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY span ORDER BY doc_id, k) AS seen FROM spans) WHERE seen > 1),
+gone AS (SELECT DISTINCT s.doc_id, s.i FROM later l JOIN said s ON s.doc_id = l.doc_id AND s.k BETWEEN l.k AND l.last),
+kept AS (SELECT p.doc_id, COALESCE(string_agg(p.part, '' ORDER BY p.i) FILTER (g.i IS NULL), '') AS text, CAST(COUNT(g.i) AS INTEGER) AS removed_sentences
+    FROM parts p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN COALESCE(k.text, '') END AS text, length(CASE WHEN d.text IS NOT NULL THEN COALESCE(k.text, '') END) AS n_chars,
+    COALESCE(k.removed_sentences, 0) AS removed_sentences FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op2_chat_formatting": r"""
+WITH turns AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, replace(role, '\', '\\') AS r, replace(text, '\', '\\') AS t FROM turns),
+long AS (SELECT *, length(r) + length(t) + len(regexp_extract_all(r, '<s>|</s>|<\||\[INST\]|\[/INST\]')) + len(regexp_extract_all(t, '<s>|</s>|<\||\[INST\]|\[/INST\]')) AS chars FROM sized)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (SUM(chars) + 23 * COUNT(*) + 7)::BIGINT AS formatted_chars FROM long GROUP BY conv_id
 """,
 }
