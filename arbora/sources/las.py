@@ -1,7 +1,8 @@
 """LAS files (uncompressed, point formats 0-3 and 6-8) as point tables.
 
 Files come through Spark's ``binaryFile`` reader, so any store that Spark reads
-will do; one row, and so one task, holds one file. Compressed LAZ isn't read.
+will do; a task holds one file, or small ones of ``spark.sql.files.maxPartitionBytes``
+together. Compressed LAZ isn't read.
 """
 
 from __future__ import annotations
@@ -85,7 +86,6 @@ def read_las(spark: SparkSession, paths: str | list[str], year: int | None = Non
                     part = _points(data, at, min(chunk, head["n_points"] - at), head)
                     yield part.assign(file=path, Year=head["year"] if year is None else year)[["file", *names]]
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # whole files: one at a time
     schema = "file string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in point_schema().fields)
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
 
@@ -98,7 +98,6 @@ def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             heads = [read_header(d) | {"file": p} for p, d in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame(heads)[["file", "version", "n_points", "year", "epsg", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]]
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     schema = "file string, version string, n_points bigint, year int, epsg int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
 
