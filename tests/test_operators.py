@@ -1,6 +1,8 @@
 """Operators with analytic answers, and properties that must hold."""
 
+import functools
 import math
+import types
 
 import numpy as np
 import pandas as pd
@@ -298,3 +300,20 @@ def test_scene_truth(spark):
     grid = Grid.from_bbox(0.0, 0.0, 30.0, 30.0, 1.0)
     a, b = (scenes.scene(spark, grid, seed=5).orderBy("Pulse", "ReturnNumber").collect() for _ in range(2))
     assert a == b and all(abs(r["Z"] - r["ground"]) < 1e-9 for r in a if r["Classification"] == 2)
+
+
+def test_wrapped_model(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (3.0, 4.0)], "h95 double, cc double")
+    model = types.SimpleNamespace(predict=functools.partial(np.dot, b=np.array([2.0, 1.0])))
+    got = [r[0] for r in df.select(allometry.wrapped(spark, model, ("h95", "cc"))).collect()]
+    assert got == [4.0, None, 10.0]
+
+
+def test_draw_keeps_its_distance(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, "ab"[k % 2], float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 100, (200, 2)))]
+    out = scoring.draw(spark.createDataFrame(rows, "id int, s string, x double, y double"), "s", "id", 8, 15.0).collect()
+    for name in "ab":
+        p = np.array([(r["x"], r["y"]) for r in out if r["s"] == name])
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + np.eye(len(p)) * 99
+        assert len(p) == 8 and d.min() >= 15
