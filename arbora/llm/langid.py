@@ -1,7 +1,7 @@
 """Language identification by nearest centroids.
 
-A text becomes a vector of hashed byte trigrams of its lower-case letters and
-digits, weighted ``(1 + ln tf) * idf`` and scaled to length one. Each language
+A text becomes a vector of hashed byte trigrams of its lower-case letters,
+weighted ``(1 + ln tf) * idf`` and scaled to length one. Each language
 has several centroids, clustered by cosine from a sample of its labelled rows;
 a text gets the language of the centroid with the largest cosine. A text whose
 best cosine is below the learned threshold is rejected.
@@ -34,7 +34,7 @@ ROWS_PER_LANGUAGE = 256
 CENTROIDS = 3
 MAX_LANGUAGES = 512
 #: A text is rejected below this part of the cosine that 99 % of the sample exceed.
-REJECT_PART = 0.5
+REJECT_PART = 0.3
 UNKNOWN = "und"
 
 
@@ -50,6 +50,7 @@ class LanguageModel:
 def _counts(texts: pa.Array) -> np.ndarray:
     """A row of trigram counts for each text; blanks next to blanks don't count."""
     data, at = bytes_of(folded(texts))
+    data = np.where((data >= 48) & (data <= 57), np.uint8(32), data)  # digits are of no language
     rows = len(at) - 1
     out = np.zeros((rows, DIMENSIONS), np.float32)
     step = 64

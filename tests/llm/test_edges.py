@@ -144,3 +144,10 @@ def test_stages(spark, docs, none, stage):
     if stage is not corpus_pipeline.STAGES[-1][1]:
         assert out.columns == plain.columns
     assert stage(spark, plain.where("false"), "").count() == 0
+
+
+def test_a_text_of_no_learned_language_is_rejected(spark):
+    learned = spark.createDataFrame([(k, f"{PLAIN} number {k}", "en") for k in range(30)] + [(100 + k, f"der schnelle braune Fuchs springt über den faulen Hund und läuft davon {k}", "de") for k in range(30)], "doc_id bigint, text string, lang string")
+    strange = spark.createDataFrame([(1, "Καλημέρα κόσμε, τι κάνεις σήμερα;", None), (2, "今日は良い天気ですね。明日も晴れるでしょう。", None), (3, "The dog jumps over the quick fox and runs into the deep forest 12345", None)], "doc_id bigint, text string, lang string")
+    out = {r["doc_id"]: r for r in langid.predict(strange, langid.fit(learned)).collect()}
+    assert out[1]["rejected"] and out[2]["rejected"] and not out[3]["rejected"] and out[3]["lang_pred"] == "en"
