@@ -14,14 +14,17 @@ shares bands with most texts: the pairs' weighted Jaccard similarity is worked
 out from whole texts, and those of ``SIMILARITY`` or more are links. Where a
 band then still holds several components, its members meet ``LEADERS`` more in
 each of up to ``TURNS`` turns; those outside the leader's component also meet in finer
-groups, the same band with each of the other samples. Equal texts are one node
+groups, the same band with each of the other samples. What then still lies in
+several components of one band is compared with all the others there, so no
+plausible pair across components stays untested. Equal texts are one node
 throughout; classes are the connected components. As with all banding, a link
 is found with a probability: at similarity 0.8 a pair shares a band in 99.7 %
 of cases.
 
-No group is gathered in a task or expanded into pairs: leaders are minima,
-joins can be split at hot bands, and each text goes to a task once for the
-texts that it is compared with.
+Leaders are minima and joins can be split at hot bands; they spare most of the
+comparisons. Those that are left grow with the square of a band's texts outside
+its largest component: bands of up to ``SMALL`` texts go as pairs, larger ones
+as pairs of blocks, each of bounded size and in one task.
 
 Rows that share an id are one document. A null id is in no class (class null);
 null text equals nothing; texts without words equal texts with the same
@@ -48,6 +51,8 @@ DF_SLOTS = 1 << 18
 LEAST_AGREEING = 10
 #: Further turns, with so many leaders each, for groups that still hold several components.
 TURNS, LEADERS = 2, 6
+#: Mixed bands of more texts are compared by blocks of about so many texts, and so much weight (a run weighs 1 at least).
+SMALL, BLOCK, BLOCK_WEIGHT = 32, 1024, 4_000_000
 #: Rows of ids are written in a part for so many documents, and a few at least.
 ROWS_PER_PART, LEAST_PARTS = 20_000, 8
 #: Ids that are sent to all executors to pick texts; more of them are joined by a shuffle.
@@ -276,7 +281,119 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             break
         tested = tested.union(new)
         linked = linked.union(_verify(new, texts, idf))
-    return linked, members, parts
+    return linked.union(_rest(met, linked, tested, worded, texts, idf, parts)), members, parts
+
+
+def _rest(met: DataFrame, linked: DataFrame, tested: DataFrame, worded: DataFrame, texts: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
+    """Links (a, b, similarity) among all texts that share a band across components; of a block's links those that join components."""
+    label = components(linked.select("a", "b"), parts)
+    named = checkpointed(met.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).coalesce(parts))
+    shares = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = shares.agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = checkpointed(mixed.select("key", "n", "main").coalesce(parts))
+    few = named.join(mixed.where(F.col("n") <= SMALL).select("key"), "key")
+    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = few.join(other, "key").where("node < b and label != lb").select(F.col("node").alias("a"), "b").distinct()
+    new = checkpointed(_plausible(_untested(pairs, tested), worded).coalesce(parts))
+    found = _verify(new, texts, idf)
+    many = named.join(mixed.where(F.col("n") > SMALL).select("key", "main"), "key").withColumn("out", F.col("label") != F.col("main"))
+    return found.union(_by_blocks(many, worded, texts, idf, parts)) if not mixed.where(F.col("n") > SMALL).isEmpty() else found
+
+
+def _by_blocks(groups: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
+    """Links of groups (key, node, label, out): those that are out with all of another label, by pairs (i, j) of blocks."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+    own = nodes.select(F.col("node").alias("__node"), "weight", "sample")
+    rows = checkpointed(groups.join(own, F.col("node") == F.col("__node")).drop("__node", "main").coalesce(parts))
+
+    def blocks(out: bool) -> Column:
+        mine = F.col("out") == out
+        return F.greatest(F.lit(1), F.ceil(F.count_if(mine) / BLOCK), F.ceil(F.sum(F.when(mine, F.col("weight"))) / BLOCK_WEIGHT)).cast("int")
+
+    sizes = checkpointed(rows.groupBy("key").agg(blocks(True).alias("outs"), blocks(False).alias("mains")).coalesce(parts))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int"))
+    # blocks of the main component are numbered from -1 down and don't meet each other
+    met = F.expr(
+        """if(out, concat(transform(sequence(0, outs - 1), x -> struct(least(block, x) as i, greatest(block, x) as j)),
+                          transform(sequence(0, mains - 1), x -> struct(block as i, -1 - x as j))),
+                   transform(sequence(0, outs - 1), x -> struct(x as i, -1 - block as j)))"""
+    )
+    cells = rows.select("key", "node", "label", "weight", "sample", "out", "block", F.inline(met))
+    cells = cells.withColumn("left", F.col("out") & (F.col("block") == F.col("i"))).join(texts.withColumnRenamed("id", "node"), "node")
+    cells = cells.select("key", "i", "j", "node", "label", "weight", "sample", "left", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        for cell in _cells(batches):
+            found = _cell_links(cell, shared.value)
+            yield pa.record_batch([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+    return checkpointed(arrow_map(cells, run, "a bigint, b bigint, similarity double"))
+
+
+def _cells(batches):
+    """Tables of the rows that have one (key, i, j); such rows come together."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and at != keys[:, lo].tolist():
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = keys[:, lo].tolist()
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _cell_links(cell: pa.Table, idf: np.ndarray) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join all components that some plausible pair of the cell's left and right rows joins."""
+    node, label, weight = (cell.column(c).to_numpy() for c in ("node", "label", "weight"))
+    left = cell.column("left").to_numpy().astype(bool)
+    within = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+    right = np.arange(len(node)) if within else np.flatnonzero(~left)
+    sample = cell.column("sample").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+    wanted = {}
+    for a in np.flatnonzero(left):
+        near = np.minimum(weight[a], weight[right]) >= np.maximum(weight[a], weight[right]) * (SIMILARITY - 1e-9)
+        ok = near & (label[right] != label[a]) & ((sample[right] == sample[a]).sum(axis=1) >= LEAST_AGREEING)
+        ok &= right > a if within else True
+        if ok.any():
+            wanted[int(a)] = right[ok]
+    if not wanted:
+        return []
+    used = np.unique(np.concatenate([np.fromiter(wanted, np.int64), *wanted.values()]))
+    runs = []
+    for batch in cell.select(["text"]).take(pa.array(used)).to_batches():
+        for part in slices(batch):
+            words = Words(folded(part.column("text")))
+            runs += [weighted_runs(words.hashes[lo:hi], idf) for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+    size = np.array([len(r) for r, _ in runs])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    known, item = np.unique(np.concatenate([r for r, _ in runs]), return_inverse=True)
+    value = np.concatenate([w for _, w in runs])
+    total = np.add.reduceat(value, begin[:-1])
+    component, mine, out = label.copy(), np.zeros(len(known)), []
+    for a, others in wanted.items():
+        others = others[component[others] != component[a]]
+        if not len(others):
+            continue
+        at, to = int(np.searchsorted(used, a)), np.searchsorted(used, others)
+        own = slice(begin[at], begin[at + 1])
+        mine[item[own]] = value[own]
+        first = np.cumsum(size[to]) - size[to]
+        where = np.repeat(begin[to] - first, size[to]) + np.arange(size[to].sum())
+        both = np.add.reduceat(np.minimum(mine[item[where]], value[where]), first)
+        mine[item[own]] = 0
+        score = both / (total[at] + total[to] - both)
+        for k in np.flatnonzero(score >= SIMILARITY):
+            b = others[k]
+            if component[b] != component[a]:
+                out.append((int(node[a]), int(node[b]), float(score[k])))
+                component[component == component[b]] = component[a]
+    return out
 
 
 def _finer(groups: DataFrame, nodes: DataFrame) -> DataFrame:
