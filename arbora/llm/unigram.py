@@ -247,8 +247,8 @@ def bytes_of_binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(buffers[2], np.uint8, int(at[-1]), int(first)) if at[-1] else np.zeros(0, np.uint8)), at
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, ``ids``, ``n_ids`` and ``round_trip``: whether the decoded ids are the text again."""
+def encode(docs: DataFrame, path: str = MODEL, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``ids``, ``n_ids`` and ``round_trip``: whether the decoded ids are the text again; then the columns ``carried``."""
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
 
     def run(batches):
@@ -259,9 +259,11 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 text = part.column("text")
                 ids = encode_slice(text, pieces)
                 same = pc.fill_null(pc.equal(decode_slice(ids, spelling), text.cast(pa.binary())), True)
-                yield pa.record_batch([part.column("doc_id"), ids, pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64()), same], names=["doc_id", "ids", "n_ids", "round_trip"])
+                more = [part.column(c) for c in carried]
+                yield pa.record_batch([part.column("doc_id"), ids, pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64()), same, *more], names=["doc_id", "ids", "n_ids", "round_trip", *carried])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean")
+    schema = "doc_id bigint, ids array<int>, n_ids bigint, round_trip boolean" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carried), run, schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:

@@ -4,7 +4,9 @@ import os
 import random
 import sys
 
-from arbora.llm import nearedup
+import corpus_pipeline
+
+from arbora.llm import mixing, nearedup
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain  # noqa: E402
@@ -30,3 +32,21 @@ def test_small_groups_of_one_large_band(spark, monkeypatch):
     real = plain.near_classes(docs)
     assert len(set(real.values())) == 120
     assert got == real
+
+
+def test_prefixes_of_the_corpus_hold_the_target_weights(spark):
+    rows = [(k, f"text {k}", "en", f"src{k % 3}", 6) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    source = {r[0]: r[3] for r in rows}
+    out = corpus_pipeline.encoded(spark, corpus_pipeline.mixed_sources(spark, docs, "").repartition(5), "").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(900))
+    assert len({(r["slot"], r["place"]) for r in out}) == 900
+    runs = {r["slot"]: source[r["doc_id"]] for r in out}
+    done, left = dict.fromkeys(sorted(set(runs.values())), 0), 19  # blocks of 300 rows
+    total = sum(mixing.TARGETS[s] for s in done)
+    for slot in range(len(runs)):
+        done[runs[slot]] += 1
+        assert all(abs(n * total - (slot + 1) * mixing.TARGETS[s]) < total for s, n in done.items())
+        if left in done.values():
+            break
+    assert slot > 30
