@@ -7,6 +7,7 @@ single text, not the batch.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -48,10 +49,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by files in ``spark.checkpoint.dir``.
 
-    A local folder is taken only if the session names none, as in tests.
+    A local folder is taken only by a session in one JVM that names none, as in
+    tests; a cluster must name one that all its machines share.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 

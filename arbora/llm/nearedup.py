@@ -1,38 +1,44 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A text is the weighted set of its runs of five folded words (a shorter text is
-one run). The weight of a run is ``tf * idf``, where idf is the mean over its
-words of ``1 + ln((1 + N) / (1 + df))``. Document frequencies are counted for
-words and not for runs: almost every run has frequency one, and the runs of a
-large group of copies would lose their weight to the few words that differ,
-just where copies should be found. Frequencies over all documents are kept in
-``DF_SLOTS`` hashed slots, so that the table can be broadcast at any size.
-
-``HASHES`` consistent weighted samples (Ioffe, 2010) of each distinct text form
-bands of ``ROWS``. Texts that share a band meet the band's leader, the one that
-shares bands with most texts: the pairs' weighted Jaccard similarity is worked
-out from whole texts, and those of ``SIMILARITY`` or more are links. Where a
-band then still holds several components, its members meet ``LEADERS`` more in
-each of up to ``TURNS`` turns; those outside the leader's component also meet in finer
-groups, the same band with each of the other samples. What then still lies in
-several components of one band is compared with all the others there, so no
-plausible pair across components stays untested. Equal texts are one node
-throughout; classes are the connected components. As with all banding, a link
-is found with a probability: at similarity 0.8 a pair shares a band in 99.7 %
-of cases.
-
-Leaders are minima and joins can be split at hot bands; they spare most of the
-comparisons. Those that are left grow with the square of a band's texts outside
-its largest component: bands of up to ``SMALL`` texts go as pairs, larger ones
-as pairs of blocks, each of bounded size and in one task.
-
-Rows that share an id are one document. A null id is in no class (class null);
-null text equals nothing; texts without words equal texts with the same
-characters. An empty table gives no rows; other columns are ignored.
+one run). The weight of a run is ``tf * idf`` with
+``idf = 1 + ln((1 + N) / (1 + df)) / ln(DF_SLOTS)``, where ``df`` counts the
+documents that hold the run, over all documents and in ``DF_SLOTS`` hashed
+slots, so that the table has the same size for any corpus. The idf is damped:
+a plain logarithm would give the runs of a large group of near copies a small
+part of the weight of the few runs that differ, and the copies would be lost.
+
+``BANDS * ROWS`` consistent weighted samples (Ioffe, 2010) of each distinct
+text form bands. Texts that share a band meet in two steps:
+
+1. All meet the band's leader, the text that shares bands with most others. The
+   weighted Jaccard similarity is worked out from whole texts; ``SIMILARITY``
+   or more is a link, so most of a group of copies is joined by one comparison
+   a text.
+2. Those that aren't linked to their leader are compared with each other and
+   with those that are, in blocks of bounded size, each in one task. Left out
+   are only pairs that can't be links: by their total weights; by the triangle
+   inequality for ``1 - similarity``, which is a metric, over their known
+   similarities to the leader; pairs that another band holds too, and pairs
+   that are already in one component.
+
+So every two texts that share a band and are similar enough end up in one
+class. As with all banding, that is a matter of chance: at similarity 0.8 a
+pair shares a band in 99.7 % of cases. Equal texts are one node throughout;
+classes are the connected components. The first step grows with the number of
+texts, the second with the square of how many texts of one band are not linked
+to its leader; nothing is left out for that.
+
+Rows that share an id are one document in ``classes``; a null id is in no class
+(class null). Null text equals nothing; texts without words equal texts with
+the same characters. Texts of any length count as a whole. An empty table gives
+no rows; other columns are ignored there and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,58 +53,44 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 HASHES = BANDS * ROWS
 DF_SLOTS = 1 << 18
-#: Pairs whose samples agree in fewer places are not compared; at similarity 0.8 that misses 2 pairs in 100,000.
-LEAST_AGREEING = 10
-#: Further turns, with so many leaders each, for groups that still hold several components.
-TURNS, LEADERS = 2, 6
-#: Mixed bands of more texts are compared by blocks of about so many texts, and so much weight (a run weighs 1 at least).
-SMALL, BLOCK, BLOCK_WEIGHT = 32, 1024, 4_000_000
-#: Rows of ids are written in a part for so many documents, and a few at least.
-ROWS_PER_PART, LEAST_PARTS = 20_000, 8
-#: Ids that are sent to all executors to pick texts; more of them are joined by a shuffle.
-BROADCAST_IDS = 100_000
+#: Similarities under this aren't kept; two texts of which one is linked to a third and the other isn't even so similar to it aren't a link.
+RELATED = 2 * SIMILARITY - 1
+#: Texts, and weight (a run weighs 1 at least), of a block of the second step.
+BLOCK, BLOCK_WEIGHT = 256, 2_000_000
 _SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SLOT = np.uint64(DF_SLOTS - 1)
 _PIECE = 512
+_CLOSE = 1e-9
 
 
-def _frequencies(batches):
-    total, documents = np.zeros(DF_SLOTS, np.int64), 0
-    for batch in batches:
-        for part in slices(batch):
-            words = Words(folded(part.column("text")))
-            row = np.repeat(np.arange(part.num_rows), np.diff(words.offsets))
-            seen = np.unique(row * DF_SLOTS + (words.hashes & _SLOT).astype(np.int64))
-            total += np.bincount(seen % DF_SLOTS, minlength=DF_SLOTS)
-            documents += part.num_rows
-    some = np.flatnonzero(total)
-    yield pa.record_batch({"slot": pa.array(np.append(some, -1).astype(np.int32)), "n": pa.array(np.append(total[some], documents))})
+def _slot(runs: np.ndarray, slots: int) -> np.ndarray:
+    return (runs & np.uint64(slots - 1)).astype(np.int64)
+
 
+def run_idf(docs: DataFrame, slots: int = DF_SLOTS) -> np.ndarray:
+    """idf by hashed slot of a run (a power of two of them), over all documents."""
+
+    def counts(batches):
+        total, documents = np.zeros(slots, np.int64), 0
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(folded(part.column("text")))
+                for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True):
+                    total[np.unique(_slot(run_hashes(words.hashes[lo:hi], WIDTH), slots))] += 1
+                documents += part.num_rows
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"slot": pa.array(np.append(some, -1).astype(np.int32)), "n": pa.array(np.append(total[some], documents))})
 
-def word_idf(docs: DataFrame) -> np.ndarray:
-    """idf by hashed word slot, over all documents."""
-    counted = arrow_map(docs.select("text"), _frequencies, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = arrow_map(docs.select("text"), counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = counted.column("slot").to_numpy(), counted.column("n").to_numpy()
-    df = np.zeros(DF_SLOTS)
+    df = np.zeros(slots)
     df[slot[slot >= 0]] = n[slot >= 0]
-    return (1 + np.log((1 + n[slot < 0].sum()) / (1 + df))).astype(np.float32)
+    return (1 + np.log((1 + n[slot < 0].sum()) / (1 + df)) / math.log(slots)).astype(np.float32)
 
 
 def weighted_runs(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of a text's words, ascending, and their weights."""
-    runs = run_hashes(hashes, WIDTH)
-    if not len(runs):
-        return runs, np.zeros(0)
-    value = idf[(hashes & _SLOT).astype(np.int64)].astype(np.float64)
-    width = min(WIDTH, len(value))
-    sums = np.concatenate([[0.0], np.cumsum(value)])
-    mean = (sums[width:] - sums[:-width]) / width
-    order = np.argsort(runs)
-    runs = runs[order]
-    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
-    times = np.diff(np.append(first, len(runs)))
-    # rounded, so that a run's weight doesn't depend on what comes before it
-    return runs[first], np.round(mean[order[first]] * times, 6)
+    runs, times = np.unique(run_hashes(hashes, WIDTH), return_counts=True)
+    return runs, times * idf[_slot(runs, len(idf))].astype(np.float64)
 
 
 def _product(bits: np.ndarray) -> np.ndarray:
@@ -141,20 +133,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / union) if union else 0.0
 
 
-def _whole_hash(hashes: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(hashes.tobytes())
-    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
+def _halves(digest: int) -> list[int]:
+    """128 bits as two signed values."""
+    return [x - (1 << 64) if x >> 63 else x for x in (digest >> 64, digest & 0xFFFFFFFFFFFFFFFF)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-_SKETCH = "doc_id bigint, k1 bigint, k2 bigint, weight double, sample array<smallint>, bands array<bigint>"
+def _identity(docs: DataFrame) -> list[Column]:
+    """What names a row: nulls last, then ``did``, then the digest of its text."""
+    did = docs["doc_id"].cast("bigint")
+    return [did.isNull().alias("nameless"), F.coalesce(did, F.lit(0)).alias("did"), F.unhex(F.md5(docs["text"])).alias("digest")]
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Each row's text key (k1, k2), total weight, samples (16 bits each) and band keys; no bands without words."""
+    """Each row's identity, text key (k1, k2), total weight and band keys; no bands without words. Null texts give no row."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
@@ -166,168 +157,117 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 for k in range(part.num_rows):
                     own = words.hashes[words.offsets[k] : words.offsets[k + 1]]
                     if not len(own):
-                        d = xxhash.xxh3_128_intdigest(part.column("text")[k].as_py(), seed=1)
-                        rows.append((_signed(d >> 64), _signed(d & 0xFFFFFFFFFFFFFFFF), 0.0, None, None))
+                        rows.append((*_halves(xxhash.xxh3_128_intdigest(part.column("text")[k].as_py(), seed=1)), 0.0, None))
                         continue
                     runs, weights = weighted_runs(own, table)
-                    s = samples(runs, weights)
                     with np.errstate(over="ignore"):
-                        grouped = s.reshape(BANDS, ROWS)
+                        grouped = samples(runs, weights).reshape(BANDS, ROWS)
                         key = np.arange(1, BANDS + 1, dtype=np.uint64)
                         for j in range(ROWS):
                             key = mix64(key * _STEP + grouped[:, j])
-                    k1, k2 = _whole_hash(own)
-                    rows.append((_signed(k1), _signed(k2), float(weights.sum()), (s >> np.uint64(48)).astype(np.uint16).view(np.int16), key.view(np.int64)))
+                    rows.append((*_halves(xxhash.xxh3_128_intdigest(own.tobytes())), float(weights.sum()), key.view(np.int64)))
                 cols = list(zip(*rows, strict=True))
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.int16())), pa.array(cols[4], pa.list_(pa.int64()))],
-                    names=["doc_id", "k1", "k2", "weight", "sample", "bands"],
-                )
+                own_columns = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True)]
+                yield pa.record_batch([*part.drop_columns(["text"]).columns, *own_columns], names=["nameless", "did", "digest", "k1", "k2", "weight", "bands"])
 
-    return arrow_map(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), run, _SKETCH)
+    given = docs.where("text is not null")
+    schema = "nameless boolean, did bigint, digest binary, k1 bigint, k2 bigint, weight double, bands array<bigint>"
+    return arrow_map(given.select(*_identity(given), "text"), run, schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b and ``similarity`` of the pairs (a, b) that are similar enough, from whole texts (id, text)."""
+def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The pairs (a, b) whose ``similarity``, from whole texts (node, text), is ``RELATED`` or more."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    mine = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    one = pairs.join(mine, pairs["b"] == mine["id"]).select("a", "b", F.col("text").alias("tb"))
-    other = mine.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
-    two = one.join(other, one["a"] == other["ia"]).select("a", "b", "ta", "tb")
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches):
         table, last, known = shared.value, None, None
         for batch in batches:
             for part in slices(batch, "tb"):
-                words, mine, score = Words(folded(part.column("tb"))), part.column("ta"), np.zeros(part.num_rows)
+                words, led, mine, score = Words(folded(part.column("tb"))), part.column("a").to_numpy(), part.column("ta"), np.zeros(part.num_rows)
                 for k in range(part.num_rows):
-                    if last is None or not mine[k].equals(last):  # rows come sorted by a, so a leader's runs serve its next pairs
-                        last, known = mine[k], weighted_runs(Words(folded(mine.slice(k, 1))).hashes, table)
+                    if last != led[k]:  # rows come sorted by a, so a leader's runs serve its next pairs
+                        last, known = led[k], weighted_runs(Words(folded(mine.slice(k, 1))).hashes, table)
                     score[k] = similarity(known, weighted_runs(words.hashes[words.offsets[k] : words.offsets[k + 1]], table))
-                keep = pa.array(score >= SIMILARITY)
+                keep = pa.array(score >= RELATED - _CLOSE)
                 yield pa.record_batch([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(score).filter(keep)], names=["a", "b", "similarity"])
 
-    return checkpointed(arrow_map(two, run, "a bigint, b bigint, similarity double"))
+    return arrow_map(two, run, "a bigint, b bigint, similarity double")
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose weights and samples leave the similarity possible."""
-    left = nodes.select(F.col("node").alias("na"), F.col("weight").alias("wa"), F.col("sample").alias("sa"))
-    right = nodes.select(F.col("node").alias("nb"), F.col("weight").alias("wb"), F.col("sample").alias("sb"))
-    agreeing = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-    near = F.least("wa", "wb") >= F.greatest("wa", "wb") * (SIMILARITY - 1e-9)
-    return pairs.join(left, pairs["a"] == left["na"]).join(right, F.col("b") == F.col("nb")).where(near & (agreeing >= LEAST_AGREEING)).select("a", "b")
+def _nodes(seen: DataFrame) -> DataFrame:
+    """One row for each distinct text, with ``node``, a number that ascends with the least identity of its rows."""
+    keeper = F.min(F.struct("nameless", "did", "digest")).alias("keeper")
+    found = seen.groupBy("k1", "k2").agg(keeper, F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    return found.orderBy("keeper", "k1", "k2").withColumn("node", F.monotonically_increasing_id())
 
 
-def _led(groups: DataFrame, ranks: list[Column], parts: int) -> DataFrame:
-    """Pairs (a, b) of each group's leaders with every member of another label, for groups (key, node, label).
+def _led(nodes: DataFrame) -> DataFrame:
+    """The bands (key) that several texts share: key, node, leader.
 
-    A leader has the highest of one of the ranks. Leaders are written out before
-    the join, so that both its sides are plain shuffles, which Spark splits at a
-    group that is large.
+    A text that shares its bands with many is central to its copies, so such a
+    one leads. The joins give a row for each text and band, whoever shares it.
     """
-    names = [f"r{k}" for k in range(len(ranks))]
-    ranked = groups.select("key", "node", "label", *[r.alias(n) for r, n in zip(ranks, names, strict=True)])
-    first = [F.struct(F.max_by("node", n).alias("a"), F.max_by("label", n).alias("la")).alias(n) for n in names]
-    leaders = ranked.groupBy("key").agg(*first).select("key", F.inline(F.array_distinct(F.array(*names))))
-    return groups.join(checkpointed(leaders.coalesce(parts)), "key").where("la != label").select("a", F.col("node").alias("b")).distinct()
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    ends = (F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    return pairs.select("a", "b", *ends).join(tested.select(*ends).distinct(), ["lo", "hi"], "left_anti").select("a", "b")
-
-
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Links (a, b, similarity) between ids of distinct texts, the membership (doc_id, node) of all texts, and how
-    many partitions suit rows of ids.
-    """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    idf = word_idf(docs)
+    banded = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"))
+    shared = banded.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("popular"), F.collect_list(F.struct("key", "n")).alias("keys"))
+    rank = F.struct(F.floor(8 * F.log2("popular")), F.xxhash64("node")).alias("rank")
+    met = shared.select("node", rank, F.explode(F.filter("keys", lambda k: k["n"] > 1)["key"]).alias("key"))
+    return met.join(met.groupBy("key").agg(F.max_by("node", "rank").alias("leader")), "key").select("key", "node", "leader")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) that join all nodes of a class, the nodes, and the rows with their text keys (k1, k2)."""
+    docs = docs.select("doc_id", "text")
+    idf = run_idf(docs)
     seen = checkpointed(sketches(docs, idf))
-    parts = max(LEAST_PARTS, seen.count() // ROWS_PER_PART)
-    least = seen.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("weight").alias("weight"), F.first("sample").alias("sample"), F.first("bands").alias("bands"))
-    nodes = checkpointed(least.coalesce(parts))
-    members = seen.select("doc_id", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node")
-    worded = nodes.where("bands is not null")
-    banded = worded.select("node", F.explode("bands").alias("key"))
-    sizes = checkpointed(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").coalesce(parts))
-    met = checkpointed(banded.join(sizes, "key").select("key", "node", "n").coalesce(parts))
-    # a text that shares its bands with many is central to its copies, so such a one leads, another in each band and turn
-    met = met.join(met.groupBy("node").agg(F.sum("n").alias("popular")), "node")
-    met = checkpointed(met.select("key", "node", F.floor(8 * F.log2("popular")).alias("popular")).coalesce(parts))
-
-    def rank(turn: int, popular: bool = True) -> Column:
-        chance = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 40))
-        return F.col("popular") * (1 << 40) + chance if popular else chance
-
-    some = met.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.where("text is not null").join(some, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
-    texts = checkpointed(texts.select(F.col("doc_id").alias("id"), "text"))
-    tested = checkpointed(_plausible(_led(met.withColumn("label", F.col("node")), [rank(0)], parts), worded).coalesce(parts))
-    linked = _verify(tested, texts, idf)
-    for turn in range(1, TURNS + 1):
-        label = components(linked.select("a", "b"), parts)
-        named = met.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "popular")
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", rank(turn)).alias("led")).where("low < high")
-        rest = checkpointed(named.join(checkpointed(mixed.select("key", "led").coalesce(parts)), "key").coalesce(parts))
-        pairs = _led(rest, [rank(turn * LEADERS + k, k % 2 == 0) for k in range(LEADERS)], parts)
-        if turn == 1:
-            pairs = pairs.union(_led(_finer(rest.where("label != led"), worded), [F.xxhash64("node")], parts))
-        new = checkpointed(_plausible(_untested(pairs.distinct(), tested), worded).coalesce(parts))
-        if new.isEmpty():
-            break
-        tested = tested.union(new)
-        linked = linked.union(_verify(new, texts, idf))
-    return linked.union(_rest(met, linked, tested, worded, texts, idf, parts)), members, parts
-
-
-def _rest(met: DataFrame, linked: DataFrame, tested: DataFrame, worded: DataFrame, texts: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
-    """Links (a, b, similarity) among all texts that share a band across components; of a block's links those that join components."""
-    label = components(linked.select("a", "b"), parts)
-    named = checkpointed(met.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).coalesce(parts))
-    shares = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
-    mixed = shares.agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = checkpointed(mixed.select("key", "n", "main").coalesce(parts))
-    few = named.join(mixed.where(F.col("n") <= SMALL).select("key"), "key")
-    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = few.join(other, "key").where("node < b and label != lb").select(F.col("node").alias("a"), "b").distinct()
-    new = checkpointed(_plausible(_untested(pairs, tested), worded).coalesce(parts))
-    found = _verify(new, texts, idf)
-    many = named.join(mixed.where(F.col("n") > SMALL).select("key", "main"), "key").withColumn("out", F.col("label") != F.col("main"))
-    return found.union(_by_blocks(many, worded, texts, idf, parts)) if not mixed.where(F.col("n") > SMALL).isEmpty() else found
-
-
-def _by_blocks(groups: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
-    """Links of groups (key, node, label, out): those that are out with all of another label, by pairs (i, j) of blocks."""
+    nodes = checkpointed(_nodes(seen))
+    met = checkpointed(_led(nodes))
+    some = met.select("node").distinct().join(nodes, "node").select("node", "keeper.did", "keeper.digest")
+    given = docs.where("text is not null")
+    texts = given.select(*_identity(given)[1:], "text").join(some, ["did", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = checkpointed(texts)
+    pairs = met.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tested = checkpointed(_verified(pairs, texts, idf))
+    found = checkpointed(_unled(met, tested, nodes, texts, idf))
+    return tested.where(F.col("similarity") >= SIMILARITY - _CLOSE).select("a", "b").union(found.select("a", "b")), nodes, seen
+
+
+def _unled(met: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (a, b) of the second step."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
-    own = nodes.select(F.col("node").alias("__node"), "weight", "sample")
-    rows = checkpointed(groups.join(own, F.col("node") == F.col("__node")).drop("__node", "main").coalesce(parts))
-
-    def blocks(out: bool) -> Column:
-        mine = F.col("out") == out
-        return F.greatest(F.lit(1), F.ceil(F.count_if(mine) / BLOCK), F.ceil(F.sum(F.when(mine, F.col("weight"))) / BLOCK_WEIGHT)).cast("int")
-
-    sizes = checkpointed(rows.groupBy("key").agg(blocks(True).alias("outs"), blocks(False).alias("mains")).coalesce(parts))
-    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("mains"))).cast("int"))
-    # blocks of the main component are numbered from -1 down and don't meet each other
-    met = F.expr(
-        """if(out, concat(transform(sequence(0, outs - 1), x -> struct(least(block, x) as i, greatest(block, x) as j)),
-                          transform(sequence(0, mains - 1), x -> struct(block as i, -1 - x as j))),
-                   transform(sequence(0, outs - 1), x -> struct(x as i, -1 - block as j)))"""
+    known = tested.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
+    own = nodes.select("node", "weight", "bands")
+    to_leader = F.when(F.col("leader") == F.col("node"), 1.0).otherwise(F.coalesce("similarity", F.lit(RELATED)))
+    rows = met.join(known, ["leader", "node"], "left").join(own, "node").select("key", "node", "weight", "bands", to_leader.alias("to_leader"), (F.col("similarity") >= RELATED - _CLOSE).alias("related"))
+    rows = rows.withColumn("out", F.col("to_leader") < SIMILARITY - _CLOSE)
+    out, linked, near = F.col("out"), ~F.col("out"), F.col("out") & F.coalesce("related", F.lit(False))
+
+    def blocks(of: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.count_if(of) / BLOCK), F.ceil(F.sum(F.when(of, F.col("weight"))) / BLOCK_WEIGHT)).cast("int")
+
+    counts = rows.groupBy("key").agg(F.count_if(out).alias("n_out"), F.count_if(near).alias("n_near"), F.count_if(linked).alias("n_linked"), blocks(out).alias("outs"), blocks(linked).alias("mains"))
+    # a leader has met all, and those far from it can't be links of those that are linked to it
+    is_open = counts.where("n_out > 1 or n_near > 0 and n_linked > 1").select("key", "outs", "mains")
+    rows = rows.join(is_open, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(out, F.col("outs")).otherwise(F.col("mains"))).cast("int"))
+    # cell (i, j): block i of those out with block j of them, or with block -1 - j of those linked; small bands are one cell
+    cells = F.expr(
+        """case when outs = 1 and mains = 1 then array(struct(0 as i, 0 as j))
+                when out then concat(transform(sequence(0, outs - 1), x -> struct(least(block, x) as i, greatest(block, x) as j)),
+                                     transform(sequence(0, mains - 1), x -> struct(block as i, -1 - x as j)))
+                else transform(sequence(0, outs - 1), x -> struct(x as i, -1 - block as j)) end"""
     )
-    cells = rows.select("key", "node", "label", "weight", "sample", "out", "block", F.inline(met))
-    cells = cells.withColumn("left", F.col("out") & (F.col("block") == F.col("i"))).join(texts.withColumnRenamed("id", "node"), "node")
-    cells = cells.select("key", "i", "j", "node", "label", "weight", "sample", "left", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    placed = rows.select("key", "node", "weight", "bands", "to_leader", "out", "block", F.inline(cells))
+    placed = placed.withColumn("side", F.when(~F.col("out"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1)).join(texts, "node")
+    placed = placed.select("key", "i", "j", "side", "node", "weight", "bands", "to_leader", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
 
     def run(batches):
         for cell in _cells(batches):
             found = _cell_links(cell, shared.value)
-            yield pa.record_batch([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+            yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return checkpointed(arrow_map(cells, run, "a bigint, b bigint, similarity double"))
+    return arrow_map(placed, run, "a bigint, b bigint")
 
 
 def _cells(batches):
@@ -348,73 +288,75 @@ def _cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _cell_links(cell: pa.Table, idf: np.ndarray) -> list[tuple[int, int, float]]:
-    """Links (a, b, similarity) that join all components that some plausible pair of the cell's left and right rows joins."""
-    node, label, weight = (cell.column(c).to_numpy() for c in ("node", "label", "weight"))
-    left = cell.column("left").to_numpy().astype(bool)
-    within = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
-    right = np.arange(len(node)) if within else np.flatnonzero(~left)
-    sample = cell.column("sample").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
-    wanted = {}
-    for a in np.flatnonzero(left):
-        near = np.minimum(weight[a], weight[right]) >= np.maximum(weight[a], weight[right]) * (SIMILARITY - 1e-9)
-        ok = near & (label[right] != label[a]) & ((sample[right] == sample[a]).sum(axis=1) >= LEAST_AGREEING)
-        ok &= right > a if within else True
-        if ok.any():
-            wanted[int(a)] = right[ok]
-    if not wanted:
-        return []
-    used = np.unique(np.concatenate([np.fromiter(wanted, np.int64), *wanted.values()]))
+def _cell_links(cell: pa.Table, idf: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) that join all components that a link of the cell's left rows with its rows joins."""
+    node, weight, known = (cell.column(c).to_numpy() for c in ("node", "weight", "to_leader"))
+    side = cell.column("side").to_numpy()
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    earlier = int(np.flatnonzero(bands[0] == cell.column("key")[0].as_py())[0])
+    left = np.flatnonzero(side == 0)
+    # in a cell of one block its rows meet each other, in one of two those of the other
+    right = np.arange(len(node)) if cell.column("i")[0].as_py() == cell.column("j")[0].as_py() else np.flatnonzero(side > 0)
     runs = []
-    for batch in cell.select(["text"]).take(pa.array(used)).to_batches():
+    for batch in cell.select(["text"]).to_batches():
         for part in slices(batch):
             words = Words(folded(part.column("text")))
             runs += [weighted_runs(words.hashes[lo:hi], idf) for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
     size = np.array([len(r) for r, _ in runs])
     begin = np.concatenate([[0], np.cumsum(size)])
-    known, item = np.unique(np.concatenate([r for r, _ in runs]), return_inverse=True)
+    vocabulary, item = np.unique(np.concatenate([r for r, _ in runs]), return_inverse=True)
     value = np.concatenate([w for _, w in runs])
-    total = np.add.reduceat(value, begin[:-1])
-    component, mine, out = label.copy(), np.zeros(len(known)), []
-    for a, others in wanted.items():
-        others = others[component[others] != component[a]]
+    component = np.where(side == 2, -1, np.arange(len(node)))
+    mine, out = np.zeros(len(vocabulary)), []
+    for a in left:
+        possible = (np.minimum(weight[a], weight[right]) >= np.maximum(weight[a], weight[right]) * (SIMILARITY - _CLOSE)) & (np.abs(known[right] - known[a]) <= 1 - SIMILARITY + _CLOSE)
+        possible &= (component[right] != component[a]) & ((side[right] > 0) | (right > a)) & ~(bands[right, :earlier] == bands[a, :earlier]).any(axis=1)
+        others = right[possible]
         if not len(others):
             continue
-        at, to = int(np.searchsorted(used, a)), np.searchsorted(used, others)
-        own = slice(begin[at], begin[at + 1])
+        own = slice(begin[a], begin[a + 1])
         mine[item[own]] = value[own]
-        first = np.cumsum(size[to]) - size[to]
-        where = np.repeat(begin[to] - first, size[to]) + np.arange(size[to].sum())
+        first = np.cumsum(size[others]) - size[others]
+        where = np.repeat(begin[others] - first, size[others]) + np.arange(size[others].sum())
         both = np.add.reduceat(np.minimum(mine[item[where]], value[where]), first)
         mine[item[own]] = 0
-        score = both / (total[at] + total[to] - both)
-        for k in np.flatnonzero(score >= SIMILARITY):
+        for k in np.flatnonzero(both >= (SIMILARITY - _CLOSE) * (weight[a] + weight[others] - both)):
             b = others[k]
             if component[b] != component[a]:
-                out.append((int(node[a]), int(node[b]), float(score[k])))
+                out.append((int(node[a]), int(node[b])))
                 component[component == component[b]] = component[a]
     return out
 
 
-def _finer(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The groups split further: each by every sample that isn't in the group's own band."""
-    own = nodes.select(F.col("node").alias("__node"), "sample", "bands")
-    spread = groups.join(own, F.col("node") == F.col("__node")).select("key", "node", "label", F.expr("array_position(bands, key) - 1").alias("own"), F.posexplode("sample").alias("place", "value"))
-    return spread.where(f"place div {ROWS} != own").select(F.xxhash64("key", "place", "value").alias("key"), "node", "label")
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with the ``label`` of their class, its least node, and the rows with their text keys."""
+    found, nodes, seen = links(docs)
+    label = components(found)
+    return nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), seen
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, ``class_id`` (the smallest id of its class) and ``kept`` (it is that one)."""
-    found, members, parts = links(docs)
-    joined = found.select("a", "b").union(members.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    label = components(joined, parts)
+    labelled, seen = _labelled(docs)
+    least = labelled.where("node = label and not keeper.nameless").select("label", F.col("keeper.did").alias("class_id"))
+    texts = labelled.select("k1", "k2", "label").join(least, "label")
+    classed = seen.where("not nameless").join(texts, ["k1", "k2"]).groupBy("did").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    out = ids.join(label.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce(F.coalesce("label", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = ids.join(classed, ids["doc_id"] == classed["did"], "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.coalesce("class_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row with the smallest id of each class, with its own columns; rows without an id all stay."""
-    label = classes(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
-    one = docs.join(label, docs["doc_id"] == F.col("__kept")).dropDuplicates(["__kept"]).select(docs.columns)
-    return one.union(docs.where("doc_id is null"))
+    """One row of each class, with its own columns: the least by id (nulls last), then by text.
+
+    Of rows with equal id and text one stays, chosen by a hash of its other
+    columns; rows with null text all stay.
+    """
+    labelled, _ = _labelled(docs)
+    kept = labelled.where("node = label").select("keeper.nameless", "keeper.did", "keeper.digest")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.where("text is not null")
+    whole = rows.select(*_identity(rows), F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("row"))
+    others = F.struct(*[F.col("row")[n].alias(n) for c, n in zip(docs.columns, names, strict=True) if c not in ("doc_id", "text")], F.lit(0).alias("rest"))
+    one = whole.groupBy("nameless", "did", "digest").agg(F.min_by("row", F.xxhash64(F.to_json(others))).alias("row")).join(kept, ["nameless", "did", "digest"], "left_semi")
+    return one.select(*[F.col("row")[n].alias(c) for c, n in zip(docs.columns, names, strict=True)]).union(docs.where("text is null"))

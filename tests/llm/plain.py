@@ -12,14 +12,16 @@ CUT = regex.compile(r"[.!?]+[ \t\r\n]+|[。！？]+[ \t\r\n]*|[ \t\r]*\n[ \t\r\n
 def near_classes(docs: dict[int, str], threshold: float = 0.8) -> dict[int, int]:
     """Class ids by all pairs that share a run of five words."""
     words = {i: WORD.findall(t.lower()) for i, t in docs.items()}
-    df = Counter(w for ws in words.values() for w in set(ws))
-    idf = {w: 1 + math.log((1 + len(docs)) / (1 + c)) for w, c in df.items()}
-    weights, holders = {}, defaultdict(list)
+    runs = {}
     for i, ws in words.items():
         k = min(5, len(ws))
-        runs = Counter(tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)) if ws else {}
-        weights[i] = {s: n * sum(idf[w] for w in s) / len(s) for s, n in runs.items()}
-        for s in runs:
+        runs[i] = Counter(tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)) if ws else Counter()
+    df = Counter(s for some in runs.values() for s in some)
+    idf = {s: 1 + math.log((1 + len(docs)) / (1 + c)) / math.log(2**18) for s, c in df.items()}
+    weights, holders = {}, defaultdict(list)
+    for i, some in runs.items():
+        weights[i] = {s: n * idf[s] for s, n in some.items()}
+        for s in some:
             holders[s].append(i)
     both = defaultdict(float)
     for s, ids in holders.items():

@@ -19,14 +19,14 @@ def _on_one_template(n_groups: int) -> dict[int, str]:
     template = [rng.choice(words) for _ in range(400)]
     docs = {}
     for g in range(n_groups):
-        own = [rng.choice(words) for _ in range(18)]
+        own = [rng.choice(words) for _ in range(60)]
         docs[2 * g] = " ".join(template + own)
         docs[2 * g + 1] = " ".join(template + own[:-5] + [rng.choice(words) for _ in range(5)])
     return docs
 
 
 def test_small_groups_of_one_large_band(spark, monkeypatch):
-    monkeypatch.setattr(nearedup, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(nearedup, "BLOCK", 100)
     docs = _on_one_template(120)
     got = {r["doc_id"]: r["class_id"] for r in nearedup.classes(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
     real = plain.near_classes(docs)
