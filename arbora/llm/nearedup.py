@@ -207,14 +207,17 @@ def _led(nodes: DataFrame) -> DataFrame:
     """The bands (key) that several texts share: key, node, leader.
 
     A text that shares its bands with many is central to its copies, so such a
-    one leads. The joins give a row for each text and band, whoever shares it.
+    one leads. The joins give a row for each text and band, whoever shares it;
+    what they look up is written first, so that both sides are plain shuffles,
+    which Spark splits at a band that is large.
     """
     banded = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = checkpointed(banded.groupBy("key").agg(F.count("*").alias("n")))
     shared = banded.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("popular"), F.collect_list(F.struct("key", "n")).alias("keys"))
-    rank = F.struct(F.floor(8 * F.log2("popular")), F.xxhash64("node")).alias("rank")
+    rank = (F.floor(8 * F.log2("popular")) * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))).alias("rank")
     met = shared.select("node", rank, F.explode(F.filter("keys", lambda k: k["n"] > 1)["key"]).alias("key"))
-    return met.join(met.groupBy("key").agg(F.max_by("node", "rank").alias("leader")), "key").select("key", "node", "leader")
+    leaders = checkpointed(met.groupBy("key").agg(F.max_by("node", "rank").alias("leader")))
+    return met.join(leaders, "key").select("key", "node", "leader")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,7 +252,7 @@ def _unled(met: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame
 
     counts = rows.groupBy("key").agg(F.count_if(out).alias("n_out"), F.count_if(near).alias("n_near"), F.count_if(linked).alias("n_linked"), blocks(out).alias("outs"), blocks(linked).alias("mains"))
     # a leader has met all, and those far from it can't be links of those that are linked to it
-    is_open = counts.where("n_out > 1 or n_near > 0 and n_linked > 1").select("key", "outs", "mains")
+    is_open = checkpointed(counts.where("n_out > 1 or n_near > 0 and n_linked > 1").select("key", "outs", "mains"))
     rows = rows.join(is_open, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(out, F.col("outs")).otherwise(F.col("mains"))).cast("int"))
     # cell (i, j): block i of those out with block j of them, or with block -1 - j of those linked; small bands are one cell
     cells = F.expr(

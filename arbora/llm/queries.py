@@ -124,8 +124,11 @@ WITH parts AS (SELECT doc_id, unnest(found) AS part, generate_subscripts(found,
     SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:{SENTENCE_END}|\z)') AS found FROM documents WHERE text IS NOT NULL)),
 words AS (SELECT doc_id, i, part, regexp_extract_all(lower(part), '[\p{{L}}\p{{M}}\p{{N}}]+') AS ws FROM parts),
 said AS (SELECT doc_id, i, ws, len(ws) AS n, ROW_NUMBER() OVER w AS k, SUM(len(ws)) OVER w - len(ws) AS before FROM words WHERE len(ws) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-runs AS (SELECT a.doc_id, a.k, CASE WHEN ANY_VALUE(a.n) >= {spans.LONG_SENTENCE} THEN a.k ELSE MIN(b.k) END AS last FROM said a
-    LEFT JOIN said b ON a.doc_id = b.doc_id AND b.k > a.k AND b.before + b.n - a.before >= {spans.MIN_WORDS} AND b.before - a.before < {spans.MIN_WORDS} + a.n GROUP BY a.doc_id, a.k),
+pairs AS (SELECT a.doc_id, a.k AS k, b.k AS last FROM said a JOIN said b ON a.doc_id = b.doc_id AND b.k > a.k AND b.before + b.n - a.before >= {spans.MIN_WORDS}
+    AND (b.k = a.k + 1 OR b.before - a.before < {spans.MIN_WORDS} OR b.before + b.n - a.before - a.n < {spans.MIN_WORDS})),
+runs AS (SELECT doc_id, k, MIN(last) AS last FROM pairs GROUP BY doc_id, k UNION SELECT doc_id, MAX(k), last FROM pairs GROUP BY doc_id, last
+    UNION SELECT doc_id, k, k FROM said WHERE n >= {spans.LONG_SENTENCE}
+    UNION SELECT doc_id, 1, MAX(k) FROM said GROUP BY doc_id HAVING COUNT(*) > 1 AND SUM(n) < {spans.MIN_WORDS}),
 spans AS (SELECT r.doc_id, r.k, r.last, md5(string_agg(array_to_string(s.ws, ' '), ' ' ORDER BY s.k)) AS span FROM runs r
     JOIN said s ON s.doc_id = r.doc_id AND s.k BETWEEN r.k AND r.last GROUP BY r.doc_id, r.k, r.last),
 later AS (SELECT doc_id, k, last FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY span ORDER BY doc_id, k) AS seen FROM spans) WHERE seen > 1),

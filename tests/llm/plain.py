@@ -56,15 +56,17 @@ def without_repeats(docs: dict[int, str], words: int = 25, long: int = 50) -> di
             at = m.end()
         parts.append((t[at:], WORD.findall(t[at:].lower())))
         some = [k for k, p in enumerate(parts) if p[1]]
-        gone = set()
+        count = [len(parts[k][1]) for k in some]
+        runs = {(p, p) for p, n in enumerate(count) if n >= long}
         for p in range(len(some)):
-            q, n = p, len(parts[some[p]][1])
-            if n < long:
-                while q + 1 < len(some) and (n < words or q == p):
-                    q += 1
-                    n += len(parts[some[q]][1])
-                if n < words or q == p:
-                    continue
+            ends = [q for q in range(p + 1, len(some)) if sum(count[p : q + 1]) >= words]
+            starts = [q for q in range(p) if sum(count[q : p + 1]) >= words]
+            runs |= {(p, min(ends))} if ends else set()
+            runs |= {(max(starts), p)} if starts else set()
+        if len(some) > 1 and sum(count) < words:
+            runs.add((0, len(some) - 1))
+        gone = set()
+        for p, q in sorted(runs):
             key = tuple(w for k in some[p : q + 1] for w in parts[k][1])
             if key in seen:
                 gone |= set(some[p : q + 1])
