@@ -89,7 +89,7 @@ def format_turns(turns: list[dict]) -> dict:
     for turn in turns:
         role = turn.get("role") or ""
         head = ROLE + escape(role) + TEXT
-        body = escape(turn.get("text") or "") + "".join(flat.visit(p) for p in turn.get("parts") or [])
+        body = "".join(flat.visit(p) for p in [{"kind": "text", "text": turn.get("text")}, *(turn.get("parts") or [])])
         if role == "assistant":
             spans.append({"begin": at + len(head), "end": at + len(head) + len(body)})
         out += [head, body, END]

@@ -4,11 +4,13 @@
 stream is decoded, the local or global palette applied, transparent pixels
 let the canvas show through, and the disposal rule (keep, restore to
 background, restore to previous) is carried out before the next frame.
-``write_gif`` stores 8-bit samples losslessly under a grey palette; its LZW
-stream has literal codes only, with a clear code before each run, so that it
-can be packed and unpacked by array arithmetic.
+``write_gif`` stores 8-bit samples losslessly under a grey palette, by LZW with
+its dictionary. A stored text also has a last frame, a small mark under a
+palette of its own with a transparent colour that is undone after its time; it
+holds no payload. What is read back comes through the one decoder.
 
-Null and empty media, and media that are no GIF, have no frames. A damaged
+Null and empty media, and media that are no GIF, have no frames. Media of any
+length are read frame by frame; ``key`` must not be named like a result column. A damaged
 stream gives the pixels up to the damage; the rest of the frame is index 0.
 Repeated rows get equal frames; an empty table gives no rows.
 """
@@ -20,6 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,12 @@ UNIT = 192
 FRAME_ROWS = 256
 DELAY_MS = 40
 BINS = 16
-_RUN = 247  # literals after each clear code: 248 codes of 9 bits fill 279 bytes
+_FULL = 4096  # entries of a code table
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+#: Disposal rules of stored frames: the payload's stay, the mark goes.
+KEEP, UNDO = 1, 3
+_MARK = ((0, 1, 1, 0, 2, 2, 0, 3), (1, 0, 0, 1, 2, 0, 2, 3), (1, 1, 1, 1, 2, 2, 0, 3), (1, 0, 0, 1, 2, 0, 2, 3))
+_MARK_COLOURS = bytes((0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255))
 
 
 @dataclass
@@ -52,88 +59,98 @@ class Frame:
         return np.concatenate([np.bincount(own[..., c].ravel() >> 4, minlength=BINS) for c in range(3)])
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    count = len(codes)
-    rows = np.zeros((-(-count // 8), 8), np.uint64)
-    rows.ravel()[:count] = codes
-    out = np.empty((len(rows), 9), np.uint8)
-    low = rows[:, 0].copy()
-    for j in range(1, 8):
-        low |= rows[:, j] << np.uint64(9 * j)
-    out[:, :8] = low.view(np.uint8).reshape(-1, 8)
-    out[:, 8] = rows[:, 7] >> np.uint64(1)
-    return out.tobytes()[: -(-count * 9 // 8)]
-
-
-def _unpack9(data: bytes) -> np.ndarray:
-    count = len(data) * 8 // 9
-    rows = np.frombuffer(data + bytes(-len(data) % 9), np.uint8).reshape(-1, 9)
-    low = np.ascontiguousarray(rows[:, :8]).view("<u8").ravel()
-    out = np.empty((len(rows), 8), np.uint16)
-    for j in range(7):
-        out[:, j] = (low >> np.uint64(9 * j)) & np.uint64(511)
-    out[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | rows[:, 8].astype(np.uint16) << 1
-    return out.ravel()[:count]
-
-
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """A GIF code stream of minimum size 8 that says ``samples`` in literals."""
-    rows = -(-len(samples) // _RUN)
-    codes = np.full((rows, _RUN + 1), 256, np.uint16)
-    last = len(samples) - (rows - 1) * _RUN
-    full = samples[: (rows - 1) * _RUN].reshape(rows - 1, _RUN) if rows > 1 else samples[:0].reshape(0, _RUN)
-    codes[: rows - 1, 1:] = full
-    tail = np.concatenate([[256], samples[(rows - 1) * _RUN :].astype(np.uint16), [257]])
-    return _pack9(np.concatenate([codes[: rows - 1].ravel(), tail]).astype(np.uint16)) if last else _pack9(np.array([256, 257], np.uint16))
+@cache
+def _widths(min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the codes after a clear code, and their running sum: they grow as the table does, and no further than it."""
+    known = np.minimum(np.arange(2 * _FULL, dtype=np.int64) + (1 << min_size) + 1, _FULL - 1)
+    widths = np.maximum(np.frexp(known.astype(np.float64))[1], min_size + 1).astype(np.int64)
+    return widths, np.cumsum(widths)
+
+
+def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
+    """A GIF code stream that says ``samples``; a full table is cleared."""
+    clear = 1 << min_size
+    codes, starts = [clear], [0]
+    table: dict[int, int] = {}
+    get, free = table.get, clear + 2
+    left = iter(samples)
+    word = next(left, None)
+    if word is not None:
+        for c in left:
+            key = word << 8 | c
+            longer = get(key)
+            if longer is not None:
+                word = longer
+                continue
+            codes.append(word)
+            word = c
+            if free < _FULL:
+                table[key] = free
+                free += 1
+            else:
+                starts.append(len(codes))
+                codes.append(clear)
+                table.clear()
+                free = clear + 2
+        codes.append(word)
+    codes.append(clear + 1)
+    # a clear code is as wide as the code that it stands for would be
+    ends = [*starts[1:], len(codes) - 1]
+    widths = np.concatenate([[min_size + 1], *(_widths(min_size)[0][: end - start] for start, end in zip(starts, ends, strict=True))])
+    value = np.array(codes, np.int64)
+    end = np.cumsum(widths)
+    at = end - widths
+    value <<= at & 7
+    total = -(-int(end[-1]) // 8)
+    out = np.zeros(total + 3)
+    for k in range(3):
+        out[: total + 2] += np.bincount((at >> 3) + k, (value >> 8 * k) & 255, total + 2)[: total + 2]
+    return out[:total].astype(np.uint8).tobytes()
 
 
 def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
     """Up to ``limit`` samples of a GIF code stream."""
-    if min_size == 8:
-        codes = _unpack9(data)
-        stop = np.flatnonzero(codes == 257)
-        codes = codes[: stop[0]] if len(stop) else codes
-        clears = np.append(np.flatnonzero(codes == 256), len(codes))
-        if len(codes) and codes[0] == 256 and np.diff(clears).max() <= 254 and codes.max() <= 256:
-            return codes[codes < 256].astype(np.uint8)[:limit]
-    return _lzw_general(data, min_size, limit)
-
-
-def _lzw_general(data: bytes, min_size: int, limit: int) -> np.ndarray:
-    clear, stop = 1 << min_size, (1 << min_size) + 1
-    out, have, bits, at = bytearray(), 0, 0, 0
-    table: list[bytes] = []
-    size, last = min_size + 1, None
-    while len(out) < limit:
-        while have < size and at < len(data):
-            bits |= data[at] << have
-            have += 8
-            at += 1
-        if have < size:
+    clear = 1 << min_size
+    padded = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64)
+    bits, at, done = 8 * len(data), 0, 0
+    parts: list[bytes] = []
+    literals = [bytes([k]) for k in range(clear)] + [b"", b""]
+    table, last, number = literals.copy(), None, 0
+    while done < limit:
+        # as many codes as a table has, or up to the next clear or stop code
+        widths, ends = _widths(min_size)
+        before = int(ends[number - 1]) if number else 0
+        upto = min(int(np.searchsorted(ends, bits - at + before, side="right")), number + _FULL)
+        if upto == number:
             break
-        code = bits & ((1 << size) - 1)
-        bits >>= size
-        have -= size
-        if code == stop:
-            break
-        if code == clear or not table:
-            table = [bytes([k]) for k in range(clear)] + [b"", b""]
-            size, last = min_size + 1, None
-            if code == clear:
-                continue
-        if code < len(table):
-            said = table[code]
-        elif last is not None and code == len(table):
-            said = last + last[:1]
-        else:
+        widths, ends = widths[number:upto], ends[number:upto] + (at - before)
+        begin = ends - widths
+        byte = begin >> 3
+        codes = ((padded[byte] | padded[byte + 1] << 8 | padded[byte + 2] << 16) >> (begin & 7)) & ((1 << widths) - 1)
+        special = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        count = int(special[0]) if len(special) else len(codes)
+        free, broken = len(table), False
+        for code in codes[:count].tolist():
+            if code < free:
+                said = table[code]
+            elif last is not None and code == free:
+                said = last + last[:1]
+            else:
+                broken = True
+                break
+            parts.append(said)
+            done += len(said)
+            if last is not None and free < _FULL:
+                table.append(last + said[:1])
+                free += 1
+            last = said
+        if broken or (len(special) and codes[count] == clear + 1):
             break
-        out += said
-        if last is not None and len(table) < 4096:
-            table.append(last + said[:1])
-            if len(table) == 1 << size and size < 12:
-                size += 1
-        last = said
-    return np.frombuffer(bytes(out[:limit]), np.uint8)
+        at = int(ends[count if len(special) else -1])
+        number = min(number + len(codes), _FULL)  # from there on codes have all bits
+        if len(special):
+            table, last, number = literals.copy(), None, 0
+    return np.frombuffer(b"".join(parts)[:limit], np.uint8)
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -218,19 +235,27 @@ def read_gif(data: bytes | None) -> Iterator[Frame]:
             return
 
 
-def write_gif(samples: np.ndarray, width: int = UNIT, rows: int = FRAME_ROWS, delay_ms: int = DELAY_MS) -> bytes:
-    """``samples`` (uint8, whole rows of ``width``) as frames of up to ``rows`` rows under a grey palette."""
-    lines = len(samples) // width
+def _sub_blocks(stream: bytes) -> bytes:
+    whole = len(stream) // 255
+    blocks = np.empty((whole, 256), np.uint8)
+    blocks[:, 0] = 255
+    blocks[:, 1:] = np.frombuffer(stream, np.uint8, whole * 255).reshape(whole, 255)
+    rest = stream[whole * 255 :]
+    return blocks.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
+
+
+def write_gif(samples: bytes, width: int = UNIT, rows: int = FRAME_ROWS, delay_ms: int = DELAY_MS, mark: bool = False) -> bytes:
+    """``samples`` (whole rows of ``width``) as frames of up to ``rows`` rows under a grey palette, and the mark."""
+    lines, delay = len(samples) // width, struct.pack("<H", delay_ms // 10)
     out = [b"GIF89a", struct.pack("<HHBBB", width, min(lines, rows), 0xF7, 0, 0), _GREY]
     for first in range(0, lines, rows):
         high = min(rows, lines - first)
-        stream = lzw_literals(samples[first * width : (first + high) * width])
-        whole = len(stream) // 255
-        blocks = np.empty((whole, 256), np.uint8)
-        blocks[:, 0] = 255
-        blocks[:, 1:] = np.frombuffer(stream, np.uint8, whole * 255).reshape(whole, 255)
-        rest = stream[whole * 255 :]
-        out += [b"\x21\xf9\x04\x04", struct.pack("<H", delay_ms // 10), b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, high, 0), b"\x08", blocks.tobytes(), bytes([len(rest)]) + rest if rest else b"", b"\0"]
+        stream = lzw_encode(samples[first * width : (first + high) * width])
+        out += [b"\x21\xf9\x04", bytes([KEEP << 2]), delay, b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, high, 0), b"\x08", _sub_blocks(stream)]
+    if mark:
+        wide, high = len(_MARK[0]), min(len(_MARK), lines, rows)
+        stream = lzw_encode(b"".join(bytes(line) for line in _MARK[:high]), 2)
+        out += [b"\x21\xf9\x04", bytes([UNDO << 2 | 1]), delay, b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, wide, high, 0x81), _MARK_COLOURS, b"\x02", _sub_blocks(stream)]
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -259,14 +284,15 @@ def payload_of(text: str | None) -> bytes:
 
 
 def store_text(text: str | None) -> bytes:
-    return write_gif(np.frombuffer(payload_of(text), np.uint8))
+    return write_gif(payload_of(text), mark=True)
 
 
 def stored_payload(media: bytes) -> tuple[bytes, str]:
     """The payload that a stored GIF holds, and a feature string: frames, time and summed colour histogram."""
     parts, total, count, time = [], np.zeros(3 * BINS, np.int64), 0, 0
     for f in read_gif(media):
-        parts.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+        if f.disposal == KEEP:
+            parts.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
         total += f.histogram()
         count, time = count + 1, time + f.delay_ms
     return b"".join(parts), f"frames={count};ms={time};rgb{BINS}=" + ",".join(map(str, total))

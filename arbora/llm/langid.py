@@ -90,12 +90,17 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 def _sample_vectors(batches):
     for batch in batches:
         for part in slices(batch):
-            counts = np.minimum(_counts(part.column("text")), 65535).astype(np.uint16)
+            counts = _counts(part.column("text")).astype(np.uint32)
             yield pa.record_batch({"lang": part.column("lang"), "counts": pa.array([r.tobytes() for r in counts], pa.binary())})
 
 
 def fit(docs: DataFrame, learn: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` is true."""
+    """Learns from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` is true.
+
+    About ``rows_per_language`` rows of each language are taken, by a hash of id
+    and text. Every task holds the centroids, so more than ``MAX_LANGUAGES``
+    labels are an error.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     totals = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
@@ -104,10 +109,10 @@ def fit(docs: DataFrame, learn: Column | None = None, rows_per_language: int = R
     if not totals:
         return LanguageModel((), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.ones(DIMENSIONS, np.float32), 0.0)
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows_per_language / r["count"]))) for r in totals])
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 24)) / F.lit(float(1 << 24))
     table = arrow_map(rows.where(chance < share).select("lang", "text"), _sample_vectors, "lang string, counts binary").toArrow()
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
-    counts = np.array([np.frombuffer(b, np.uint16) for b in table.column("counts").to_pylist()], np.float32).reshape(-1, DIMENSIONS)
+    counts = np.array([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()], np.float32).reshape(-1, DIMENSIONS)
     order = np.lexsort((counts @ np.arange(1, DIMENSIONS + 1, dtype=np.float64), langs.astype(str)))
     langs, counts = langs[order], counts[order]
     idf = (1 + np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))).astype(np.float32)

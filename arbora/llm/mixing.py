@@ -82,7 +82,9 @@ def schedule(docs: DataFrame, targets: Mapping[str | None, int] | None = None, b
     rows = docs.toDF(*kept)
     source, doc = (F.col(kept[docs.columns.index(c)]) for c in ("source", "doc_id"))
     rows = rows.withColumn("__known", source.isNotNull()).withColumn("__source", F.coalesce(source.cast("string"), F.lit("")))
-    rows = rows.withColumn("__hash", _order(doc)).withColumn("__bucket", F.col("__hash") % BUCKETS)
+    # rows without an id are spread by all that they hold, rows with one by it alone
+    spread = F.when(doc.isNull(), F.pmod(F.xxhash64(*[F.col(c) for c in kept]), F.lit(1 << 28))).otherwise(_order(doc))
+    rows = rows.withColumn("__hash", spread).withColumn("__bucket", F.col("__hash") % BUCKETS)
     keys = ["__known", "__source", "__bucket"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     running = Window.partitionBy("__known", "__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -208,6 +208,8 @@ def test_gif_rules(spark):
     assert [r["frame"] for r in rows] == [0, 1, 2, 3]
     for size in (2, 5, 8):
         x = rng.integers(0, 1 << min(size, 8), 9000).astype(np.uint8).tobytes() + bytes(9000)
+        assert gif.lzw_encode(x[:3000], size) == _lzw(x[:3000], size)
+        assert gif.lzw_decode(gif.lzw_encode(x * 5, size), size, 5 * len(x)).tobytes() == x * 5
         assert gif.lzw_decode(_lzw(x, size), size, len(x)).tobytes() == x
     for n in (0, 1, 191, 192, 193, 49_152, 49_153, 200_000):
         text = "ab" * (n // 2) + "c" * (n % 2)
