@@ -2,7 +2,7 @@
 
 The box has no lidar data. ``PTS``, ``SHOTS``, ``PLOTS`` and ``FILES`` are SQL
 that Spark and DuckDB run alike; the functions give them as DataFrames under
-the names of the point schema.
+the names of the point schema. Shots are the stated query set, every 20th event.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SELECT 308000.0e0 + lx AS x, 4688000.0e0 + ly AS y,
    ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS rn,
    COUNT(*) OVER (PARTITION BY l_orderkey) AS nr FROM lineitem) AS r) AS b
 """
-SHOTS = "SELECT event_id AS shot_id, 308010.0e0 + CAST((event_id * 37) % 1800 AS DOUBLE) / 10.0e0 AS center_x, 4688010.0e0 + CAST((event_id * 91) % 1800 AS DOUBLE) / 10.0e0 AS center_y, user_id % 8 AS beam FROM events WHERE event_id % 50 = 0"
+SHOTS = "SELECT event_id AS shot_id, 308010.0e0 + CAST((event_id * 37) % 1800 AS DOUBLE) / 10.0e0 AS center_x, 4688010.0e0 + CAST((event_id * 91) % 1800 AS DOUBLE) / 10.0e0 AS center_y, user_id % 8 AS beam FROM events WHERE event_id % 20 = 0"
 PLOTS = "SELECT s_suppkey AS plot_id, 308020.0e0 + CAST((s_suppkey * 53) % 160 AS DOUBLE) AS px, 4688020.0e0 + CAST((s_suppkey * 71) % 160 AS DOUBLE) AS py, s_acctbal / 50.0e0 AS agb, s_nationkey AS block FROM supplier"
 FILES = "SELECT n_nationkey AS file_id, CAST(n_nationkey % 5 AS DOUBLE) * 40.0e0 + 308000.0e0 AS min_x, CAST(n_nationkey % 5 AS DOUBLE) * 40.0e0 + 308040.0e0 AS max_x, FLOOR(n_nationkey / 5.0e0) * 40.0e0 + 4688000.0e0 AS min_y, FLOOR(n_nationkey / 5.0e0) * 40.0e0 + 4688040.0e0 AS max_y, CASE WHEN n_nationkey % 3 = 0 THEN 2017 ELSE 2021 END AS yr FROM nation"
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.functions.lineage import written
+
 
 def disc_join(centres: DataFrame, points: DataFrame, radius: float, x: str = "cx", y: str = "cy", how: str = "inner") -> DataFrame:
     """Every pair of a centre (columns ``x``, ``y``) and a point (X, Y) within ``radius``, with ``distance2``.
@@ -28,13 +33,49 @@ def disc_join(centres: DataFrame, points: DataFrame, radius: float, x: str = "cx
     return centres.join(pairs.select(*centres.columns, *found), centres.columns, "left")
 
 
-def nearest(centres: DataFrame, points: DataFrame, key: str, k: int, radius: float, x: str = "cx", y: str = "cy") -> DataFrame:
-    """The ``k`` nearest points of each centre within ``radius``, with ``rank``; ties by X, then Y."""
-    w = Window.partitionBy(key).orderBy("distance2", "X", "Y")
-    return disc_join(centres, points, radius, x, y).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def nearest(centres: DataFrame, points: DataFrame, key: str, k: int, radius: float | None = None, x: str = "cx", y: str = "cy", z: str | None = None, other: str | None = None) -> DataFrame:
+    """The ``k`` nearest points of each centre, within ``radius`` if one is given, with ``distance2`` and ``rank``; ties by X, then Y.
+
+    Without a radius the search starts with a disc that holds about ``k`` points
+    at the mean density and doubles it for the centres, ever fewer, that have
+    not met ``k``, until it covers all points: exact at any distance, and where
+    points are dense the discs stay small. With ``z`` distances are in space;
+    ``other`` names a column of ``points`` that must differ from the centre's key.
+    """
+
+    def within(some: DataFrame, reach: float) -> DataFrame:
+        pairs = disc_join(some, points, reach, x, y)
+        if other is not None:
+            pairs = pairs.where(F.col(other) != F.col(key))
+        if z is not None:
+            pairs = pairs.withColumn("distance2", F.col("distance2") + F.pow(F.col("Z") - F.col(z), 2)).where(F.col("distance2") <= reach * reach)
+        order = Window.partitionBy(key).orderBy("distance2", "X", "Y", *([other] if other else []))
+        return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if radius is not None:
+        return within(centres, radius)
+    ends = lambda c, n: (F.min(c).alias(f"{n}0"), F.max(c).alias(f"{n}1"))
+    box = points.agg(F.count("*").alias("n"), *ends("X", "x"), *ends("Y", "y"), *(ends("Z", "z") if z else ())).first()
+    own = centres.agg(*ends(x, "x"), *ends(y, "y"), *(ends(z, "z") if z else ())).first()
+    if not box["n"] or own["x0"] is None:
+        return within(centres, 1.0)
+    spans = [max(box[f"{c}1"], own[f"{c}1"]) - min(box[f"{c}0"], own[f"{c}0"]) for c in ("xyz" if z else "xy")]
+    whole = math.hypot(*spans) + 1e-6
+    reach = min(whole, max(whole * 1e-6, 1.5 * math.sqrt(k * max(spans[0] * spans[1], 1e-12) / (math.pi * box["n"]))))
+    parts, left = [], centres
+    while True:
+        found = written(within(left, reach))
+        if reach >= whole:
+            return functools.reduce(DataFrame.union, parts, found)
+        full = found.where(F.col("rank") == k).select(F.col(key).alias("__full"))
+        parts.append(found.join(full, found[key] == full["__full"], "left_semi"))
+        left = written(left.join(full, left[key] == full["__full"], "left_anti"))
+        if left.isEmpty():
+            return functools.reduce(DataFrame.union, parts)
+        reach = min(whole, 2 * reach)
 
 
-def idw(centres: DataFrame, ground: DataFrame, key: str, k: int = 8, radius: float = 50.0) -> DataFrame:
+def idw(centres: DataFrame, ground: DataFrame, key: str, k: int = 8, radius: float | None = None) -> DataFrame:
     """Height at each centre by inverse squared distance over the ``k`` nearest ground points."""
     w = 1.0 / F.pow(F.greatest(F.sqrt("distance2"), F.lit(1e-10)), 2)
     return nearest(centres, ground, key, k, radius).groupBy(key).agg((F.sum(w * F.col("Z")) / F.sum(w)).alias("Z"), F.count("*").alias("n"))

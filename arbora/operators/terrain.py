@@ -16,54 +16,53 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.lineage import written
 from arbora.grid import Grid
 from arbora.operators.filters import merged_ground
-from arbora.operators.joins import nearest
+from arbora.operators.joins import idw, nearest
 from arbora.schema import GROUND
 
 EDGE = 1e-10
 TRIANGLE = "tri int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double"
 
 
-def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Vertex triples of the Delaunay triangulation of distinct points, by inserting them along a snake.
+class Mesh:
+    """A Delaunay triangulation that grows by one vertex at a time.
 
     ``apex[u, v]`` is the third corner of the triangle on the left of u to v. The
-    three last vertices are a frame far outside; triangles with one are left out.
+    three last vertices are a frame far outside.
     """
-    n = len(x)
-    if n < 3:
-        return np.zeros((0, 3), int)
-    span = max(np.ptp(x), np.ptp(y), 1e-9)
-    mx, my = x.mean(), y.mean()
-    px = [*((x - mx) / span).tolist(), -1e4, 1e4, 0.0]
-    py = [*((y - my) / span).tolist(), -1e4, -1e4, 1e4]
-    strips = max(1, int(math.sqrt(n / 2)))
-    strip = np.minimum(((x - x.min()) / span * strips).astype(int), strips)
-    order = np.lexsort((np.where(strip % 2, -y, y), strip))
-    apex: dict[tuple[int, int], int] = {}
-
-    def add(a: int, b: int, c: int) -> None:
-        apex[a, b], apex[b, c], apex[c, a] = c, a, b
-
-    def side(a: int, b: int, p: int) -> float:
-        return (px[b] - px[a]) * (py[p] - py[a]) - (py[b] - py[a]) * (px[p] - px[a])
 
-    add(n, n + 1, n + 2)
-    at = (n, n + 1)
-    for p in order.tolist():
-        a, b = at
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.n = n = len(x)
+        span = max(np.ptp(x), np.ptp(y), 1e-9)
+        self.px = [*((x - x.mean()) / span).tolist(), -1e4, 1e4, 0.0]
+        self.py = [*((y - y.mean()) / span).tolist(), -1e4, -1e4, 1e4]
+        self.apex: dict[tuple[int, int], int] = {(n, n + 1): n + 2, (n + 1, n + 2): n, (n + 2, n): n + 1}
+        self.at = (n, n + 1)
+
+    def find(self, p: int, near: tuple[int, int] | None = None) -> tuple[int, int, int]:
+        """The triangle that holds vertex p, by a walk from the edge ``near`` or the last change."""
+        px, py, apex = self.px, self.py, self.apex
+        a, b = near if near in apex else self.at
         c = apex[a, b]
-        for _ in range(4 * n + 8):  # walk towards p
-            if side(a, b, p) < 0:
+        x, y = px[p], py[p]
+        for _ in range(4 * self.n + 8):
+            if (px[b] - px[a]) * (y - py[a]) - (py[b] - py[a]) * (x - px[a]) < 0:
                 a, b = b, a
-            elif side(b, c, p) < 0:
+            elif (px[c] - px[b]) * (y - py[b]) - (py[c] - py[b]) * (x - px[b]) < 0:
                 a, b = c, b
-            elif side(c, a, p) < 0:
+            elif (px[a] - px[c]) * (y - py[c]) - (py[a] - py[c]) * (x - px[c]) < 0:
                 a, b = a, c
             else:
                 break
             c = apex[a, b]
+        return a, b, c
+
+    def insert(self, p: int, held: tuple[int, int, int]) -> None:
+        """Adds vertex p, which the triangle ``held`` holds."""
+        px, py, apex = self.px, self.py, self.apex
+        a, b, c = held
         hole = [(a, b), (b, c), (c, a)]
         for e in hole:
             del apex[e]
@@ -75,9 +74,26 @@ def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                 hole += [(u, w), (w, v)]
             else:
                 apex[u, v], apex[v, p], apex[p, u] = p, u, v
-                at = (u, v)
-    out = [(a, b, c) for (a, b), c in apex.items() if a < b and a < c and max(b, c) < n]
-    return np.array(sorted(out), int).reshape(-1, 3)
+                self.at = (u, v)
+
+    def triangles(self) -> np.ndarray:
+        """Vertex triples without those at the frame."""
+        out = [(a, b, c) for (a, b), c in self.apex.items() if a < b and a < c and max(b, c) < self.n]
+        return np.array(sorted(out), int).reshape(-1, 3)
+
+
+def delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Vertex triples of the Delaunay triangulation of distinct points, by inserting them along a snake."""
+    n = len(x)
+    if n < 3:
+        return np.zeros((0, 3), int)
+    span = max(np.ptp(x), np.ptp(y), 1e-9)
+    strips = max(1, int(math.sqrt(n / 2)))
+    strip = np.minimum(((x - x.min()) / span * strips).astype(int), strips)
+    mesh = Mesh(x, y)
+    for p in np.lexsort((np.where(strip % 2, -y, y), strip)).tolist():
+        mesh.insert(p, mesh.find(p))
+    return mesh.triangles()
 
 
 def _inside(px: list[float], py: list[float], u: int, v: int, w: int, p: int) -> bool:
@@ -133,20 +149,20 @@ def ground_halo(points: DataFrame, grid: Grid, tile_size: float, buffer: float,
     return grid.halo(merged_ground(points, ground), tile_size, buffer).select("tile", "X", "Y", "Z")
 
 
-def evaluate(queries: DataFrame, ground: DataFrame, keys: list[str], max_distance: float | None = None, extrapolate: bool = True, search: float = 100.0) -> DataFrame:
+def evaluate(queries: DataFrame, ground: DataFrame, keys: list[str], max_distance: float | None = None, extrapolate: bool = True) -> DataFrame:
     """``queries`` (keys, id, X, Y) with ground, slope, distance to the nearest ground point and ``extrapolated``.
 
-    Outside the triangulation the height is the nearest ground point's, found
-    within ``search``, unless ``extrapolate`` is off. Beyond ``max_distance``
-    from any ground point it is null. The distance is worked out only where one
-    of these needs it.
+    Outside the triangulation the height is the nearest ground point's, however
+    far, unless ``extrapolate`` is off. Beyond ``max_distance`` from any ground
+    point it is null. The distance is worked out only where one of these needs it.
     """
     out = interpolate(queries, triangles(ground, keys), keys)
+    if max_distance is None and not extrapolate:
+        return out.withColumn("distance", F.lit(None).cast("double")).withColumn("extrapolated", F.col("ground").isNull())
+    out = written(out)  # so that the triangles are made once
     far = out if max_distance is not None else out.where("ground is null")
     centre = far.select(*keys, "id", F.col("X").alias("cx"), F.col("Y").alias("cy")).withColumn("__id", F.struct(*keys, "id"))
-    tagged = ground.select(*[F.col(k).alias(f"__{k}") for k in keys], "X", "Y", "Z")
-    reach = max_distance if max_distance is not None and not extrapolate else search
-    near = nearest(centre, tagged.select("X", "Y", "Z").distinct(), "__id", 1, reach)
+    near = nearest(centre, ground.select("X", "Y", "Z").distinct(), "__id", 1, max_distance)
     near = near.select(*keys, "id", F.col("Z").alias("__z"), F.sqrt("distance2").alias("distance"))
     out = out.join(near, [*keys, "id"], "left").withColumn("extrapolated", F.col("ground").isNull())
     height = F.coalesce("ground", "__z") if extrapolate else F.col("ground")
@@ -175,10 +191,8 @@ def dtm(points: DataFrame, grid: Grid, tile_size: float, buffer: float = 10.0, m
     cells = grid.cells(points.sparkSession)
     base = ground_halo(points, grid, tile_size, buffer, ground)
     if method == "idw":
-        from arbora.operators.joins import idw
-
         centres = cells.select(F.struct("row", "col").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-        out = idw(centres, merged_ground(points, ground), "id", 8, max(buffer, 10.0))
+        out = idw(centres, merged_ground(points, ground), "id")
         return out.select("id.row", "id.col", F.col("Z").alias("value"), F.lit(None).cast("double").alias("slope"))
     if method != "tin":
         raise ValueError("method must be tin or idw")

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.operators.joins import disc_join
@@ -104,23 +104,37 @@ def read_waveform(z: np.ndarray, w: np.ndarray, is_ground: np.ndarray, pulse: np
     }
 
 
-def simulate(shots: DataFrame, points: DataFrame, key: str = "shot_id", radius: float = RADIUS, step: float = STEP, beam_sigma: float | None = None, density_cell: float | None = DENSITY_CELL, intensity: bool = False, least: int = LEAST_POINTS, noise: float = 0.0, seed: int = 0, pulse: np.ndarray | None = None) -> DataFrame:
-    """A waveform for each shot (``key``, center_x, center_y), nulls and n_points 0 where returns are too few."""
+def weighted_returns(shots: DataFrame, points: DataFrame, key: str = "shot_id", radius: float = RADIUS, beam_sigma: float | None = None, density_cell: float | None = DENSITY_CELL, intensity: bool = False, return_weighting: str = "count") -> DataFrame:
+    """The returns of each shot: key, Z, weight ``w`` and ``g``, 1 for ground.
+
+    The weight is the beam's Gaussian, with ``intensity`` times that; with
+    ``return_weighting`` "fractional" a pulse's returns share its weight, with
+    "count" each has all of it. With a density cell it is divided by the pulses of
+    the cell, which are counted at their last returns; a cell without one leaves
+    it as it is. The cells are counted on the shuffle by shot that whatever
+    gathers a shot's returns needs too.
+    """
+    if return_weighting not in ("count", "fractional"):
+        raise ValueError(f"unknown return weighting {return_weighting!r}")
     sigma = 0.44 * radius if beam_sigma is None else beam_sigma
-    kernel = gaussian(PULSE_SIGMA, step) if pulse is None else np.asarray(pulse, float)
     used = points.select("X", "Y", "Z", "Classification", "ReturnNumber", "NumberOfReturns", *(["Intensity"] if intensity else []))
-    found = disc_join(shots.select(key, "center_x", "center_y"), used, query_radius(radius, sigma), "center_x", "center_y")
-    weight = F.exp(-F.col("distance2") / (2.0 * sigma * sigma)) / F.greatest(F.col("NumberOfReturns"), F.lit(1))
+    found = disc_join(shots.select(key, "center_x", "center_y"), used, query_radius(radius, sigma), "center_x", "center_y").repartition(key)
+    weight = F.exp(-F.col("distance2") / (2.0 * sigma * sigma))
     if intensity:
         weight = weight * F.col("Intensity")
+    if return_weighting == "fractional":
+        weight = F.when(F.col("NumberOfReturns") > 0, weight / F.col("NumberOfReturns")).otherwise(F.lit(0.0))
     if density_cell is not None:
-        cell = [F.floor(F.col(c) / density_cell) for c in ("X", "Y")]
-        found = found.withColumn("__dx", cell[0]).withColumn("__dy", cell[1])
-        last = F.count(F.when(F.col("ReturnNumber") == F.col("NumberOfReturns"), 1))
-        pulses = found.groupBy(key, "__dx", "__dy").agg(last.alias("__n"))
-        found = found.join(pulses, [key, "__dx", "__dy"])
-        weight = F.when(F.col("__n") > 0, weight / F.col("__n")).otherwise(F.lit(0.0))
-    rows = found.select(key, "Z", weight.alias("w"), (F.col("Classification") == BARE_GROUND).cast("double").alias("g"))
+        cell = Window.partitionBy(key, F.floor(F.col("X") / density_cell), F.floor(F.col("Y") / density_cell))
+        found = found.withColumn("__n", F.count_if(F.col("ReturnNumber") >= F.col("NumberOfReturns")).over(cell))
+        weight = weight / F.greatest(F.col("__n"), F.lit(1))
+    return found.select(key, "Z", weight.alias("w"), (F.col("Classification") == BARE_GROUND).cast("double").alias("g"))
+
+
+def simulate(shots: DataFrame, points: DataFrame, key: str = "shot_id", radius: float = RADIUS, step: float = STEP, beam_sigma: float | None = None, density_cell: float | None = DENSITY_CELL, intensity: bool = False, least: int = LEAST_POINTS, noise: float = 0.0, seed: int = 0, pulse: np.ndarray | None = None, return_weighting: str = "count") -> DataFrame:
+    """A waveform for each shot (``key``, center_x, center_y), nulls and n_points 0 where returns are too few."""
+    kernel = gaussian(PULSE_SIGMA, step) if pulse is None else np.asarray(pulse, float)
+    rows = weighted_returns(shots, points, key, radius, beam_sigma, density_cell, intensity, return_weighting)
 
     def wave(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["Z", "w", "g"], ignore_index=True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.columns import lai
+from arbora.functions.lineage import written
 from arbora.grid import Grid
 from arbora.operators import filters, metrics, surfaces, terrain
 from arbora.operators.change import change
@@ -58,6 +59,18 @@ def compute_chm(points: DataFrame, grid: Grid, year: int, method: str = "max", t
     return surfaces.fill_pits(out, grid) if fill else out
 
 
+def compute_all(points: DataFrame, grid: Grid, year: int, tile: float = TILE, buffer: float = BUFFER, max_height: float | None = None) -> dict[str, DataFrame]:
+    """``dtm``, ``dsm`` and ``chm`` (largest height, with quality flags) of one survey.
+
+    Heights are worked out once and written; the canopy uses the same terrain
+    raster that is returned, so ground is triangulated once for the points and
+    once for the pixels.
+    """
+    heights = written(normalised(points, grid, year, tile, buffer))
+    base = written(compute_dtm(points, grid, year, "tin", tile, buffer))
+    return {"dtm": base, "dsm": compute_dsm(points, grid, year), "chm": surfaces.chm_from_heights(heights, grid, base, max_height=max_height)}
+
+
 def compute_metrics(points: DataFrame, grid: Grid, year: int, wanted: tuple[str, ...] = metrics.METRICS, min_density: float = 0.0, radius: float | None = None, tile: float = TILE, buffer: float = BUFFER) -> DataFrame:
     """Structural metrics of each pixel, or of the disc around its centre."""
     heights = normalised(points, grid, year, tile, buffer)

@@ -334,11 +334,9 @@ def thin_pulses(spark, sf_dir):
     return filters.thin_pulses(pts(spark, sf_dir), 4.0, rank=rank).select("Pulse", "ReturnNumber", "Z")
 
 
-@register("dup_ground_mean", f"SELECT x AS \"X\", y AS \"Y\", MIN(z) AS low, COUNT(*) AS n FROM pts WHERE cls IN (2, 9) GROUP BY x, y")
+@register("dup_ground_mean", f"SELECT x AS \"X\", y AS \"Y\", {_cut('AVG(z)')} AS \"Z\", COUNT(*) AS n FROM pts WHERE cls IN (2, 9) GROUP BY x, y")
 def dup_ground_mean(spark, sf_dir):
-    merged = filters.merged_ground(pts(spark, sf_dir, None))
-    low = filters.of_classes(pts(spark, sf_dir, None), (2, 9)).groupBy("X", "Y").agg(F.min("Z").alias("low"))
-    return merged.join(low, ["X", "Y"]).where(F.abs(F.col("Z") - F.col("low")) < 1e-6).select("X", "Y", "low", "n")
+    return filters.merged_ground(pts(spark, sf_dir, None)).select("X", "Y", cut(F.col("Z")).alias("Z"), "n")
 
 
 @register("elm_outliers", """WITH g AS (SELECT x, y, z - CASE WHEN pulse % 97 = 0 THEN 5 + pulse % 11 ELSE 0 END AS z FROM pts WHERE yr = 2021 AND cls = 2),
@@ -388,17 +386,17 @@ def plot_metrics(spark, sf_dir):
     return _tidy(metrics.plot_metrics(fixtures.plots(spark, sf_dir), cleaned(spark, sf_dir), "plot_id", 10.0, ("cc", "h95", "hmax")))
 
 
-@register("nearest_ground", "WITH n AS (SELECT shot_id, x, y, z, ROW_NUMBER() OVER (PARTITION BY shot_id ORDER BY POW(x - center_x, 2) + POW(y - center_y, 2), x, y) AS k FROM shots JOIN pts ON yr = 2021 AND cls = 2 AND POW(x - center_x, 2) + POW(y - center_y, 2) <= 400) SELECT shot_id, MIN(x) AS \"X\", MIN(y) AS \"Y\" FROM n WHERE k = 1 GROUP BY shot_id")
+@register("nearest_ground", "WITH n AS (SELECT shot_id, x, y, z, ROW_NUMBER() OVER (PARTITION BY shot_id ORDER BY POW(x - center_x, 2) + POW(y - center_y, 2), x, y) AS k FROM shots JOIN pts ON yr = 2021 AND cls = 2) SELECT shot_id, MIN(x) AS \"X\", MIN(y) AS \"Y\" FROM n WHERE k = 1 GROUP BY shot_id")
 def nearest_ground(spark, sf_dir):
     ground = filters.of_classes(pts(spark, sf_dir), (BARE_GROUND,)).select("X", "Y", "Z").dropDuplicates(["X", "Y"])
-    return joins.nearest(fixtures.shots(spark, sf_dir), ground, "shot_id", 1, 20.0, "center_x", "center_y").select("shot_id", "X", "Y")
+    return joins.nearest(fixtures.shots(spark, sf_dir), ground, "shot_id", 1, None, "center_x", "center_y").select("shot_id", "X", "Y")
 
 
-@register("idw_k8", f"WITH g AS (SELECT DISTINCT x, y, z FROM pts WHERE yr = 2021 AND cls = 2), n AS (SELECT shot_id, z, POW(x - center_x, 2) + POW(y - center_y, 2) AS d2, ROW_NUMBER() OVER (PARTITION BY shot_id ORDER BY POW(x - center_x, 2) + POW(y - center_y, 2), x, y) AS k FROM shots JOIN g ON POW(x - center_x, 2) + POW(y - center_y, 2) <= 900), w AS (SELECT shot_id, z, 1 / POW(GREATEST(SQRT(d2), 1e-10), 2) AS w FROM n WHERE k <= 8) SELECT shot_id, {_cut('SUM(w * z) / SUM(w)')} AS \"Z\", COUNT(*) AS n FROM w GROUP BY shot_id")
+@register("idw_k8", f"WITH g AS (SELECT DISTINCT x, y, z FROM pts WHERE yr = 2021 AND cls = 2), n AS (SELECT shot_id, z, POW(x - center_x, 2) + POW(y - center_y, 2) AS d2, ROW_NUMBER() OVER (PARTITION BY shot_id ORDER BY POW(x - center_x, 2) + POW(y - center_y, 2), x, y) AS k FROM shots CROSS JOIN g), w AS (SELECT shot_id, z, 1 / POW(GREATEST(SQRT(d2), 1e-10), 2) AS w FROM n WHERE k <= 8) SELECT shot_id, {_cut('SUM(w * z) / SUM(w)')} AS \"Z\", COUNT(*) AS n FROM w GROUP BY shot_id")
 def idw_k8(spark, sf_dir):
     ground = filters.of_classes(pts(spark, sf_dir), (BARE_GROUND,)).select("X", "Y", "Z").distinct()
     shots = fixtures.shots(spark, sf_dir).withColumnsRenamed({"center_x": "cx", "center_y": "cy"})
-    return joins.idw(shots, ground, "shot_id", 8, 30.0).withColumn("Z", cut(F.col("Z")))
+    return joins.idw(shots, ground, "shot_id", 8).withColumn("Z", cut(F.col("Z")))
 
 
 @register("seed_gap_antijoin", "SELECT shot_id FROM shots WHERE NOT EXISTS (SELECT 1 FROM pts WHERE yr = 2021 AND cls = 2 AND rn = 1 AND POW(x - center_x, 2) + POW(y - center_y, 2) <= 9)")

@@ -18,39 +18,47 @@ from arbora.plans.queries import GRID, R, cleaned, cut, pts, register
 from arbora.plans.queries import _cut as sql_cut
 
 TILE, BUFFER = 50.0, 10.0
-INNER = Grid.from_bbox(308020.0, 4688020.0, 308180.0, 4688180.0, 10.0)
+
+
+def framed(spark, sf_dir) -> DataFrame:
+    """Clean points and a ring of ground marks 5 m outside the extent, every 10 m, so that the whole extent is triangulated."""
+    x0, y0, x1, y1 = fixtures.EXTENT
+    along = F.explode(F.sequence(F.lit(0), F.lit(21))).alias("k")
+    sides = [(x0 - 5.0, 0.0, y0 - 5.0, 10.0), (x1 + 5.0, 0.0, y0 - 5.0, 10.0), (x0 - 5.0, 10.0, y0 - 5.0, 0.0), (x0 - 5.0, 10.0, y1 + 5.0, 0.0)]
+    ring = spark.createDataFrame(sides, "x double, dx double, y double, dy double").select("*", along).select((F.col("x") + F.col("k") * F.col("dx")).alias("X"), (F.col("y") + F.col("k") * F.col("dy")).alias("Y")).distinct()
+    marks = ring.select("X", "Y", (800 + (F.col("X") - x0) / 64 + (F.col("Y") - y0) / 32).alias("Z"), F.lit(0.0).alias("HeightAboveGround"), F.lit(2).alias("Classification"))
+    return cleaned(spark, sf_dir).unionByName(marks, allowMissingColumns=True)
 
 
 def _normalised(spark, sf_dir) -> DataFrame:
-    return terrain.normalise(cleaned(spark, sf_dir), GRID, TILE, BUFFER)
+    return terrain.normalise(framed(spark, sf_dir), GRID, TILE, BUFFER)
 
 
-@register("tin_hag", f"SELECT x AS \"X\", y AS \"Y\", pulse AS \"Pulse\", rn AS \"ReturnNumber\", {sql_cut('hag')} AS hag FROM pts WHERE yr = 2021 AND cls NOT IN (7, 18) AND x BETWEEN 308020 AND 308180 AND y BETWEEN 4688020 AND 4688180")
+@register("tin_hag", f"SELECT x AS \"X\", y AS \"Y\", pulse AS \"Pulse\", rn AS \"ReturnNumber\", {sql_cut('hag')} AS hag FROM cells WHERE cls NOT IN (7, 18)")
 def tin_hag(spark, sf_dir):
-    inside = F.col("X").between(308020, 308180) & F.col("Y").between(4688020, 4688180)
-    return _normalised(spark, sf_dir).where(inside).select("X", "Y", "Pulse", "ReturnNumber", cut(F.col("HeightAboveGround")).alias("hag"))
+    return _normalised(spark, sf_dir).select("X", "Y", "Pulse", "ReturnNumber", cut(F.col("HeightAboveGround")).alias("hag"))
 
 
-@register("dtm_tin", f"SELECT CAST(r AS INT) AS {R}, CAST(c AS INT) AS col, {sql_cut('800 + (c * 10 + 5) / 64.0e0 + (195 - r * 10) / 32.0e0')} AS value, {sql_cut('DEGREES(ATAN(SQRT(1 / 4096.0e0 + 1 / 1024.0e0)))')} AS slope FROM range(2, 18) AS a(r) CROSS JOIN range(2, 18) AS b(c), (SELECT COUNT(*) FROM plots WHERE plot_id < 0)")
+@register("dtm_tin", f"SELECT CAST(r AS INT) AS {R}, CAST(c AS INT) AS col, {sql_cut('800 + (c * 10 + 5) / 64.0e0 + (195 - r * 10) / 32.0e0')} AS value, {sql_cut('DEGREES(ATAN(SQRT(1 / 4096.0e0 + 1 / 1024.0e0)))')} AS slope FROM range(20) AS a(r) CROSS JOIN range(20) AS b(c), (SELECT COUNT(*) FROM plots WHERE plot_id < 0)")
 def dtm_tin(spark, sf_dir):
-    out = terrain.dtm(cleaned(spark, sf_dir), GRID, TILE, BUFFER).where("row between 2 and 17 and col between 2 and 17")
+    out = terrain.dtm(framed(spark, sf_dir), GRID, TILE, BUFFER)
     return out.select("row", "col", cut(F.col("value") + 1e-8).alias("value"), cut(F.col("slope") + 1e-9).alias("slope"))
 
 
-@register("dtm_idw")
+@register("dtm_idw", f"WITH g AS (SELECT x, y, AVG(z) AS z FROM pts WHERE yr = 2021 AND cls IN (2, 9) GROUP BY x, y), n AS (SELECT r, c, z, POW(x - 308005 - c * 10, 2) + POW(y - 4688195 + r * 10, 2) AS d2, ROW_NUMBER() OVER (PARTITION BY r, c ORDER BY POW(x - 308005 - c * 10, 2) + POW(y - 4688195 + r * 10, 2), x, y) AS k FROM range(20) AS a(r) CROSS JOIN range(20) AS b(c) CROSS JOIN g) SELECT CAST(r AS INT) AS {R}, CAST(c AS INT) AS col, {sql_cut('SUM(z / GREATEST(d2, 1e-20)) / SUM(1 / GREATEST(d2, 1e-20))')} AS value, CAST(NULL AS DOUBLE) AS slope FROM n WHERE k <= 8 GROUP BY r, c")
 def dtm_idw(spark, sf_dir):
-    return terrain.dtm(cleaned(spark, sf_dir), GRID, TILE, 30.0, "idw")
+    return terrain.dtm(cleaned(spark, sf_dir), GRID, TILE, method="idw").withColumn("value", cut(F.col("value")))
 
 
 @register("chm_max_flags")
 def chm_max_flags(spark, sf_dir):
-    base = terrain.dtm(cleaned(spark, sf_dir), GRID, TILE, BUFFER)
+    base = terrain.dtm(framed(spark, sf_dir), GRID, TILE, BUFFER)
     return surfaces.chm_from_heights(_normalised(spark, sf_dir), GRID, base, max_height=60.0)
 
 
-@register("chm_max", f"SELECT {R}, col, {sql_cut('MAX(hag)')} AS value FROM cells WHERE rn = 1 AND cls IN (2, 3, 4, 5, 9) AND {R} BETWEEN 2 AND 17 AND col BETWEEN 2 AND 17 GROUP BY {R}, col")
+@register("chm_max", f"SELECT {R}, col, {sql_cut('MAX(hag)')} AS value FROM cells WHERE rn = 1 AND cls IN (2, 3, 4, 5, 9) GROUP BY {R}, col")
 def chm_max(spark, sf_dir):
-    out = chm_max_flags(spark, sf_dir).where("value is not null and row between 2 and 17 and col between 2 and 17")
+    out = chm_max_flags(spark, sf_dir).where("value is not null")
     return out.select("row", "col", cut(F.col("value")).alias("value"))
 
 
@@ -76,12 +84,18 @@ def pit_fill(spark, sf_dir):
     return surfaces.fill_pits(top, fine)
 
 
-@register("statistical_outliers")
+@register("statistical_outliers", "WITH p AS (SELECT pulse * 100 + rn AS id, x, y, z FROM pts WHERE yr = 2021 AND cls NOT IN (7, 18)), n AS (SELECT a.id, SQRT(POW(a.x - b.x, 2) + POW(a.y - b.y, 2) + POW(a.z - b.z, 2)) AS d, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY POW(a.x - b.x, 2) + POW(a.y - b.y, 2) + POW(a.z - b.z, 2)) AS k FROM p a JOIN p b ON a.id <> b.id AND b.x BETWEEN a.x - 25 AND a.x + 25 AND b.y BETWEEN a.y - 25 AND a.y + 25), m AS (SELECT id, AVG(d) AS d FROM n WHERE k <= 8 GROUP BY id) SELECT p.id, x AS \"X\", y AS \"Y\", z AS \"Z\" FROM p JOIN m ON p.id = m.id WHERE d <= (SELECT AVG(d) + 2 * STDDEV_SAMP(d) FROM m)")
 def statistical_outliers(spark, sf_dir):
     p = cleaned(spark, sf_dir).withColumn("id", F.col("Pulse") * 100 + F.col("ReturnNumber"))
     return surfaces.drop_statistical_outliers(p, "id", 8, 2.0).select("id", "X", "Y", "Z")
 
 
+@register("waveform_weights", f"WITH near AS (SELECT shot_id, p.*, POW(x - center_x, 2) + POW(y - center_y, 2) AS d2 FROM shots JOIN pts p ON yr = 2021 AND cls NOT IN (7, 18) AND POW(x - center_x, 2) + POW(y - center_y, 2) <= 272.25), w AS (SELECT shot_id, z, cls, EXP(-d2 / 60.5e0) / GREATEST(COUNT(*) FILTER (rn >= nr) OVER (PARTITION BY shot_id, FLOOR(x / 1.5e0), FLOOR(y / 1.5e0)), 1) AS w FROM near) SELECT shot_id, CAST(FLOOR(z / 2) AS BIGINT) AS bin, {sql_cut('SUM(w)')} AS energy, {sql_cut('SUM(CASE WHEN cls = 2 THEN w ELSE 0 END)')} AS ground FROM w GROUP BY 1, 2")
+def waveform_weights(spark, sf_dir):
+    rows = waveform.weighted_returns(fixtures.shots(spark, sf_dir), cleaned(spark, sf_dir))
+    return rows.groupBy("shot_id", F.floor(F.col("Z") / 2).alias("bin")).agg(cut(F.sum("w")).alias("energy"), cut(F.sum(F.col("w") * F.col("g"))).alias("ground"))
+
+
 @register("waveform_full")
 def waveform_full(spark, sf_dir):
     shots = fixtures.shots(spark, sf_dir)

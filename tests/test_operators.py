@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arbora.functions import columns as fn
 from arbora.functions.pulses import pulse_hash
 from arbora.grid import Grid
-from arbora.operators import allometry, attenuation, change, filters, ground, metrics, profiles, scoring, surfaces, terrain, waveform
+from arbora.operators import allometry, attenuation, change, filters, ground, joins, metrics, profiles, scoring, surfaces, terrain, waveform
 from arbora.plans import products, scenes
 
 GRID = Grid.from_bbox(0.0, 0.0, 10.0, 10.0, 1.0)
@@ -66,6 +66,44 @@ def test_ground_beyond_the_triangulation_is_the_nearest(spark):
     assert terrain.normalise(line, GRID, 10.0, 5.0).where("Classification = 5").first()["HeightAboveGround"] == 6.0
 
 
+def test_nearest_at_any_distance(spark):
+    rng = np.random.default_rng(5)
+    spread = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(500, 20, (40, 3)), [[9000.0, -4000.0, 3.0]]])
+    places = np.concatenate([rng.normal(0, 1, (8, 3)), rng.uniform(-3000, 9000, (25, 3))])
+    p = spark.createDataFrame([(int(k), *map(float, r)) for k, r in enumerate(spread)], "n long, X double, Y double, Z double")
+    c = spark.createDataFrame([(int(k), *map(float, r)) for k, r in enumerate(places)], "id long, cx double, cy double, cz double")
+    for z in (None, "cz"):
+        got = {(r["id"], r["rank"]): r["n"] for r in joins.nearest(c, p, "id", 5, z=z).collect()}
+        for k, at in enumerate(places):
+            d = ((spread - at)[:, : 3 if z else 2] ** 2).sum(axis=1)
+            assert [got[k, j + 1] for j in range(5)] == np.argsort(d)[:5].tolist()
+    assert joins.nearest(c, p, "id", 200).count() == len(places) * len(spread)
+    assert joins.nearest(c, p.where("false"), "id", 1).count() == 0 and joins.nearest(c.where("false"), p, "id", 1).count() == 0
+    kept = surfaces.drop_statistical_outliers(p, "n", 4, 3.0)
+    assert kept.count() == len(spread) - 1 and kept.where("n = 100").count() == 0
+
+
+def test_spike_free_takes_returns_one_by_one():
+    rng = np.random.default_rng(2)
+    n = 150
+    x, y = rng.uniform(0, 10, (2, n))
+    z = np.where(rng.random(n) < 0.4, rng.uniform(0, 5, n), 12 + np.sin(x))
+    order = np.lexsort((y, x, -z))
+    x, y, z = x[order], y[order], z[order]
+    kept = []
+    for p in range(n):  # triangulated anew for each return
+        under = False
+        for a, b, c in np.array(kept, int)[terrain.delaunay(x[kept], y[kept])] if len(kept) > 2 else []:
+            m = np.array([[x[b] - x[a], x[c] - x[a]], [y[b] - y[a], y[c] - y[a]]])
+            u, v = np.linalg.solve(m, [x[p] - x[a], y[p] - y[a]])
+            sides = [math.hypot(x[i] - x[j], y[i] - y[j]) for i, j in ((a, b), (b, c), (c, a))]
+            if min(u, v, 1 - u - v) >= 0 and max(sides) <= 2.0:
+                under = z[p] < z[a] + u * (z[b] - z[a]) + v * (z[c] - z[a]) - 0.5
+        if not under:
+            kept.append(p)
+    assert len(kept) < n and surfaces.above_frozen(x, y, z, 2.0, 0.5) == kept
+
+
 def test_delaunay_covers_and_keeps_circles_empty():
     rng = np.random.default_rng(1)
     x, y = rng.random(150) * 100, rng.random(150) * 100
@@ -136,7 +174,7 @@ def test_pit_free_and_spike_free(spark):
     rows = [(x + 0.25, y + 0.25, 0, 5, 10, 1, 1) for x in np.arange(0, 10, 0.5) for y in np.arange(0, 10, 0.5)]
     pits = [(float(a), float(b), 0, 5, 1.0, 1, 1) for a, b in rng.uniform(3, 7, (12, 2))]
     p = points(spark, rows + pits)
-    free = surfaces.spike_free(p, GRID, 10.0, 2.0, freeze=1.5, levels=6).where("row between 2 and 7 and col between 2 and 7").collect()
+    free = surfaces.spike_free(p, GRID, 10.0, 2.0, freeze=1.5).where("row between 2 and 7 and col between 2 and 7").collect()
     assert len(free) == 36 and all(abs(r["value"] - 10) < 1e-6 for r in free)
     layers = surfaces.chm_layers(p, GRID, 10.0, 2.0).where("row between 1 and 8 and col between 1 and 8").collect()
     assert len(layers) == 64 and all(abs(r["value"] - 10) < 1e-6 for r in layers)
@@ -176,6 +214,20 @@ def test_waveform(spark):
     assert abs(waveform.resampled_pulse(np.linspace(-3, 3, 61), np.exp(-np.linspace(-3, 3, 61) ** 2), 0.15).sum() - 1) < 1e-12
 
 
+def test_waveform_weights(spark):
+    shots = spark.createDataFrame([(1, 0.0, 0.0)], "shot_id long, center_x double, center_y double")
+    rows = [(0.1, 0.1, 5, 5, 5, 1, 2), (0.2, 0.2, 0, 2, 0, 2, 2), (0.3, 0.3, 0, 2, 0, 3, 2), (3.1, 3.1, 4, 5, 4, 1, 3), (40, 0, 1, 2, 0, 1, 1)]
+    beam = [math.exp(-(x * x + y * y) / (2 * 5.5**2)) for x, y, *_ in rows[:4]]
+    got = {how: sorted(r["w"] for r in waveform.weighted_returns(shots, points(spark, rows), return_weighting=how).collect()) for how in ("count", "fractional")}
+    # two last returns in the first cell, none in the other; a return numbered beyond the last counts as one
+    assert np.allclose(got["count"], sorted([beam[0] / 2, beam[1] / 2, beam[2] / 2, beam[3]]))
+    assert np.allclose(got["fractional"], sorted([beam[0] / 4, beam[1] / 4, beam[2] / 4, beam[3] / 3]))
+    plain = sorted(r["w"] for r in waveform.weighted_returns(shots, points(spark, rows), density_cell=None).collect())
+    assert np.allclose(plain, sorted(beam))
+    with pytest.raises(ValueError):
+        waveform.weighted_returns(shots, points(spark, rows), return_weighting="none")
+
+
 def test_attenuation(spark):
     rows = [(1, c / 10, 0.8 * math.exp(-0.6 * c / 10)) for c in range(50)]
     fit = attenuation.fit_transmittance(spark.createDataFrame(rows, "key int, c double, t double"), ["key"], "c", "t").first()
@@ -235,6 +287,14 @@ def test_scores(spark):
     b = a.withColumn("value", F.when((F.col("row") == 5) & (F.col("col") == 6), 9.0).when(F.col("value") > 5, 1.0).otherwise(F.col("value")))
     out = scoring.compare_rasters(a, b, 10, 10).first()
     assert out["coverage"] == 1 and out["peaks"] == 1 and out["found"] == 1 and out["matched"] == 1
+    # two peaks of one raster near one of the other: the nearer takes it, the other takes the next
+    def peaked(*at):
+        return spark.createDataFrame([(r, c, 10.0 if (r, c) in at else 1.0) for r in range(12) for c in range(12)], "row int, col int, value double")
+
+    out = scoring.compare_rasters(peaked((5, 3), (5, 7)), peaked((5, 5), (5, 9)), 12, 12, reach=2.5).first()
+    assert (out["peaks"], out["found"], out["matched"]) == (2, 2, 2)
+    out = scoring.compare_rasters(peaked((5, 4), (5, 7)), peaked((5, 6), (8, 8)), 12, 12, reach=3.5).first()
+    assert out["matched"] == 1
     tiles = spark.createDataFrame([(x * 1.0, y * 1.0, (x, y) != (3, 1)) for x in range(4) for y in range(2)], "min_x double, min_y double, good boolean")
     assert [(r["bx"], r["by"]) for r in scoring.whole_blocks(tiles, 1.0).collect()] == [(0, 0)]
 
