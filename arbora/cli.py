@@ -12,17 +12,27 @@ from arbora.sources.las import read_headers, read_las
 
 
 def ingest(spark: SparkSession, table: PointTable, files: list[str], classes: list[int], overwrite: bool) -> dict[str, int]:
-    """Adds LAS files, each once; the table takes the first file's coordinate system."""
-    heads = {r["file"]: r for r in read_headers(spark, files).collect()}
-    first = next(iter(heads.values()))
+    """Adds LAS files in one job, each once; the table takes the first good file's coordinate system.
+
+    Files that can't be read, or have another system than the table, are recorded
+    as failed and give -1.
+    """
+    heads = read_headers(spark, files).orderBy("file").collect()  # a row for each file
+    good = [h for h in heads if h["error"] is None]
     if overwrite or not table.exists():
-        table.create(first["epsg"], overwrite=True)
-    settings = fingerprint({"classes": sorted(classes)})
+        table.create(next((h["epsg"] for h in good if h["epsg"]), 0), overwrite=True)
+    own = table.epsg or next((h["epsg"] for h in good if h["epsg"]), 0)
     out = {}
-    for file, head in heads.items():
-        points = read_las(spark, file).drop("file")
+    for h in heads:
+        problem = h["error"] or (f"EPSG:{h['epsg']} in an EPSG:{own} table" if h["epsg"] not in (0, own) else None)
+        if problem:
+            table.record(h["file"], "failed", 0, "", problem)
+            out[h["file"]] = -1
+    names = [h["file"] for h in good if h["file"] not in out]
+    if names:
+        points = read_las(spark, names)
         points = points.where(F.col("Classification").isin(classes)) if classes else points
-        out |= table.ingest_many({file: points}, head["year"], head["epsg"], settings)
+        out |= table.ingest_files(points, names, None, own, fingerprint({"classes": sorted(classes)}))
     return out
 
 

@@ -8,8 +8,10 @@ tables whose latest row counts.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,7 +75,12 @@ def _now() -> str:
 
 
 class PointTable:
-    """A point table at ``path``, with its coordinate system and manifest beside it."""
+    """A point table at ``path``, with its coordinate system and manifest beside it.
+
+    Points are written in batches, each in a folder of its own, and count only
+    once the manifest names their batch, which is one write. So a job that fails
+    or is killed leaves nothing that is read, and may be run again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -93,12 +100,15 @@ class PointTable:
         """Makes the table; ``overwrite`` removes every point and the manifest."""
         if self.exists() and not overwrite:
             raise ValueError("the table exists")
-        empty = self.spark.createDataFrame([], point_schema()).withColumn("tx", F.lit(0)).withColumn("ty", F.lit(0))
-        empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points")
         self._append("manifest", [], _MANIFEST, "overwrite")
         self._append("meta", [(epsg,)], "epsg int", "overwrite")
+        self._remove("points")
         return self
 
+    def _remove(self, name: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     @property
     def epsg(self) -> int:
         return self.spark.read.parquet(f"{self.path}/meta").first()["epsg"]
@@ -110,19 +120,43 @@ class PointTable:
         if epsg and not own:
             self._append("meta", [(epsg,)], "epsg int", "overwrite")
 
+    def _entries(self) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
+
+    def _batches(self) -> list[str]:
+        """The batches that count: those in the manifest but for what a merged one replaces."""
+        rows = self._entries().where("batch is not null and status in ('ok', 'merged')").groupBy("batch").agg(F.max(F.when(F.col("status") == "merged", F.col("message"))).alias("replaced")).collect()
+        gone = {b for r in rows if r["replaced"] for b in json.loads(r["replaced"])}
+        return sorted(r["batch"] for r in rows if r["batch"] not in gone)
+
     def points(self) -> DataFrame:
         schema = "X double, Y double, " + ", ".join(f"{n} {t.simpleString()}" for n, t in ATTRIBUTES.items()) + ", Year int, tx int, ty int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/points")
+        folders = [f"{self.path}/points/batch={b}" for b in self._batches()]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/points").parquet(*folders).drop("batch")
 
-    def write(self, points: DataFrame, year: int | None = None, epsg: int = 0) -> None:
-        """Appends points: absent attributes become 0, unknown columns are dropped, rows are laid out by tile."""
-        self._agree(epsg)
+    def _write(self, points: DataFrame, year: int | None) -> str | None:
+        """Writes a batch and gives its name, or None if there are no points. A column ``file`` goes along for counting."""
         at = F.lit(year) if year is not None else F.col("Year")
         columns = [F.coalesce(F.col(n), F.lit(0)).cast(t).alias(n) if n in points.columns else F.lit(0).cast(t).alias(n) for n, t in ATTRIBUTES.items()]
-        rows = points.select(F.col("X").cast("double"), F.col("Y").cast("double"), *columns, at.cast("int").alias("Year")).where(F.col("Year").between(*YEARS))
+        named = [F.col("file").alias("__file")] if "file" in points.columns else []
+        rows = points.select(F.col("X").cast("double"), F.col("Y").cast("double"), *columns, *named, at.cast("int").alias("Year")).where(F.col("Year").between(*YEARS))
         rows = rows.withColumn("tx", F.floor(F.col("X") / TILE).cast("int")).withColumn("ty", F.floor(F.col("Y") / TILE).cast("int"))
+        batch = uuid.uuid4().hex
+        self._lay(rows, batch)
+        return batch if self._has(f"points/batch={batch}") else None
+
+    def _lay(self, rows: DataFrame, batch: str) -> None:
         laid = rows.repartitionByRange("Year", "tx", "ty", "X", "Y").sortWithinPartitions("Year", "tx", "ty", z_order("X", "Y"))
-        laid.write.mode("append").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points")
+        laid.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", "Year", "tx", "ty").parquet(f"{self.path}/points")
+
+    def write(self, points: DataFrame, year: int | None = None, epsg: int = 0) -> None:
+        """Appends points: absent attributes become 0, unknown columns are dropped, rows are laid out by tile."""
+        self._agree(epsg)
+        batch = self._write(points.drop("file"), year)
+        if batch:
+            self._append("manifest", [(None, "ok", None, "", "", _now(), batch)], _MANIFEST)
 
     def query_bbox(self, *box: float, attributes: list[str] | None = None, year: int | None = None) -> DataFrame:
         return query_bbox(self.points(), *box, attributes, year)
@@ -131,62 +165,98 @@ class PointTable:
         return [r["Year"] for r in self.points().select("Year").distinct().orderBy("Year").collect()]
 
     def manifest(self) -> DataFrame:
-        return latest_entries(self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest"), "file")
+        return latest_entries(self._entries().where("file is not null"), "file")
 
     def record(self, file: str, status: str, n_points: int, fingerprint: str = "", message: str = "") -> None:
-        self._append("manifest", [(file, status, n_points, fingerprint, message, _now())], _MANIFEST)
+        self._append("manifest", [(file, status, n_points, fingerprint, message, _now(), None)], _MANIFEST)
 
     def list_ingested(self) -> DataFrame:
         return self.manifest().where("status = 'ok'").orderBy("ts")
 
-    def ingest(self, file: str, points: DataFrame, year: int, epsg: int = 0, fingerprint: str = "") -> int:
-        """One file's points, once: a file that is ok in the manifest with the same settings is left out.
+    def ingest_files(self, points: DataFrame, names: list[str], year: int | None = None, epsg: int = 0, fingerprint: str = "") -> dict[str, int]:
+        """Points of many files (column ``file``, of ``names``) in one job, each file once.
 
-        With other settings it is an error. A failure is recorded and raised.
+        What the manifest has as ok with the same settings gives 0, with others -1.
+        Points are read once; counts by file come from the written batch, and one
+        manifest entry makes all of it count. A failure is recorded for each file
+        and raised.
         """
-        seen = self.manifest().where(F.col("file") == file).first()
-        if seen and seen["status"] == "ok":
-            if seen["fingerprint"] != fingerprint:
-                raise ValueError(f"{file} was ingested with other settings")
-            return 0
+        wanted = self.spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "file string")
+        seen = {r["file"]: r["fingerprint"] for r in self.manifest().where("status = 'ok'").join(wanted, "file", "left_semi").collect()}
+        out = {n: 0 if seen.get(n, fingerprint) == fingerprint else -1 for n in names}
+        new = [n for n in out if n not in seen]
+        if not new:
+            return out
+        done = self.spark.createDataFrame([(n,) for n in seen], "file string")
         try:
-            n = points.count()
-            self.write(points, year, epsg)
+            self._agree(epsg)
+            batch = self._write(points.join(done, "file", "left_anti") if seen else points, year)
+            counts = self.spark.read.option("basePath", f"{self.path}/points").parquet(f"{self.path}/points/batch={batch}").groupBy("__file").count().collect() if batch else []
         except Exception as e:
-            self.record(file, "failed", 0, fingerprint, str(e)[:500])
+            self._append("manifest", [(n, "failed", 0, fingerprint, str(e)[:500], _now(), None) for n in new], _MANIFEST)
             raise
-        self.record(file, "ok", n, fingerprint)
+        found = {r["__file"]: r["count"] for r in counts}
+        self._append("manifest", [(n, "ok", found.get(n, 0), fingerprint, "", _now(), batch) for n in new], _MANIFEST)
+        return out | {n: found.get(n, 0) for n in new}
+
+    def ingest(self, file: str, points: DataFrame, year: int, epsg: int = 0, fingerprint: str = "") -> int:
+        """One file's points, once: a file that is ok in the manifest with the same settings is left out.
+
+        With other settings it is an error. A failure is recorded and raised.
+        """
+        n = self.ingest_files(points.withColumn("file", F.lit(file)), [file], year, epsg, fingerprint)[file]
+        if n < 0:
+            raise ValueError(f"{file} was ingested with other settings")
         return n
 
     def ingest_many(self, files: dict[str, DataFrame], year: int, epsg: int = 0, fingerprint: str = "") -> dict[str, int]:
-        """Each file by ``ingest``; a failed one gives -1 and doesn't stop the others."""
+        """All files in one job. If that fails each goes by itself: a failed one gives -1 and doesn't stop the others."""
         out = {}
-        for file, points in files.items():
+        whole = {file: df.withColumn("file", F.lit(file)) for file, df in files.items() if {"X", "Y"} <= set(df.columns)}
+        if len(whole) > 1:
             try:
-                out[file] = self.ingest(file, points, year, epsg, fingerprint)
+                out = self.ingest_files(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), whole.values()), list(whole), year, epsg, fingerprint)
             except Exception:  # recorded in the manifest
-                out[file] = -1
-        return out
+                out = {}
+        for file, points in files.items():
+            if file not in out:
+                try:
+                    out[file] = self.ingest(file, points, year, epsg, fingerprint)
+                except Exception:  # recorded in the manifest
+                    out[file] = -1
+        return {file: out[file] for file in files}
 
     def file_count(self) -> int:
-        return len(self.points().inputFiles())
+        return len(self.points().inputFiles()) if self._batches() else 0
 
     def optimize(self) -> None:
-        """Rewrites the points with one sorted stretch of files for each tile, then swaps the folders."""
-        laid = self.points().repartitionByRange("Year", "tx", "ty").sortWithinPartitions("Year", "tx", "ty", z_order("X", "Y"))
-        laid.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("Year", "tx", "ty").parquet(f"{self.path}/points_new")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.rename(path(f"{self.path}/points"), path(f"{self.path}/points_old"))
-        fs.rename(path(f"{self.path}/points_new"), path(f"{self.path}/points"))
-        fs.delete(path(f"{self.path}/points_old"), True)
+        """Rewrites the points as one batch with a sorted stretch of files for each tile, which then takes the others' place.
+
+        Those stay for whoever still reads them, until ``vacuum``.
+        """
+        old = self._batches()
+        if old:
+            batch = uuid.uuid4().hex
+            rows = self.points().repartitionByRange("Year", "tx", "ty").sortWithinPartitions("Year", "tx", "ty", z_order("X", "Y"))
+            rows.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", "Year", "tx", "ty").parquet(f"{self.path}/points")
+            self._append("manifest", [(None, "merged", None, "", json.dumps(old), _now(), batch)], _MANIFEST)
+
+    def vacuum(self) -> int:
+        """Removes the batches that don't count, when nobody reads or writes them any more; gives how many there were."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/points")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        old = {n for n in names if n.startswith("batch=")} - {f"batch={b}" for b in self._batches()}
+        for name in old:
+            self._remove(f"points/{name}")
+        return len(old)
 
     def revision(self) -> str:
         """A digest of the files that make up the table."""
         return hashlib.sha256("\n".join(sorted(self.points().inputFiles())).encode()).hexdigest()
 
 
-_MANIFEST = "file string, status string, n_points bigint, fingerprint string, message string, ts string"
+_MANIFEST = "file string, status string, n_points bigint, fingerprint string, message string, ts string, batch string"
 
 
 def z_order(x: str, y: str, cell: float = 10.0) -> F.Column:

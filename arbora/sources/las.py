@@ -91,14 +91,24 @@ def read_las(spark: SparkSession, paths: str | list[str], year: int | None = Non
 
 
 def read_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row for each file: count, bounds, creation year and EPSG code."""
+    """One row for each file: count, bounds, creation year, EPSG code, and ``error`` if its points can't be read."""
+    kinds = {"version": "string", "n_points": "bigint", "year": "int", "epsg": "int", **dict.fromkeys(("min_x", "min_y", "min_z", "max_x", "max_y", "max_z"), "double")}
+
+    def head_of(data: bytes) -> dict:
+        try:
+            head = read_header(data)
+        except Exception as e:  # whatever a damaged header leads to
+            return dict.fromkeys(kinds) | {"error": str(e)[:500] or "no header"}
+        short = head["offset"] + head["n_points"] * head["record"] > len(data)
+        problem = "compressed" if head["compressed"] else f"point format {head['format']}" if head["format"] not in FORMATS else "cut short" if short else None
+        return head | {"error": problem}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            heads = [read_header(d) | {"file": p} for p, d in zip(frame["path"], frame["content"], strict=True)]
-            yield pd.DataFrame(heads)[["file", "version", "n_points", "year", "epsg", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]]
+            heads = pd.DataFrame([head_of(d) | {"file": p} for p, d in zip(frame["path"], frame["content"], strict=True)])
+            yield heads[["file", *kinds, "error"]].astype({c: "Int64" for c, k in kinds.items() if k in ("int", "bigint")})
 
-    schema = "file string, version string, n_points bigint, year int, epsg int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    schema = "file string, " + ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", error string"
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, schema)
 
 

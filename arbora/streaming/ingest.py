@@ -17,16 +17,12 @@ def stream_points(spark: SparkSession, source: str, files_per_batch: int = 64) -
 
 
 def ingest_stream(points: DataFrame, table: PointTable, checkpoint: str) -> StreamingQuery:
-    """Appends each file's points once: files that the manifest has as ok are left out, also after a restart."""
+    """Appends each file's points once, also after a restart: a batch counts when the manifest names it with its files."""
 
     def write(batch: DataFrame, _: int) -> None:
-        done = table.manifest().where("status = 'ok'").select("file")
-        new = batch.join(F.broadcast(done.hint("broadcast")) if done.count() < 100_000 else done, "file", "left_anti")
-        counts = new.groupBy("file").count().collect()  # one row for each file of the batch
-        if counts:
-            table.write(new.drop("file"))
-            for r in counts:
-                table.record(r["file"], "ok", r["count"])
+        names = [r["file"] for r in batch.select("file").distinct().collect()]  # one row for each file of the batch
+        if names:
+            table.ingest_files(batch, names)
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -95,6 +95,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert "EPSG:25830" in said and PointTable(spark, table).points().where("Classification > 3").count() == 0
 
 
+def test_one_job_for_many_files(spark, tmp_path, monkeypatch):
+    whole, folder = frame(), tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.las").write_bytes(encode_las(whole.iloc[100 * k : 100 * k + 100], epsg=25830))
+    (folder / "bad.las").write_bytes(b"no las")
+    (folder / "cut.las").write_bytes(encode_las(whole, epsg=25830)[:-10])
+    (folder / "other.las").write_bytes(encode_las(whole, epsg=28992))
+    table = PointTable(spark, str(tmp_path / "t"))
+    out = {k.rsplit("/", 1)[1]: n for k, n in cli.ingest(spark, table, [str(folder)], [], False).items()}
+    assert out == {"0.las": 100, "1.las": 100, "2.las": 100, "bad.las": -1, "cut.las": -1, "other.las": -1}
+    assert table.points().count() == 300 and table.manifest().where("status = 'failed'").count() == 3
+    assert cli.ingest(spark, table, [str(folder)], [], False) and table.points().count() == 300
+    # what a job wrote before it was killed isn't read, and a retry adds the points once
+    more = table.points().limit(10).withColumn("file", F.lit("late"))
+    kept = PointTable._append
+    monkeypatch.setattr(PointTable, "_append", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        table.ingest_files(more, ["late"])
+    monkeypatch.setattr(PointTable, "_append", kept)
+    assert table.points().count() == 300
+    assert table.ingest_files(more, ["late", "none"]) == {"late": 10, "none": 0} and table.ingest_files(more, ["late"]) == {"late": 0}
+    assert table.points().count() == 310 and table.ingest_files(more, ["late"], fingerprint="x") == {"late": -1}
+    table.optimize()
+    table.write(more, 2021)
+    assert table.points().count() == 320 and table.ingest_files(more, ["late"]) == {"late": 0}
+    assert table.vacuum() == 3 and table.points().count() == 320 and table.vacuum() == 0
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     table = PointTable(spark, str(tmp_path / "t")).create()
     source = str(tmp_path / "in")
