@@ -56,42 +56,39 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slots, before - first[text], words.offsets
 
 
-def _sample_features(batches):
+def _sample_counts(batches):
+    """How many documents of each label have each feature; slot -1 counts the documents."""
+    seen, many = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         for part in slices(batch):
-            slots, sentence, at = _features(part.column("text"))
-            rows = range(part.num_rows)
-            yield pa.record_batch(
-                {"toxic": part.column("toxic"), "slots": pa.array([slots[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary()), "sentence": pa.array([sentence[at[k] : at[k + 1]].astype(np.int32).tobytes() for k in rows], pa.binary())}
-            )
+            slots, _, at = _features(part.column("text"))
+            for k, toxic in enumerate(part.column("toxic").to_pylist()):
+                seen[int(toxic > 0), np.unique(slots[at[k] : at[k + 1]])] += 1
+                many[int(toxic > 0)] += 1
+    for label in (0, 1):
+        some = np.flatnonzero(seen[label])
+        yield pa.record_batch({"label": pa.array(np.full(len(some) + 1, label, np.int32)), "slot": pa.array(np.append(some, -1).astype(np.int32)), "n": pa.array(np.append(seen[label][some], many[label]))})
+
+
+def _chosen(seen: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The slots that lean to toxic documents, by counts of documents for each label and slot."""
+    share, both = seen / many[:, None], seen.sum(axis=0) / many.sum()
+    lift = (share[1] - share[0]) / np.sqrt(np.maximum(both * (1 - both) * (1 / many).sum(), 1e-12))
+    return np.flatnonzero((seen.sum(axis=0) >= MIN_DOCUMENTS) & (lift >= MIN_LIFT))
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def _train(bags: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 150, rate: float = 0.15, ridge: float = 2e-3) -> ToxicityModel:
-    """Adam on the likelihood of the bags' labels. bags: slots, sentences, label."""
+def _train(known: np.ndarray, bags: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.15, ridge: float = 2e-3) -> ToxicityModel:
+    """Adam on the likelihood of the bags' labels. bags: label, sentences, and of each chosen feature its column and sentence."""
     size = 1 << BITS
-    seen = np.zeros((2, size))
-    for slots, _, label in bags:
-        seen[label, np.unique(slots)] += 1
-    many = np.bincount([label for _, _, label in bags], minlength=2)[:, None]
-    share, both = seen / many, seen.sum(axis=0) / many.sum()
-    lift = (share[1] - share[0]) / np.sqrt(np.maximum(both * (1 - both) * (1 / many).sum(), 1e-12))
-    known = np.flatnonzero((seen.sum(axis=0) >= MIN_DOCUMENTS) & (lift >= MIN_LIFT))
-    place = np.full(size, -1, np.int32)
-    place[known] = np.arange(len(known))
-    columns, sentence_of, bag_of_sentence, labels, total = [], [], [], [], 0
-    for k, (slots, sentence, label) in enumerate(bags):
-        count = int(sentence.max()) + 1 if len(sentence) else 0
-        use = place[slots]
-        rows = np.repeat(sentence[:, None], slots.shape[1], axis=1)[use >= 0] + total
-        columns.append(use[use >= 0])
-        sentence_of.append(rows)
-        bag_of_sentence.append(np.full(count, k))
-        labels.append(label)
-        total += count
+    sizes = np.array([n for _, n, _, _ in bags])
+    begin = np.cumsum(sizes) - sizes
+    columns = [c for _, _, c, _ in bags]
+    sentence_of = [s + at for (_, _, _, s), at in zip(bags, begin, strict=True)]
+    bag_of_sentence, labels, total = [np.repeat(np.arange(len(bags)), sizes)], [label for label, *_ in bags], int(sizes.sum())
     column, row = np.concatenate(columns), np.concatenate(sentence_of)
     bag, y = np.concatenate(bag_of_sentence), np.array(labels, float)
     w, b = np.zeros(len(known)), -6.0
@@ -125,9 +122,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, positiv
     share = F.when(F.col("toxic") > 0, F.lit(min(1.0, positives / hits))).otherwise(F.lit(min(1.0, negatives / rest)))
     sample = known.where(chance < share)  # about positives + negatives rows, so it can be broadcast
     bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    table = arrow_map(bags, _sample_features, "toxic int, slots binary, sentence binary").toArrow()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("toxic", "slots", "sentence")), strict=True))
-    return _train([(np.frombuffer(s, np.int32).reshape(-1, 2), np.frombuffer(i, np.int32), int(t > 0)) for t, s, i in rows])
+    table = arrow_map(bags, _sample_counts, "label int, slot int, n bigint").groupBy("label", "slot").agg(F.sum("n").alias("n")).toArrow()
+    label, slot, n = (table.column(c).to_numpy() for c in ("label", "slot", "n"))
+    seen, many = np.zeros((2, 1 << BITS)), np.zeros(2)
+    seen[label[slot >= 0], slot[slot >= 0]] = n[slot >= 0]
+    many[label[slot < 0]] = n[slot < 0]
+    if not many.all():  # the sampled labels have no documents
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), -np.inf)
+    known = _chosen(seen, many)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def chosen_features(batches):
+        for batch in batches:
+            for part in slices(batch):
+                slots, sentence, at = _features(part.column("text"))
+                use, rows = shared.value[slots], []
+                for k, toxic in enumerate(part.column("toxic").to_pylist()):
+                    own, said = use[at[k] : at[k + 1]], sentence[at[k] : at[k + 1]]
+                    rows.append((int(toxic > 0), int(said.max()) + 1 if len(said) else 0, own[own >= 0].tobytes(), np.repeat(said[:, None], 2, axis=1)[own >= 0].astype(np.int32).tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["label", "sentences", "columns", "sentence"])
+
+    # of a sampled text only the chosen features come to the driver
+    table = arrow_map(bags, chosen_features, "label int, sentences int, columns binary, sentence binary").toArrow()
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("label", "sentences", "columns", "sentence")), strict=True))
+    return _train(known, [(t, n, np.frombuffer(c, np.int32), np.frombuffer(i, np.int32)) for t, n, c, i in rows])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

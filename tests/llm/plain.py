@@ -75,6 +75,32 @@ def without_repeats(docs: dict[int, str], words: int = 25, long: int = 50) -> di
     return out
 
 
+def chunk_set(data: bytes, gear: list[int]) -> dict[bytes, int]:
+    """Chunks of ``data`` and their lengths, byte by byte."""
+    out, at, h = {}, 0, 0
+    for k, byte in enumerate(data):
+        h = ((h << 1) + gear[byte]) % 2**32
+        size = k + 1 - at
+        small = 16 <= size < 64 and h < 2**24
+        large = 64 <= size and h < 2**28
+        # a rest of at most the smallest size is one chunk
+        if (small or large or size == 256 or k + 1 == len(data)) and (k + 1 == len(data) or len(data) - at > 16):
+            out[data[at : k + 1]] = size
+            at = k + 1
+    return out
+
+
+def covered(a: dict[bytes, int], b: dict[bytes, int]) -> float:
+    return sum(n for c, n in a.items() if c in b) / sum(a.values()) if a else float(not b)
+
+
+def trigrams(text: str) -> Counter:
+    """Byte trigrams of lower-case words with one blank for what is between and around them, digits too, by hashed slot."""
+    data = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", text.lower()).encode()
+    data = bytes(32 if 48 <= c <= 57 else c for c in data)
+    return Counter(((int.from_bytes(data[k : k + 3], "little") * 2654435761) % 2**32) >> 20 for k in range(len(data) - 2))
+
+
 def table_of(shards, size, digest) -> list[int]:
     """The lookup table by taking turns in a loop."""
     first = [digest(s, 0) % size for s in shards]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from arbora.llm import arrowtext, cdc, chat, components, gif, mixing, nearedup, queries, sharding, spans, unigram
+from arbora.llm import arrowtext, cdc, chat, components, gif, langid, mixing, nearedup, queries, sharding, spans, toxicity, unigram
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain  # noqa: E402
@@ -285,6 +285,56 @@ def test_contract_of_fingerprints_and_media(spark, texts):
         assert r["payload_bytes"] == len(payload) and r["media_bytes"] > 0
 
 
+def test_fingerprints_by_bytes(spark, texts):
+    gear = cdc._GEAR.tolist()
+    ids = sorted(texts, reverse=True)
+    sets = {i: plain.chunk_set((t or "").encode(), gear) for i, t in texts.items()}
+    for r in queries.op6_fingerprints(spark, SF).collect():
+        own, after = texts[r["doc_id"]] or "", ids[(ids.index(r["doc_id"]) + 1) % len(ids)]
+        k = len(own) // 3
+        other = plain.chunk_set((own[: len(own) - k] + (texts[after] or "")[:k]).encode(), gear)
+        assert sorted(int(part.split(":")[1]) for part in r["fingerprint"].split()) == sorted(sets[r["doc_id"]].values())
+        assert abs(r["near_edited"] - plain.covered(sets[r["doc_id"]], other)) < 1e-9 and abs(r["near_next"] - plain.covered(sets[r["doc_id"]], sets[after])) < 1e-9
+
+
+def test_language_by_hand(spark, texts):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = {r["doc_id"]: r for r in langid.predict(spark.read.parquet(f"{SF}/documents.parquet"), model).collect()}
+    for i, t in texts.items():
+        x = np.zeros(langid.DIMENSIONS)
+        for slot, n in plain.trigrams(t or "").items():
+            x[slot] = (1 + np.log(n)) * model.idf[slot]
+        cosine = model.centroids @ x / max(np.linalg.norm(x), 1e-12)
+        if any(c.isalpha() for c in t or ""):
+            assert abs(got[i]["score"] - max(cosine.max(), 0)) < 1e-4
+            assert got[i]["lang_pred"] in {model.languages[model.owner[k]] for k in np.flatnonzero(cosine > cosine.max() - 1e-5)}
+        else:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+
+
+def test_noisy_or_by_hand(spark):
+    rng = np.random.default_rng(6)
+    model = toxicity.ToxicityModel(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -1.0)
+    given = {1: "You are bad. Very bad!\nÉté naïf", 2: "one", 3: "", 4: "... !", 5: "Bad bad bad? ok. ok."}
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(given.items()), "doc_id bigint, text string"), model).collect()}
+
+    def slot(word: str) -> int:
+        return int(arrowtext.Words(pa.array([word])).hashes[0] >> np.uint64(64 - toxicity.BITS))
+
+    def start(word: str) -> int:
+        return int(arrowtext.Words(pa.array([word]), toxicity.PREFIX_BYTES).prefixes[0] >> np.uint64(64 - toxicity.BITS))
+
+    for i, t in given.items():
+        clean, loud = 1.0, []
+        for k, sentence in enumerate(plain.CUT.split(t)):
+            words = plain.WORD.findall(sentence.lower())
+            if words:
+                p = 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[slot(w)]) + float(model.weights[start(w)]) for w in words))))
+                clean *= 1 - p
+                loud += [k] if p >= toxicity.SENTENCE_THRESHOLD else []
+        assert abs(got[i]["score"] - (1 - clean)) < 1e-6 and [o["position"] for o in got[i]["offending"]] == loud
+
+
 def test_held_out_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = queries.op8_language_id(spark, SF).join(docs, "doc_id").collect()
