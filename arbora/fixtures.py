@@ -50,6 +50,11 @@ def points(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFra
     return p.select(*[F.col(a).alias(b) for a, b in names.items()])
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a test table is one row group, so one task, and a disc join makes many rows of each of its points."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SHOTS, "events")
 

@@ -33,24 +33,21 @@ def pavd_profile(points: DataFrame, keys: list[str], step: float = STEP, k: floa
     above ground, have no profile.
     """
     cls = F.col("Classification")
-    ground, veg = cls == BARE_GROUND, cls.isin(*VEGETATION)
-    h = F.when(ground, F.lit(0.0)).otherwise(F.col("HeightAboveGround"))
-    used = points.where(ground | veg).withColumn("__h", h).where("__h is not null and not isnan(__h)")
-    sums = used.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.count(F.when(ground, 1)).alias("n_ground"),
-        F.expr("percentile(CASE WHEN Classification != 2 AND __h > 0 THEN __h END, 0.98)").alias("canopy_height"),
-    )
-    good = sums.where((F.col("n_ground") >= least_ground) & (F.col("canopy_height") > 0))
-    layers = F.greatest(F.ceil(F.col("canopy_height") / step), F.lit(1)).cast("int")
-    good = good.withColumn("layers", layers)
+    h = F.when(cls == BARE_GROUND, F.lit(0.0)).otherwise(F.col("HeightAboveGround"))
+    used = points.where(cls.isin(BARE_GROUND, *VEGETATION)).select(*keys, (cls == BARE_GROUND).alias("__g"), h.alias("__h")).where("__h is not null and not isnan(__h)")
+    # one shuffle by group serves its totals, its counts by layer and their running sum
+    group = Window.partitionBy(*keys)
+    totals = {"n": F.count("*"), "n_ground": F.count_if("__g"), "canopy_height": F.percentile(F.when(~F.col("__g") & (F.col("__h") > 0), F.col("__h")), 0.98)}
+    good = used.repartition(*keys).select("*", *[c.over(group).alias(name) for name, c in totals.items()]).where((F.col("n_ground") >= least_ground) & (F.col("canopy_height") > 0))
     # returns by the first edge at or above them; a running sum of the counts is the gap
     edge = F.greatest(F.ceil(F.col("__h") / step), F.lit(0)).cast("int")
     edge = F.when((edge - 1) * step >= F.col("__h"), F.greatest(edge - 1, F.lit(0))).when(edge * step < F.col("__h"), edge + 1).otherwise(edge)
-    counts = used.groupBy(*keys, edge.alias("layer")).agg(F.count("*").alias("c"))
-    edges = good.select(*keys, "n", "n_ground", "layers", "canopy_height", F.explode(F.sequence(F.lit(0), F.col("layers"))).alias("layer"))
+    counts = good.groupBy(*keys, *totals, edge.alias("layer")).agg(F.count("*").alias("c"))
+    layers = F.greatest(F.ceil(F.col("canopy_height") / step), F.lit(1)).cast("int")
+    bins = counts.groupBy(*keys, *totals).agg(F.map_from_entries(F.collect_list(F.struct("layer", "c"))).alias("__c"))
+    edges = bins.select(*keys, *totals, "__c", F.explode(F.sequence(F.lit(0), layers)).alias("layer"))
     w = Window.partitionBy(*keys).orderBy("layer")
-    full = edges.join(counts, [*keys, "layer"], "left").withColumn("below", F.sum(F.coalesce("c", F.lit(0))).over(w))
+    full = edges.withColumn("below", F.sum(F.coalesce(F.col("__c")[F.col("layer")], F.lit(0))).over(w))
     gap = F.greatest(F.col("below") / F.col("n"), 1.0 / F.col("n"))
     full = full.withColumn("z", F.col("layer") * step).withColumn("pai", plant_area(F.least(gap, F.lit(1.0)), k))
     pavd = (F.col("pai") - F.lead("pai").over(w)) / (F.lead("z").over(w) - F.col("z"))
@@ -59,10 +56,11 @@ def pavd_profile(points: DataFrame, keys: list[str], step: float = STEP, k: floa
 
 def waveform_histogram(returns: DataFrame, keys: list[str], step: float = STEP, weight: Column | None = None) -> DataFrame:
     """Weighted returns by height bin from each group's lowest Z: bin, energy; the top edge is in the last bin."""
-    w = F.lit(1.0) if weight is None else weight
-    span = returns.groupBy(*keys).agg(F.min("Z").alias("z_min"), F.greatest(F.ceil((F.max("Z") - F.min("Z")) / step), F.lit(1)).cast("int").alias("bins"))
+    group = Window.partitionBy(*keys)
+    rows = returns.select(*keys, "Z", (F.lit(1.0) if weight is None else weight).alias("__w")).repartition(*keys)
+    rows = rows.withColumn("z_min", F.min("Z").over(group)).withColumn("bins", F.greatest(F.ceil((F.max("Z").over(group) - F.col("z_min")) / step), F.lit(1)).cast("int"))
     at = F.least(F.floor((F.col("Z") - F.col("z_min")) / step), F.col("bins") - 1).cast("int")
-    return returns.withColumn("__w", w).join(span, keys).groupBy(*keys, at.alias("bin")).agg(F.sum("__w").alias("energy"), F.first("z_min").alias("z_min"))
+    return rows.groupBy(*keys, at.alias("bin")).agg(F.sum("__w").alias("energy"), F.first("z_min").alias("z_min"))
 
 
 def relative_heights(histogram: DataFrame, keys: list[str], levels: list[int], step: float = STEP, ground: str = "z_ground") -> DataFrame:

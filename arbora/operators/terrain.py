@@ -120,7 +120,9 @@ def triangles(points: DataFrame, keys: list[str], max_edge: float | None = None)
         return pd.DataFrame(out)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + TRIANGLE
-    return points.select(*keys, "X", "Y", "Z").groupBy(*keys).applyInPandas(build, schema)
+    # a number of partitions is named, as Spark would merge groups that are small in bytes but long to triangulate
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.select(*keys, "X", "Y", "Z").repartition(parts, *keys).groupBy(*keys).applyInPandas(build, schema)
 
 
 def interpolate(queries: DataFrame, tin: DataFrame, keys: list[str], cell: float = 5.0) -> DataFrame:

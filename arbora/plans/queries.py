@@ -359,7 +359,7 @@ def radius_outlier(spark, sf_dir):
 
 @register("disc_join_counts", "SELECT shot_id, COUNT(*) AS n, MAX(z) AS top FROM shots JOIN pts ON yr = 2021 AND POW(x - center_x, 2) + POW(y - center_y, 2) <= 156.25 GROUP BY shot_id")
 def disc_join_counts(spark, sf_dir):
-    found = joins.disc_join(fixtures.shots(spark, sf_dir), pts(spark, sf_dir).select("X", "Y", "Z"), 12.5, "center_x", "center_y")
+    found = joins.disc_join(fixtures.shots(spark, sf_dir), fixtures.dealt(pts(spark, sf_dir).select("X", "Y", "Z")), 12.5, "center_x", "center_y")
     return found.groupBy("shot_id").agg(F.count("*").alias("n"), F.max("Z").alias("top"))
 
 
@@ -446,7 +446,7 @@ _BINS = f"{_FOOT}, span AS (SELECT shot_id, MIN(z) AS z_min, GREATEST(CAST(CEIL(
 
 
 def _footprints(spark, sf_dir) -> DataFrame:
-    return joins.disc_join(fixtures.shots(spark, sf_dir), cleaned(spark, sf_dir), 12.5, "center_x", "center_y")
+    return joins.disc_join(fixtures.shots(spark, sf_dir), fixtures.dealt(cleaned(spark, sf_dir)), 12.5, "center_x", "center_y")
 
 
 @register("waveform_histogram", f"WITH {_BINS} SELECT shot_id, bin, CAST(n AS DOUBLE) AS energy FROM hist")

@@ -92,14 +92,14 @@ def statistical_outliers(spark, sf_dir):
 
 @register("waveform_weights", f"WITH near AS (SELECT shot_id, p.*, POW(x - center_x, 2) + POW(y - center_y, 2) AS d2 FROM shots JOIN pts p ON yr = 2021 AND cls NOT IN (7, 18) AND POW(x - center_x, 2) + POW(y - center_y, 2) <= 272.25), w AS (SELECT shot_id, z, cls, EXP(-d2 / 60.5e0) / GREATEST(COUNT(*) FILTER (rn >= nr) OVER (PARTITION BY shot_id, FLOOR(x / 1.5e0), FLOOR(y / 1.5e0)), 1) AS w FROM near) SELECT shot_id, CAST(FLOOR(z / 2) AS BIGINT) AS bin, {sql_cut('SUM(w)')} AS energy, {sql_cut('SUM(CASE WHEN cls = 2 THEN w ELSE 0 END)')} AS ground FROM w GROUP BY 1, 2")
 def waveform_weights(spark, sf_dir):
-    rows = waveform.weighted_returns(fixtures.shots(spark, sf_dir), cleaned(spark, sf_dir))
+    rows = waveform.weighted_returns(fixtures.shots(spark, sf_dir), fixtures.dealt(cleaned(spark, sf_dir)))
     return rows.groupBy("shot_id", F.floor(F.col("Z") / 2).alias("bin")).agg(cut(F.sum("w")).alias("energy"), cut(F.sum(F.col("w") * F.col("g"))).alias("ground"))
 
 
 @register("waveform_full")
 def waveform_full(spark, sf_dir):
     shots = fixtures.shots(spark, sf_dir)
-    return waveform.simulate(shots, cleaned(spark, sf_dir)).select("shot_id", "n_points", "z_ground", "ground_supported", "cover", "rh")
+    return waveform.simulate(shots, fixtures.dealt(cleaned(spark, sf_dir))).select("shot_id", "n_points", "z_ground", "ground_supported", "cover", "rh")
 
 
 def _identified(spark, sf_dir) -> DataFrame:
@@ -135,7 +135,7 @@ def vegetation_classes(spark, sf_dir):
 
 @register("matched_gaps")
 def matched_gaps(spark, sf_dir):
-    return profiles.matched_gaps(fixtures.shots(spark, sf_dir), cleaned(spark, sf_dir), "shot_id", [0.5 * k for k in range(20)], 5.5, 1.5, 12.5)
+    return profiles.matched_gaps(fixtures.shots(spark, sf_dir), fixtures.dealt(cleaned(spark, sf_dir)), "shot_id", [0.5 * k for k in range(20)], 5.5, 1.5, 12.5)
 
 
 @register("transmittance_fit")
