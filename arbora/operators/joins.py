@@ -55,9 +55,9 @@ def nearest(centres: DataFrame, points: DataFrame, key: str, k: int, radius: flo
     if radius is not None:
         return within(centres, radius)
     ends = lambda c, n: (F.min(c).alias(f"{n}0"), F.max(c).alias(f"{n}1"))
-    box = points.agg(F.count("*").alias("n"), *ends("X", "x"), *ends("Y", "y"), *(ends("Z", "z") if z else ())).first()
     own = centres.agg(*ends(x, "x"), *ends(y, "y"), *(ends(z, "z") if z else ())).first()
-    if not box["n"] or own["x0"] is None:
+    box = points.agg(F.count("*").alias("n"), *ends("X", "x"), *ends("Y", "y"), *(ends("Z", "z") if z else ())).first() if own["x0"] is not None else None
+    if box is None or not box["n"]:
         return within(centres, 1.0)
     spans = [max(box[f"{c}1"], own[f"{c}1"]) - min(box[f"{c}0"], own[f"{c}0"]) for c in ("xyz" if z else "xy")]
     whole = math.hypot(*spans) + 1e-6

@@ -159,10 +159,10 @@ def evaluate(queries: DataFrame, ground: DataFrame, keys: list[str], max_distanc
     point it is null. The distance is worked out only where one of these needs it.
     """
     out = interpolate(queries, triangles(ground, keys), keys)
-    if max_distance is None and not extrapolate:
-        return out.withColumn("distance", F.lit(None).cast("double")).withColumn("extrapolated", F.col("ground").isNull())
     out = written(out)  # so that the triangles are made once
     far = out if max_distance is not None else out.where("ground is null")
+    if max_distance is None and (not extrapolate or far.isEmpty()):
+        return out.withColumn("distance", F.lit(None).cast("double")).withColumn("extrapolated", F.col("ground").isNull())
     centre = far.select(*keys, "id", F.col("X").alias("cx"), F.col("Y").alias("cy")).withColumn("__id", F.struct(*keys, "id"))
     near = nearest(centre, ground.select("X", "Y", "Z").distinct(), "__id", 1, max_distance)
     near = near.select(*keys, "id", F.col("Z").alias("__z"), F.sqrt("distance2").alias("distance"))
