@@ -377,3 +377,12 @@ def test_draw_keeps_its_distance(spark):
         p = np.array([(r["x"], r["y"]) for r in out if r["s"] == name])
         d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + np.eye(len(p)) * 99
         assert len(p) == 8 and d.min() >= 15
+
+
+def test_all_rasters_from_one_normalisation(spark):
+    out = products.compute_all(plane_scene(spark), GRID, 2021, 10.0, 4.0)
+    chm = {(r["row"], r["col"]): r["value"] for r in out["chm"].collect()}
+    dtm = {(r["row"], r["col"]): r["value"] for r in out["dtm"].collect()}
+    dsm = {(r["row"], r["col"]): r["value"] for r in out["dsm"].collect()}
+    assert len(chm) == len(dtm) == 100 and all(abs(v - 10) < 1e-9 for v in chm.values())
+    assert all(abs(dtm[r, c] - plane(c + 0.5, 9.5 - r)) < 1e-9 and abs(dsm[r, c] - dtm[r, c] - 10) < 1e-9 for r, c in chm)
