@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.columns import tilt
+from arbora.functions.lineage import written
 from arbora.grid import Grid
+from arbora.operators import terrain
+from arbora.operators.filters import low_outliers, radius_outliers, vegetation_by_height
 from arbora.operators.terrain import delaunay
+from arbora.schema import NOISE
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -192,6 +196,28 @@ def classify(points: DataFrame, grid: Grid, tile_size: float, buffer: float, met
     return given.groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
 
 
+def reclassify(points: DataFrame, grid: Grid, tile_size: float, buffer: float, key: str = "id", method: str = "smrf", denoise: bool = True, source: tuple[int, ...] = (1,), preserve: bool = True, bounds: tuple[float, float, float] = (0.5, 2.0, 5.0), **parameters) -> DataFrame:
+    """``points`` of the grid with new classes: noise, ground by ``method``, vegetation by height above that ground.
+
+    Noise are low outliers of a cell and points with fewer than two others
+    within a metre. With ``preserve`` only points of the ``source`` classes get
+    a new one. A null class counts as none of them. ``key`` names a point.
+    """
+    own = points.withColumn("__given", F.col("Classification"))
+    if denoise:
+        noise = low_outliers(own.select(key, "X", "Y", "Z")).where("is_low").select(key).union(radius_outliers(own, key)).distinct().withColumn("__noise", F.lit(True))
+        own = own.join(noise, key, "left").withColumn("Classification", F.when(F.col("__noise"), F.lit(7)).otherwise(F.col("Classification"))).drop("__noise")
+    own = written(own)
+    found = classify(own, grid, tile_size, buffer, method, key, **parameters)
+    marked = own.join(found, key, "left").withColumn("Classification", F.when(F.col("is_ground"), F.lit(2)).when(F.col("Classification").isin(*NOISE), F.col("Classification")).otherwise(F.lit(1))).drop("is_ground")
+    heights = terrain.normalise(written(marked), grid, tile_size, buffer)
+    out = vegetation_by_height(heights, bounds)
+    if preserve:
+        free = F.coalesce(F.col("__given").isin(*source), F.lit(False))
+        out = out.withColumn("Classification", F.when(free, F.col("Classification")).otherwise(F.col("__given")))
+    return out.select(*points.columns)
+
+
 def classify_by_votes(points: DataFrame, grid: Grid, tile_size: float, buffer: float, runs: int = 8, angle: float = 10.0, votes: int = 3, key: str = "id", **parameters) -> DataFrame:
     """Progressive triangulation on the upright points and on tilted copies; ground has at least ``votes`` of the runs.
 

@@ -89,6 +89,42 @@ def gap_from_waveform(bins: DataFrame, keys: list[str], ratio: float = 1.0) -> D
     return bins.select(*keys, "bin", F.when(whole > 0, 1.0 - above / whole).alias("gap"))
 
 
+def rebin(bins: DataFrame, keys: list[str], energies: list[str], edges: list[float], step: float, z: str = "z", ground: str = "z_ground") -> DataFrame:
+    """Waveforms on bins of height above ground: keys, bin, low, high and the energies, for every bin of every waveform.
+
+    ``z`` is the centre of a bin ``step`` high; its energy goes to the new bins
+    by the share of its height that they hold, and is lost outside the edges.
+    """
+    low = F.col(z) - step / 2 - F.col(ground)
+    new = F.array(*[F.struct(F.lit(k).alias("bin"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    rows = bins.select(*keys, *energies, low.alias("__low"), F.explode_outer(F.filter(new, lambda t: (t["low"] < low + step) & (t["high"] > low))).alias("__t"))
+    held = (F.least(F.col("__low") + step, F.col("__t.high")) - F.greatest(F.col("__low"), F.col("__t.low"))) / step
+    sums = rows.groupBy(*keys, F.coalesce(F.col("__t.bin"), F.lit(-1)).alias("__bin")).agg(*[F.sum(F.col(e) * held).alias(e) for e in energies])
+    # as many entries as there are edges
+    whole = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__bin", F.struct(*energies)))).alias("__m")).select(*keys, "__m", F.explode(new).alias("__t"))
+    return whole.select(*keys, "__t.*", *[F.coalesce(F.col("__m")[F.col("__t.bin")][e], F.lit(0.0)).alias(e) for e in energies])
+
+
+def footprint_profiles(bins: DataFrame, keys: list[str], edges: list[float], step: float, ratio: float = 1.0, threshold: float = 1e-3) -> DataFrame:
+    """Canopy, ground and gap by height of each waveform (z, z_ground, canopy, ground), and its ``signal_top``.
+
+    The signal top is the upper edge of the highest bin with more than
+    ``threshold`` of the energy at or above it; from there up the gap is null,
+    and ``signal_height``, the bin's centre below it, too.
+    """
+    group = Window.partitionBy(*keys)
+    totals = bins.select(*keys, "z", "z_ground", "canopy", "ground", F.sum("canopy").over(group).alias("__rv"), F.sum("ground").over(group).alias("__rg"))
+    out = rebin(totals, [*keys, "__rv", "__rg"], ["canopy", "ground"], edges, step)
+    above = F.sum("canopy").over(group.orderBy(F.col("bin").desc()))
+    out = out.withColumn("__above", above).withColumn("__all", F.sum(F.col("canopy") + F.col("ground")).over(group))
+    top = F.max(F.when(F.col("__above") > threshold * F.col("__all"), F.col("high"))).over(group)
+    out = out.withColumn("signal_top", F.coalesce(top, F.lit(float(edges[0]))))
+    whole = F.col("__rv") + ratio * F.col("__rg")
+    gap = F.when((whole > 0) & (F.col("low") < F.col("signal_top")), 1.0 - (F.col("__above") - F.col("canopy") / 2) / whole)
+    centre = F.when(F.col("low") < F.col("signal_top"), (F.col("low") + F.col("high")) / 2)
+    return out.select(*keys, "bin", "low", "high", "canopy", "ground", gap.alias("gap"), centre.alias("signal_height"), "signal_top")
+
+
 def plant_area_above(levels: DataFrame, keys: list[str], value: str = "pavd", step: float = 1.0) -> DataFrame:
     """Plant area strictly above each level."""
     w = Window.partitionBy(*keys).orderBy("level").rowsBetween(1, Window.unboundedFollowing)

@@ -6,16 +6,21 @@ the others are checked by tests of their own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora import fixtures
 from arbora.grid import Grid
-from arbora.operators import filters, ground, profiles, surfaces, terrain, waveform
+from arbora.operators import filters, ground, metrics, profiles, scoring, surfaces, terrain, waveform
 from arbora.operators.attenuation import fit_transmittance
 from arbora.operators.filters import vegetation_by_height
+from arbora.operators.joins import disc_join
+from arbora.plans import products
 from arbora.plans.queries import GRID, R, cleaned, cut, pts, register
 from arbora.plans.queries import _cut as sql_cut
+from arbora.plans.queries import _metric_sql, _tidy
 
 TILE, BUFFER = 50.0, 10.0
 
@@ -96,6 +101,66 @@ def waveform_weights(spark, sf_dir):
     return rows.groupBy("shot_id", F.floor(F.col("Z") / 2).alias("bin")).agg(cut(F.sum("w")).alias("energy"), cut(F.sum(F.col("w") * F.col("g"))).alias("ground"))
 
 
+@register("plot_terrain", f"WITH d AS (SELECT plot_id, p.* FROM plots JOIN pts p ON yr = 2021 AND cls NOT IN (7, 18) AND POW(x - px, 2) + POW(y - py, 2) <= 100) SELECT plot_id, {_metric_sql(('cc', 'h50', 'h95', 'hmax'))} FROM d GROUP BY plot_id")
+def plot_terrain(spark, sf_dir):
+    heights = products.plot_heights(fixtures.plots(spark, sf_dir), framed(spark, sf_dir), "plot_id", 10.0)
+    # to the micrometre: the terrain is interpolated, and heights of whole metres are bounds
+    return _tidy(metrics.structure(heights.withColumn("HeightAboveGround", F.round("HeightAboveGround", 6)), ["plot_id"], 100 * math.pi, ("cc", "h50", "h95", "hmax")))
+
+
+_BINS = "b AS (SELECT shot_id, 800 + (center_x - 308000) / 64 + (center_y - 4688000) / 32 AS zg, FLOOR(z * 2) / 2 AS low, SUM(CASE WHEN cls = 2 THEN 0.0e0 ELSE 1 END) AS canopy, SUM(CASE WHEN cls = 2 THEN 1.0e0 ELSE 0 END) AS ground FROM shots JOIN pts ON yr = 2021 AND cls NOT IN (7, 18) AND POW(x - center_x, 2) + POW(y - center_y, 2) <= 156.25 GROUP BY 1, 2, 3)"
+
+
+@register("footprint_profiles", f"""WITH {_BINS}, t AS (SELECT shot_id, SUM(canopy) AS rv, SUM(ground) AS rg FROM b GROUP BY shot_id), e AS (SELECT CAST(k AS INT) AS bin, k - 3.0e0 AS low FROM range(50) AS a(k)),
+ n AS (SELECT t.shot_id, bin, e.low, rv, rg, COALESCE(SUM(canopy * o), 0) AS canopy, COALESCE(SUM(ground * o), 0) AS ground FROM t CROSS JOIN e LEFT JOIN (SELECT *, UNNEST(range(50)) AS k FROM b) AS b ON b.shot_id = t.shot_id AND k = bin AND b.low - zg < e.low + 1 AND b.low - zg + 0.5e0 > e.low, LATERAL (SELECT (LEAST(b.low - zg + 0.5e0, e.low + 1) - GREATEST(b.low - zg, e.low)) / 0.5e0 AS o) GROUP BY ALL),
+ u AS (SELECT *, SUM(canopy) OVER (PARTITION BY shot_id ORDER BY bin DESC) AS above, SUM(canopy + ground) OVER (PARTITION BY shot_id) AS whole FROM n),
+ v AS (SELECT *, MAX(CASE WHEN above > 0.001e0 * whole THEN low + 1 END) OVER (PARTITION BY shot_id) AS signal_top FROM u)
+ SELECT shot_id, bin, {sql_cut('canopy')} AS canopy, {sql_cut('ground')} AS ground, {sql_cut('CASE WHEN low < signal_top THEN 1 - (above - canopy / 2) / (rv + 1.5e0 * rg) END')} AS gap, signal_top FROM v""")
+def footprint_profiles(spark, sf_dir):
+    near = disc_join(fixtures.shots(spark, sf_dir), fixtures.dealt(cleaned(spark, sf_dir)), 12.5, "center_x", "center_y")
+    zg, is_ground = 800 + (F.col("center_x") - 308000) / 64 + (F.col("center_y") - 4688000) / 32, F.col("Classification") == 2
+    bins = near.groupBy("shot_id", zg.alias("z_ground"), (F.floor(F.col("Z") * 2) / 2 + 0.25).alias("z")).agg(F.sum(F.when(is_ground, 0.0).otherwise(1.0)).alias("canopy"), F.sum(F.when(is_ground, 1.0).otherwise(0.0)).alias("ground"))
+    out = profiles.footprint_profiles(bins, ["shot_id"], [float(k) for k in range(-3, 48)], 0.5, 1.5)
+    return out.select("shot_id", "bin", *[cut(F.col(c)).alias(c) for c in ("canopy", "ground", "gap")], "signal_top")
+
+
+@register("aligned_classes", "SELECT cls, CASE WHEN cls = 2 AND pulse % 5 = 0 THEN 1 ELSE cls END AS found, COUNT(*) AS n FROM pts WHERE yr = 2021 GROUP BY 1, 2")
+def aligned_classes(spark, sf_dir):
+    given = pts(spark, sf_dir)
+    other = given.withColumn("Classification", F.when((F.col("Classification") == 2) & (F.col("Pulse") % 5 == 0), F.lit(1)).otherwise(F.col("Classification"))).orderBy(F.xxhash64("X", "Y"))
+    return scoring.aligned(given, other, ("X", "Y", "Z", "Pulse", "ReturnNumber")).groupBy(F.col("Classification").alias("cls"), "found").agg(F.count("*").alias("n"))
+
+
+@register("nested_blocks", "SELECT level, file_id FROM (SELECT file_id, (min_x - 308000) / 40 AS i, (min_y - 4688000) / 40 AS j FROM files), (VALUES (1, 1, 1), (4, 1, 2), (16, 0, 4)) AS l(level, off, s) WHERE i >= off AND i < off + s AND j >= off AND j < off + s")
+def nested_blocks(spark, sf_dir):
+    return scoring.nested_blocks(fixtures.files(spark, sf_dir), (1, 4, 16), 40.0)
+
+
+_FIVE = "LEAST(FLOOR((4688200.0e0 - y) / 5), 39) AS r5, LEAST(FLOOR((x - 308000.0e0) / 5), 39) AS c5"
+
+
+@register("reference_strata", f"WITH f AS (SELECT r5, c5, AVG(CASE WHEN hag > 2 THEN 1.0e0 ELSE 0 END) AS s FROM (SELECT *, {_FIVE} FROM cells) WHERE rn = 1 AND cls NOT IN (7, 18) GROUP BY 1, 2) SELECT CAST(r AS INT) AS {R}, CAST(c AS INT) AS col, '0-15' AS slope, CASE WHEN s IS NULL THEN '' WHEN s < 0.5 THEN '0-50' WHEN s < 0.8e0 THEN '50-80' WHEN s < 0.95e0 THEN '80-95' ELSE '95-100' END AS cover FROM range(40) AS a(r) CROSS JOIN range(40) AS b(c) LEFT JOIN f ON r5 = r AND c5 = c")
+def reference_strata(spark, sf_dir):
+    fine = Grid.from_bbox(*fixtures.EXTENT, 5.0)
+    marks = framed(spark, sf_dir)
+    return scoring.reference_strata(terrain.normalise(marks, fine, TILE, BUFFER), terrain.dtm(marks, fine, TILE, BUFFER), fine)
+
+
+@register("reclassified")
+def reclassified(spark, sf_dir):
+    return ground.reclassify(_identified(spark, sf_dir), GRID, TILE, BUFFER).groupBy("Classification").agg(F.count("*").alias("n"))
+
+
+@register("classifier_sweep")
+def classifier_sweep(spark, sf_dir):
+    settings = {f"smrf {slope}": _ground_query_settings(slope) for slope in (0.15, 0.5)}
+    return scoring.sweep(_identified(spark, sf_dir), F.col("Classification") == 2, settings)
+
+
+def _ground_query_settings(slope: float):
+    return lambda points: ground.classify(points, GRID, TILE, BUFFER, "smrf", slope=slope)
+
+
 @register("waveform_full")
 def waveform_full(spark, sf_dir):
     shots = fixtures.shots(spark, sf_dir)

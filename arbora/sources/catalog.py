@@ -17,6 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora.functions.lineage import written
 from arbora.grid import Grid
 from arbora.schema import ATTRIBUTES, YEARS, point_schema
 
@@ -315,6 +316,14 @@ class RasterStore:
         rows = raster.select("row", "col", F.col("value").cast("float").alias("value"), F.lit(variable).alias("variable"), F.lit(float(resolution)).alias("resolution"), F.lit(year).alias("year"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "resolution", "year").parquet(f"{self.path}/raster")
 
+    def upsert(self, raster: DataFrame, variable: str, resolution: float, year: int) -> None:
+        """Puts pixels (row, col, value) in the place of those stored, such as a tile; the others of the slice stay."""
+        rows = raster.select("row", "col", F.col("value").cast("float").alias("value"))
+        if self._has("raster"):
+            old = self.read(variable, resolution, year).select("row", "col", "value").join(rows, ["row", "col"], "left_anti")
+            rows = written(rows.unionByName(old))  # the slice is read before it is replaced
+        self.write(rows, variable, resolution, year)
+
     def read(self, variable: str, resolution: float, year: int | None = None) -> DataFrame:
         keep = (F.col("variable") == variable) & (F.col("resolution") == float(resolution))
         found = self.spark.read.parquet(f"{self.path}/raster").where(keep if year is None else keep & (F.col("year") == year))
