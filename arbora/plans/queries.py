@@ -43,7 +43,8 @@ def register(name: str, sql: str | None = None):
             if "cells" in sql:
                 ctes.append(f"cells AS ({_CELLS})")
             body = sql.strip()
-            ORACLES[name] = "WITH " + ", ".join(ctes) + (", " + body[5:] if body.startswith("WITH ") else " " + body)
+            own = body[5:] if body.startswith("WITH ") else body
+            ORACLES[name] = body if not ctes else "WITH " + ", ".join(ctes) + (" " if own is body else ", ") + own
         return query
 
     return keep

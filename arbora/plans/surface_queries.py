@@ -82,13 +82,6 @@ def chm_spike_free(spark, sf_dir):
     return surfaces.spike_free(cleaned(spark, sf_dir), GRID, TILE, BUFFER)
 
 
-@register("pit_fill")
-def pit_fill(spark, sf_dir):
-    fine = Grid.from_bbox(*fixtures.EXTENT, 2.0)
-    top = fine.bins(cleaned(spark, sf_dir)).groupBy("row", "col").agg(F.max("HeightAboveGround").alias("value"))
-    return surfaces.fill_pits(top, fine)
-
-
 @register("statistical_outliers", "WITH p AS (SELECT pulse * 100 + rn AS id, x, y, z FROM pts WHERE yr = 2021 AND cls NOT IN (7, 18)), n AS (SELECT a.id, SQRT(POW(a.x - b.x, 2) + POW(a.y - b.y, 2) + POW(a.z - b.z, 2)) AS d, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY POW(a.x - b.x, 2) + POW(a.y - b.y, 2) + POW(a.z - b.z, 2)) AS k FROM p a JOIN p b ON a.id <> b.id AND b.x BETWEEN a.x - 25 AND a.x + 25 AND b.y BETWEEN a.y - 25 AND a.y + 25), m AS (SELECT id, AVG(d) AS d FROM n WHERE k <= 8 GROUP BY id) SELECT p.id, x AS \"X\", y AS \"Y\", z AS \"Z\" FROM p JOIN m ON p.id = m.id WHERE d <= (SELECT AVG(d) + 2 * STDDEV_SAMP(d) FROM m)")
 def statistical_outliers(spark, sf_dir):
     p = cleaned(spark, sf_dir).withColumn("id", F.col("Pulse") * 100 + F.col("ReturnNumber"))
@@ -198,11 +191,6 @@ def vegetation_classes(spark, sf_dir):
     return vegetation_by_height(pts(spark, sf_dir, None)).groupBy("Classification").agg(F.count("*").alias("n"))
 
 
-@register("matched_gaps")
-def matched_gaps(spark, sf_dir):
-    return profiles.matched_gaps(fixtures.shots(spark, sf_dir), fixtures.dealt(cleaned(spark, sf_dir)), "shot_id", [0.5 * k for k in range(20)], 5.5, 1.5, 12.5)
-
-
 @register("transmittance_fit")
 def transmittance_fit(spark, sf_dir):
     gaps = profiles.gap_from_returns(filters.of_classes(pts(spark, sf_dir), (2, 3, 4, 5)), ["Year"], [float(k) for k in range(1, 40)])
