@@ -34,9 +34,12 @@ def in_strips(x: Column, x_min: float, period: float, width: float, offset: floa
 
 
 def density_version(name: Column) -> Column:
-    """(density, tag) of names such as ``pd_00p5_a``."""
-    text = F.regexp_extract(name, r"^pd_(\d+p?\d*)", 1)
-    return F.struct(F.when(text != "", F.regexp_replace(text, "p", ".").cast("double")).alias("density"), F.regexp_extract(name, r"^pd_\d+p?\d*_?(.*)$", 1).alias("tag"))
+    """(density, tag) of names such as ``pd_00p5_a``; any other name has no density and is its own tag."""
+    form = r"^pd_(\d+)(p\d+)?(_.+)?$"
+    part = lambda k: F.regexp_extract(name, form, k)
+    density = F.concat(part(1), F.lit("."), F.coalesce(F.nullif(F.substring(part(2), 2, 20), F.lit("")), F.lit("0"))).cast("double")
+    known = name.rlike(form)
+    return F.struct(F.when(known, density).alias("density"), F.when(known, F.substring(part(3), 2, 1 << 30)).otherwise(name).alias("tag"))
 
 
 def right_open_label(value: Column, breaks: list[float], scale: float = 1.0) -> Column:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from arbora import fixtures
 from arbora.functions import columns as fn
 from arbora.grid import Grid
-from arbora.operators import allometry, attenuation, profiles, scoring, surfaces
+from arbora.operators import allometry, attenuation, profiles, reference, scoring, surfaces
 from arbora.plans.queries import GRID, R, cleaned, cut, pts, register
 from arbora.plans.queries import _cut as sql_cut
+from arbora.plans.surface_queries import BUFFER, TILE, framed
 from arbora.sources.catalog import with_attributes
 from arbora.streaming import ingest
 
@@ -29,7 +30,7 @@ def terrain_forms(spark, sf_dir):
     return pts(spark, sf_dir).select((F.col("Pulse") * 100 + F.col("ReturnNumber")).alias("id"), *[cut(fn.terrain(kind, u, v)).alias(kind) for kind in _FORMS])
 
 
-@register("density_versions", "SELECT plot_id, CASE WHEN plot_id % 3 = 2 THEN NULL ELSE (plot_id % 20) + CASE WHEN plot_id % 3 = 0 THEN 0.5e0 ELSE 0 END END AS density, CASE WHEN plot_id % 3 = 2 THEN '' ELSE 'b' || (plot_id % 4) END AS tag FROM plots")
+@register("density_versions", "SELECT plot_id, CASE WHEN plot_id % 3 = 2 THEN NULL ELSE (plot_id % 20) + CASE WHEN plot_id % 3 = 0 THEN 0.5e0 ELSE 0 END END AS density, CASE WHEN plot_id % 3 = 2 THEN 'full' ELSE 'b' || (plot_id % 4) END AS tag FROM plots")
 def density_versions(spark, sf_dir):
     k = F.col("plot_id")
     whole, part, tag = F.lpad((k % 20).cast("string"), 2, "0"), F.when(k % 3 == 0, F.lit("p5")).otherwise(F.lit("")), (k % 4).cast("string")
@@ -178,3 +179,45 @@ def pit_fill(spark, sf_dir):
     fine = Grid.from_bbox(*fixtures.EXTENT, 2.0)
     top = fine.bins(cleaned(spark, sf_dir)).groupBy("row", "col").agg(F.max("HeightAboveGround").alias("value"))
     return surfaces.fill_pits(top, fine).withColumn("value", cut(F.col("value")))
+
+
+@register("extent_raster", f"""WITH b AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM pts WHERE yr = 2021), k AS (SELECT *, CEIL((x1 - x0) / 20) AS nx, CEIL((y1 - y0) / 20) AS ny FROM b)
+ SELECT CAST(ny - 1 - LEAST(FLOOR((y - y0) / ((y1 - y0) / ny)), ny - 1) AS INT) AS {R}, CAST(LEAST(FLOOR((x - x0) / ((x1 - x0) / nx)), nx - 1) AS INT) AS col, {sql_cut('AVG(z)')} AS value FROM pts CROSS JOIN k WHERE yr = 2021 GROUP BY 1, 2""")
+def extent_raster(spark, sf_dir):
+    return reference.extent_raster(pts(spark, sf_dir), "Z", 20.0).withColumn("value", cut(F.col("value")))
+
+
+@register("mixed_density", "SELECT CASE WHEN cls IN (3, 4, 5) THEN 5 ELSE cls END AS \"Classification\", COUNT(*) AS n, MIN(x) AS west FROM pts WHERE cls IN (2, 3, 4, 5, 9) AND x BETWEEN 308000 AND 308200 AND y BETWEEN 4688000 AND 4688150 AND (((x - 308035.0e0) % 100 + 100) % 100 < 30) = (yr = 2021) GROUP BY 1")
+def mixed_density(spark, sf_dir):
+    box = (308000.0, 4688000.0, 308200.0, 4688150.0)
+    out = reference.mixed_density(pts(spark, sf_dir, 2017), pts(spark, sf_dir, 2021), box)
+    return out.groupBy("Classification").agg(F.count("*").alias("n"), F.min("X").alias("west"))
+
+
+_PLANE = "800 + ({x} - 308000) / 64.0e0 + ({y} - 4688000) / 32.0e0"
+
+
+@register("reference_surfaces", f"""WITH f AS (SELECT LEAST(CAST(FLOOR((4688200.0e0 - y) / 2) AS INT), 99) AS fr, LEAST(CAST(FLOOR((x - 308000.0e0) / 2) AS INT), 99) AS fc, MAX(z) AS top FROM cells WHERE cls NOT IN (7, 18) GROUP BY 1, 2),
+ h AS (SELECT fr, fc, GREATEST(top - ({_PLANE.format(x='(308001 + fc * 2)', y='(4688199 - fr * 2)')}), 0) AS h FROM f),
+ t AS (SELECT fr // 5 AS r, fc // 5 AS c, MAX(h) AS chm_max, MAX(CASE WHEN fr % 5 BETWEEN 1 AND 2 AND fc % 5 BETWEEN 1 AND 2 THEN h END) AS chm_centre FROM h GROUP BY 1, 2)
+ SELECT CAST(i AS INT) AS {R}, CAST(j AS INT) AS col, {sql_cut(_PLANE.format(x='(308005 + j * 10)', y='(4688195 - i * 10)') + ' + 1e-8')} AS dtm, {sql_cut('chm_max + 1e-8')} AS chm_max, {sql_cut('chm_centre + 1e-8')} AS chm_centre FROM range(20) AS a(i) CROSS JOIN range(20) AS b(j) LEFT JOIN t ON r = i AND c = j""")
+def reference_surfaces(spark, sf_dir):
+    out = reference.reference_surfaces(framed(spark, sf_dir), GRID, TILE, BUFFER, centre=4.0, fine=2.0)
+    return out.select("row", "col", *[cut(F.col(c) + 1e-8).alias(c) for c in ("dtm", "chm_max", "chm_centre")])
+
+
+@register("scene_scores", f"""WITH v AS (SELECT {R} AS r, col AS c, MAX(hag) FILTER (cls <> 7) AS value, MAX(hag) FILTER (rn = 1) AS mx, MAX(hag) FILTER (rn = 1 AND cls IN (2, 5)) AS ce FROM cells GROUP BY 1, 2),
+ k AS (SELECT LEAST(CAST(FLOOR((4688200.0e0 - py) / 10.0e0) AS INT), 19) AS r, CAST(FLOOR((px - 308000.0e0) / 10.0e0) AS INT) AS c FROM plots), e AS (SELECT (SELECT MAX(value) FROM v WHERE ABS(v.r - k.r) <= 1 AND ABS(v.c - k.c) <= 1) - (SELECT MAX(mx) FROM v WHERE ABS(v.r - k.r) <= 1 AND ABS(v.c - k.c) <= 1) AS e FROM k WHERE r BETWEEN 1 AND 18 AND c BETWEEN 1 AND 18),
+ w AS (SELECT *, mx IS NOT NULL AND ce IS NOT NULL AS known FROM v)
+ SELECT {sql_cut('AVG(CASE WHEN known THEN CAST(value IS NOT NULL AS INT) END)')} AS valid, {sql_cut('AVG(CASE WHEN known THEN value - ce END)')} AS bias_centre, {sql_cut('AVG(CASE WHEN known THEN ABS(value - ce) END)')} AS mae_centre, {sql_cut('AVG(CASE WHEN known THEN CAST(ABS(value - ce) < 0.5 AS INT) END)')} AS within05_centre,
+ {sql_cut('AVG(CASE WHEN known THEN value - mx END)')} AS bias_max, {sql_cut('AVG(CASE WHEN known THEN ABS(value - mx) END)')} AS mae_max, {sql_cut('AVG(CASE WHEN known THEN CAST(ABS(value - mx) < 0.5 AS INT) END)')} AS within05_max,
+ {sql_cut('AVG(value)')} AS mean_height, {sql_cut('AVG(ce)')} AS mean_height_truth, {sql_cut('AVG(CASE WHEN known THEN CAST(value > 2 AS INT) END)')} AS cover2, {sql_cut('AVG(CASE WHEN known THEN CAST(ce > 2 AS INT) END)')} AS cover2_truth,
+ {sql_cut('(SELECT AVG(e) FROM e)')} AS treetop_bias, {sql_cut('(SELECT AVG(ABS(e)) FROM e)')} AS treetop_mae, {sql_cut('(SELECT AVG(CAST(ABS(e) < 1 AS INT)) FROM e)')} AS treetop_within1, (SELECT COUNT(*) FROM e) AS trees FROM w""")
+def scene_scores(spark, sf_dir):
+    cells = GRID.bins(pts(spark, sf_dir))
+    top = lambda where, name: F.max(F.when(where, F.col("HeightAboveGround"))).alias(name)
+    first = F.col("ReturnNumber") == 1
+    rasters = cells.groupBy("row", "col").agg(top(F.col("Classification") != 7, "value"), top(first, "chm_max"), top(first & F.col("Classification").isin(2, 5), "chm_centre"))
+    trees = fixtures.plots(spark, sf_dir).select(GRID.row("py").alias("row"), GRID.col("px").alias("col"))
+    out = reference.scene_scores(rasters.drop("value"), rasters.select("row", "col", "value"), trees, GRID)
+    return out.select(*[cut(F.col(c)).alias(c) for c in out.columns if c != "trees"], "trees")
