@@ -16,8 +16,9 @@ broadcast (their number is fixed by the file). That file belongs to a
 pair-merging model and has merge ranks in place of log probabilities, so a
 piece's score is the log of a Zipf-Mandelbrot probability of its rank.
 
-Null text: null ids. Empty text: no ids. Repeated rows are encoded alike; an
-empty table gives no rows; other columns are ignored.
+Null text: null ids. Empty text: no ids. Texts of any length are encoded whole.
+Repeated rows are encoded alike; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -247,6 +248,14 @@ def bytes_of_binary(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(buffers[2], np.uint8, int(at[-1]), int(first)) if at[-1] else np.zeros(0, np.uint8)), at
 
 
+def _pieces_only(ids: pa.ListArray, count: int) -> pa.ListArray:
+    """``ids`` with ``count`` in place of what is no number below it."""
+    flat = pc.fill_null(ids.flatten(), -1)
+    whole = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, count)), flat, pa.scalar(count, flat.type))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), whole, mask=ids.is_null())
+
+
 def encode(docs: DataFrame, path: str = MODEL, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``ids``, ``n_ids`` and ``round_trip``: whether the decoded ids are the text again; then the columns ``carried``."""
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
@@ -267,13 +276,17 @@ def encode(docs: DataFrame, path: str = MODEL, carried: tuple[str, ...] = ()) ->
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id and ``text`` of ids; bytes that are no UTF-8 become replacement characters."""
+    """doc_id and ``text`` of ids; other columns are ignored, and null ids have null text.
+
+    An id that is null or no piece's, and bytes that are no UTF-8, become
+    replacement characters, so damaged rows are read as far as they can be.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(path).spelling)
 
     def run(batches):
-        spelling = pa.array(shared.value, pa.binary())
+        spelling = pa.array([*shared.value, "\N{REPLACEMENT CHARACTER}".encode()], pa.binary())
         for batch in batches:
-            raw = decode_slice(batch.column("ids"), spelling).to_pylist()
+            raw = decode_slice(_pieces_only(batch.column("ids"), len(spelling) - 1), spelling).to_pylist()
             yield pa.record_batch([batch.column("doc_id"), pa.array([None if r is None else r.decode(errors="replace") for r in raw], pa.string())], names=["doc_id", "text"])
 
     return arrow_map(encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids"), run, "doc_id bigint, text string")

@@ -95,6 +95,28 @@ def test_encoding(docs, none):
     assert unigram.encode(none).count() == 0
 
 
+def test_damaged_ids_are_read_as_far_as_they_can_be(spark):
+    letter = unigram.load_pieces().spelling.index(b" a")
+    byte = int(unigram.load_pieces().bytes_at[0xFF])
+    rows = [(1, [letter, -5, 10**6, None, letter], "x"), (2, None, "x"), (3, [], "x"), (None, [letter, byte], "x"), (1, [letter], "x")]
+    out = unigram.decode(spark.createDataFrame(rows, "doc_id bigint, ids array<int>, text string").coalesce(1)).collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(1, "a\ufffd\ufffd\ufffd a"), (2, None), (3, ""), (None, "a\ufffd"), (1, "a")]
+    assert unigram.decode(spark.createDataFrame([], "doc_id bigint, ids array<int>")).count() == 0
+
+
+def test_shards_on_disk(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = {(r["doc_id"], r["shard"]) for r in sharding.place(docs).collect()}
+    assert back.count() == len(ROWS) and {(r["doc_id"], r["shard"]) for r in back.collect()} == want
+
+
+def test_long_conversation(spark):
+    turns = [(1, k, "assistant" if k % 2 else "user", f"<s>turn {k}</s>" * 40) for k in range(3000)]
+    out = chat.read_back(chat.format_chats(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))).first()
+    assert out["n_turns"] == 3000 and out["loss_chars"] == sum(len(t) for _, k, _, t in turns if k % 2)
+
+
 def test_mixing(docs, none):
     out = mixing.schedule(docs, {"a": 2, "b": 1}, block_size=2)
     assert out.count() == len(ROWS)
