@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 101
@@ -30,14 +30,17 @@ def relative_levels(profiles: DataFrame, keys: list[str], values: str = "pavd")
     return profiles.select(*keys, F.posexplode(values).alias("level", "value")).where(F.col("level") < LEVELS)
 
 
-def ratios(levels: DataFrame, reference: str, candidate: str, least: float = 5e-3, least_sum: float = 0.05) -> DataFrame:
-    """Ratio of candidate to reference at each level, and of their sums from the top, where the reference is large enough."""
-    from pyspark.sql import Window
+def observed_levels(footprints: DataFrame, shots: DataFrame, row: str = "shot_row", values: str = "pavd") -> DataFrame:
+    """``footprints`` with a row for each level of the profile that ``shots`` holds under the same number, none without one."""
+    return footprints.join(relative_levels(shots, [row], values), row)
 
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("level").desc())  # at most 101 rows
+
+def ratios(levels: DataFrame, reference: str, candidate: str, least: float = 5e-3, least_sum: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Ratio of candidate to reference at each level (of each block), and of their sums from the top, where the reference is large enough."""
+    w = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.col("level").desc())  # at most 101 rows a block
     r, c = F.col(reference), F.col(candidate)
     out = levels.withColumn("__r", F.sum(r).over(w)).withColumn("__c", F.sum(c).over(w))
-    return out.select("level", F.when(r > least, c / F.nullif(r, F.lit(0.0))).alias("ratio"), F.when(F.col("__r") > least_sum, F.col("__c") / F.nullif(F.col("__r"), F.lit(0.0))).alias("cumulative_ratio"))
+    return out.select(*keys, "level", F.when(r > least, c / F.nullif(r, F.lit(0.0))).alias("ratio"), F.when(F.col("__r") > least_sum, F.col("__c") / F.nullif(F.col("__r"), F.lit(0.0))).alias("cumulative_ratio"))
 
 
 def fit_transmittance(samples: DataFrame, keys: list[str], cover: str, transmitted: str, free_amplitude: bool = True, least: int = 4) -> DataFrame:

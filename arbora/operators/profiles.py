@@ -145,10 +145,10 @@ def voxel_density(points: DataFrame, voxel: float, extinction: float = 0.5, grou
     return counts.withColumn("below", below).where("kz >= 0").select("kx", "ky", "kz", "veg", "below", pad.alias("pad"))
 
 
-def attenuation_levels(profiles: DataFrame, value: str = "pavd") -> DataFrame:
-    """Median of each level over all shots, and its share of the summed medians from the top: level, median, n, cumulative."""
-    med = profiles.groupBy("level").agg(F.median(value).alias("median"), F.count(value).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("level").desc())  # at most as many rows as levels
+def attenuation_levels(profiles: DataFrame, value: str = "pavd", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Median of each level over all shots (of each block), and the running sum of the medians from the top: level, median, n, cumulative."""
+    med = profiles.groupBy(*keys, "level").agg(F.median(value).alias("median"), F.count(value).alias("n"))
+    w = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.col("level").desc())  # at most as many rows as levels
     return med.withColumn("cumulative", F.sum("median").over(w))
 
 

@@ -96,6 +96,19 @@ def attenuation_ratios(spark, sf_dir):
     return out.select("level", cut(F.col("ratio")).alias("ratio"), cut(F.col("cumulative_ratio")).alias("cumulative_ratio"))
 
 
+@register("block_attenuation", f"""WITH v AS (SELECT beam AS block, CAST(level AS INT) AS level, (shot_id * 13 + level * 7) % 101 / 10.0e0 AS w, (shot_id * 29 + level * 3) % 97 / 10.0e0 AS g FROM shots CROSS JOIN range(0, 101) AS r(level)),
+ m AS (SELECT block, level, quantile_cont(w, 0.5) AS w, quantile_cont(g, 0.5) AS g, COUNT(*) AS n FROM v GROUP BY 1, 2), s AS (SELECT *, SUM(w) OVER (PARTITION BY block ORDER BY level DESC) AS sw, SUM(g) OVER (PARTITION BY block ORDER BY level DESC) AS sg FROM m)
+ SELECT block, level, {sql_cut('CASE WHEN w > 0.005e0 THEN g / w END')} AS ratio, {sql_cut('CASE WHEN sw > 0.05e0 THEN sg / sw END')} AS cumulative_ratio FROM s""")
+def block_attenuation(spark, sf_dir):
+    """All blocks in one job: profiles looked up by their shot's number, medians, and ratios from the top."""
+    footprints = fixtures.shots(spark, sf_dir).select(F.col("beam").alias("block"), F.col("shot_id").alias("shot_row"))
+    profile = lambda a, b, m: F.transform(F.sequence(F.lit(0), F.lit(100)), lambda t: (F.col("shot_row") * a + t * b) % m / 10.0)
+    stored = footprints.select("shot_row", profile(13, 7, 101).alias("wave"), profile(29, 3, 97).alias("seen"))
+    medians = [profiles.attenuation_levels(attenuation.observed_levels(footprints, stored, values=v), "value", ("block",)).select("block", "level", F.col("median").alias(v)) for v in ("wave", "seen")]
+    out = attenuation.ratios(medians[0].join(medians[1], ["block", "level"]), "wave", "seen", keys=("block",))
+    return out.select("block", "level", *[cut(F.col(c)).alias(c) for c in ("ratio", "cumulative_ratio")])
+
+
 @register("selected_shots", f"""WITH s AS (SELECT shot_id, CASE WHEN shot_id % 7 = 0 THEN -1 ELSE 0.2e0 + beam / 20.0e0 END AS rhog, 0.4e0 + (shot_id % 11) / 50.0e0 AS rhov FROM shots
  WHERE center_x BETWEEN 308025 AND 308175 AND center_y BETWEEN 4688025 AND 4688175 AND beam <> 1 AND (beam <> 3 OR (shot_id // 20) % 2 = 0) AND (shot_id // 20) % 9 <> 0), r AS (SELECT shot_id, CASE WHEN rhog > 0 THEN rhov / rhog END AS rv_rg FROM s)
  SELECT shot_id, {sql_cut('COALESCE(rv_rg, (SELECT MEDIAN(rv_rg) FROM r), 1)')} AS rv_rg FROM r""")
