@@ -593,10 +593,24 @@ def agb_interval(spark, sf_dir):
     return plots.select("plot_id", model.biomass().alias("agb"), se.alias("se"), low.alias("lower"), high.alias("upper"))
 
 
-@register("agb_cross_validation")
+_SQRT = "g AS (SELECT plot_id, block, ABS(agb) AS raw, SQRT(ABS(agb)) AS y, SQRT(px - 308000) AS a, SQRT(py - 4688000) AS b FROM plots)"
+_MEANS = "COUNT(*) AS n, AVG(y) AS my, AVG(a) AS ma, AVG(b) AS mb, COVAR_POP(a, a) AS aa, COVAR_POP(a, b) AS ab, COVAR_POP(b, b) AS bb, COVAR_POP(a, y) AS ay, COVAR_POP(b, y) AS ty"
+_SOLVED = "SELECT *, my - p * ma - q * mb AS b0 FROM (SELECT *, (ay * bb - ty * ab) / (aa * bb - ab * ab) AS p, (ty * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM m)"
+_FITTED = "POW(GREATEST(b0 + p * a + q * b, 0), 2)"
+
+
+@register("agb_standard_error", f"""WITH {_SQRT}, m AS (SELECT {_MEANS} FROM g), s AS ({_SOLVED}), e AS (SELECT SUM(raw) / SUM({_FITTED}) AS bias, SUM(POW(y - b0 - p * a - q * b, 2)) / (MAX(n) - 3) AS mse FROM g CROSS JOIN s)
+ SELECT plot_id, ROUND(bias * {_FITTED}, 4) AS agb, ROUND(SQRT(mse * (1 + 1.0e0 / n + (POW(a - ma, 2) * bb - 2 * (a - ma) * (b - mb) * ab + POW(b - mb, 2) * aa) / (n * (aa * bb - ab * ab)))), 6) AS se FROM g CROSS JOIN s CROSS JOIN e""")
+def agb_standard_error(spark, sf_dir):
+    return agb_interval(spark, sf_dir).select("plot_id", F.round("agb", 4).alias("agb"), F.round("se", 6).alias("se"))
+
+
+@register("agb_cross_validation", f"""WITH {_SQRT}, k AS (SELECT block, CAST(NTILE(3) OVER (ORDER BY block) - 1 AS INT) AS fold FROM (SELECT DISTINCT block FROM g)), d AS (SELECT g.*, fold FROM g JOIN k USING (block)),
+ t AS (SELECT left_out, d.* FROM d JOIN (SELECT DISTINCT fold AS left_out FROM k) ON fold <> left_out), m AS (SELECT left_out, {_MEANS} FROM t GROUP BY left_out), s AS ({_SOLVED}), c AS (SELECT left_out, SUM(raw) / SUM({_FITTED}) AS bias FROM t JOIN s USING (left_out) GROUP BY left_out)
+ SELECT plot_id, fold, ROUND(bias * {_FITTED}, 4) AS predicted FROM d JOIN s ON s.left_out = fold JOIN c ON c.left_out = fold""")
 def agb_cv(spark, sf_dir):
     out = allometry.cross_validate(_plot_table(spark, sf_dir), "agb", "block", lambda df: allometry.fit_linear(df, "agb", ("u", "v")), 3)
-    return out.select("plot_id", "fold", "predicted")
+    return out.select("plot_id", "fold", F.round("predicted", 4).alias("predicted"))
 
 
 @register("local_maxima", f"WITH c AS (SELECT {R} AS r, col AS c, MAX(z) AS v FROM cells GROUP BY 1, 2) SELECT a.r AS {R}, a.c AS col, a.v AS value FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE ABS(a.r - b.r) <= 1 AND ABS(a.c - b.c) <= 1 AND b.v > a.v)")
