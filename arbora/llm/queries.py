@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import cdc, chat, gif, langid, mixing, nearedup, sharding, spans, toxicity, unigram
+from arbora.llm import cdc, chat, codes, gif, langid, mixing, nearedup, negatives, quality, sharding, spans, toxicity, unigram
 from arbora.llm.arrowtext import SENTENCE_END
 
 
@@ -66,6 +66,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(given.select("vec_id", "embedding", label.alias("label")), lambda id: id % 100 == 0)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -77,11 +91,73 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_gif_media": op9_gif_media,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _SHARDS = ", ".join(f"'{s}'" for s in sharding.SHARDS)
 _N, _M = len(sharding.SHARDS), sharding.TABLE_SIZE
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _lloyd_sql() -> str:
+    """Rounds of assignment and update as one query each."""
+    ctes = f"""
+WITH kept AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM embeddings WHERE {_WHOLE}),
+parts AS MATERIALIZED (SELECT row, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM kept, range(16) AS t(p)),
+books0 AS (SELECT p, row - 1 AS e, x AS y FROM parts WHERE row <= 64)"""
+    for k in range(codes.ROUNDS + 1):
+        ctes += f""",
+near{k} AS MATERIALIZED (SELECT row, p, min(d) * 64 + arg_min(e, d * 64 + e) AS best FROM (
+    SELECT row, p, e, list_sum(list_transform(x, lambda c, i: (c - y[i]) * (c - y[i])))::BIGINT AS d FROM parts JOIN books{k} USING (p)) GROUP BY row, p)"""
+        if k < codes.ROUNDS:
+            ctes += f""",
+means{k} AS (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS y FROM (
+    SELECT p, best % 64 AS e, j, SUM(x[j])::BIGINT AS s, COUNT(*) AS n FROM near{k} JOIN parts USING (row, p), generate_series(1, (SELECT max(len(x)) FROM parts)) AS t(j) GROUP BY ALL) GROUP BY p, e),
+books{k + 1} AS MATERIALIZED (SELECT p, e, COALESCE(m.y, b.y) AS y FROM books{k} b LEFT JOIN means{k} m USING (p, e))"""
+    last = codes.ROUNDS
+    return ctes + f""",
+coded AS (SELECT row, string_agg(lpad(to_hex(best % 64), 2, '0'), '' ORDER BY p) AS code, SUM(best // 64)::BIGINT AS error FROM near{last} GROUP BY row)
+SELECT vec_id, lower(code) AS code, error, SUM(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM books{last}) AS codebooks_sha256 FROM kept JOIN coded USING (row)"""
+
+
+def _rules_sql() -> str:
+    """The table of thresholds in SQL."""
+    stops = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    rules = [(name, " AND ".join([f"100 * {part} >= {low} * {whole}"] * (low is not None) + [f"100 * {part} <= {high} * {whole}"] * (high is not None))) for name, part, whole, low, high in quality.THRESHOLDS]
+    failed = ", ".join(f"CASE WHEN NOT ({test}) THEN '{name}' END" for name, test in rules)
+    return rf"""
+WITH docs AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(text, '') AS text FROM documents),
+split AS MATERIALIZED (SELECT row, doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM docs),
+runs AS (SELECT row, unnest(range(1, len(ws) - 1)) AS k, unnest(list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) AS run FROM split WHERE len(ws) > 2),
+again AS (SELECT row, k FROM (SELECT row, k, COUNT(*) OVER (PARTITION BY row, run) AS n FROM runs) WHERE n > 1),
+repeats AS (SELECT row, COUNT(DISTINCT k + j) AS n FROM again, range(3) AS t(j) GROUP BY row),
+counts AS (SELECT row, doc_id, len(ws)::BIGINT AS n_words, COALESCE(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, COALESCE(n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(ws, lambda w: lower(w) IN ({stops})))::BIGINT AS n_stop_words, len(ls)::BIGINT AS n_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-]*\z')))::BIGINT AS n_ellipsis_lines, len(list_filter(ls, lambda x: regexp_matches(x, '\A[ 	-]*[-*•] ')))::BIGINT AS n_bullet_lines
+    FROM split LEFT JOIN repeats USING (row))
+SELECT * EXCLUDE (row), NOT base_failed AND len(failed) = 0 AS kept FROM (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM counts)"""
+
+
 ORACLES = {
+    "op11_vector_codes": _lloyd_sql(),
+    "op12_quality_rules": _rules_sql(),
+    "op13_hard_negatives": f"""
+WITH taken AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x)::DOUBLE) AS v
+    FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+scored AS MATERIALIZED (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS other, b.vec_id AS other_id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM taken a JOIN taken b ON a.vec_id % 100 = 0 AND b.vec_id IS DISTINCT FROM a.vec_id),
+best AS (SELECT anchor, anchor_id, other AS positive, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST, other) <= {negatives.POSITIVES}),
+hard AS (SELECT anchor_id, positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY anchor, positive ORDER BY score DESC, other_id NULLS LAST, other) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+    FROM best JOIN scored USING (anchor, anchor_id) WHERE NOT alike AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score)
+SELECT * FROM hard WHERE rank <= {negatives.NEGATIVES}
+""",
     "op4_sharding": f"""
 WITH RECURSIVE names AS (SELECT unnest([{_SHARDS}]) AS shard, unnest(range({_N})) AS k),
 starts AS (SELECT k, shard, CAST('0x' || substr(md5(shard), 1, 8) AS BIGINT) % {_M} AS first,
