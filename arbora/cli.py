@@ -5,35 +5,15 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from arbora.sources.catalog import PointTable, fingerprint
-from arbora.sources.las import read_headers, read_las
+from arbora.operators.ground import CLASSIFIERS
+from arbora.sources.catalog import PointTable
+from arbora.sources.ingest import Stages, ingest_las
 
 
 def ingest(spark: SparkSession, table: PointTable, files: list[str], classes: list[int], overwrite: bool) -> dict[str, int]:
-    """Adds LAS files in one job, each once; the table takes the first good file's coordinate system.
-
-    Files that can't be read, or have another system than the table, are recorded
-    as failed and give -1.
-    """
-    heads = read_headers(spark, files).orderBy("file").collect()  # a row for each file
-    good = [h for h in heads if h["error"] is None]
-    if overwrite or not table.exists():
-        table.create(next((h["epsg"] for h in good if h["epsg"]), 0), overwrite=True)
-    own = table.epsg or next((h["epsg"] for h in good if h["epsg"]), 0)
-    out = {}
-    for h in heads:
-        problem = h["error"] or (f"EPSG:{h['epsg']} in an EPSG:{own} table" if h["epsg"] not in (0, own) else None)
-        if problem:
-            table.record(h["file"], "failed", 0, "", problem)
-            out[h["file"]] = -1
-    names = [h["file"] for h in good if h["file"] not in out]
-    if names:
-        points = read_las(spark, names)
-        points = points.where(F.col("Classification").isin(classes)) if classes else points
-        out |= table.ingest_files(points, names, None, own, fingerprint({"classes": sorted(classes)}))
-    return out
+    """Adds LAS files in one job, each once, keeping these classes (all, if none)."""
+    return ingest_las(spark, table, files, Stages(classes=tuple(classes)), overwrite)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -41,15 +21,21 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     add = commands.add_parser("ingest")
     add.add_argument("table")
-    add.add_argument("files", nargs="+")
+    add.add_argument("files", nargs="+", help="files, folders or patterns")
     add.add_argument("-c", "--class", dest="classes", type=int, action="append", default=[])
     add.add_argument("--overwrite", action="store_true", help="removes all points of the table first")
+    add.add_argument("--reproject", help="auto, or an EPSG code")
+    add.add_argument("--denoise", action="store_true")
+    add.add_argument("--ground", choices=sorted(CLASSIFIERS), help="classify ground and vegetation")
+    add.add_argument("--tile", type=float, default=Stages.tile)
+    add.add_argument("--buffer", type=float, default=Stages.buffer)
     commands.add_parser("info").add_argument("table")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("arbora").getOrCreate()
     table = PointTable(spark, args.table)
     if args.command == "ingest":
-        for file, n in ingest(spark, table, args.files, args.classes, args.overwrite).items():
+        stages = Stages(args.reproject, args.denoise, args.ground, tile=args.tile, buffer=args.buffer, classes=tuple(args.classes))
+        for file, n in ingest_las(spark, table, args.files, stages, args.overwrite).items():
             print(f"{file}: {'failed' if n < 0 else n}")
     else:
         print(f"EPSG:{table.epsg}, years {table.available_years()}, {table.points().count()} points in {table.file_count()} files")

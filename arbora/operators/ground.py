@@ -7,6 +7,7 @@ over tasks too: a point is ground if enough tilted runs say so.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -196,19 +197,20 @@ def classify(points: DataFrame, grid: Grid, tile_size: float, buffer: float, met
     return given.groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
 
 
+def with_noise(points: DataFrame, key: str = "id", radius: float = 1.0, least: int = 2) -> DataFrame:
+    """``points`` with class 7 for low outliers of a cell and for points with fewer than ``least`` others within ``radius``."""
+    noise = low_outliers(points.select(key, "X", "Y", "Z")).where("is_low").select(key).union(radius_outliers(points, key, radius, least)).distinct().withColumn("__noise", F.lit(True))
+    return points.join(noise, key, "left").withColumn("Classification", F.when(F.col("__noise"), F.lit(7)).otherwise(F.col("Classification"))).drop("__noise")
+
+
 def reclassify(points: DataFrame, grid: Grid, tile_size: float, buffer: float, key: str = "id", method: str = "smrf", denoise: bool = True, source: tuple[int, ...] = (1,), preserve: bool = True, bounds: tuple[float, float, float] = (0.5, 2.0, 5.0), **parameters) -> DataFrame:
-    """``points`` of the grid with new classes: noise, ground by ``method``, vegetation by height above that ground.
+    """``points`` of the grid with new classes: noise, ground by ``method`` (of ``CLASSIFIERS``), vegetation by height above it.
 
-    Noise are low outliers of a cell and points with fewer than two others
-    within a metre. With ``preserve`` only points of the ``source`` classes get
-    a new one. A null class counts as none of them. ``key`` names a point.
+    With ``preserve`` only points of the ``source`` classes get a new one after
+    noise is marked. A null class counts as none of them. ``key`` names a point.
     """
-    own = points.withColumn("__given", F.col("Classification"))
-    if denoise:
-        noise = low_outliers(own.select(key, "X", "Y", "Z")).where("is_low").select(key).union(radius_outliers(own, key)).distinct().withColumn("__noise", F.lit(True))
-        own = own.join(noise, key, "left").withColumn("Classification", F.when(F.col("__noise"), F.lit(7)).otherwise(F.col("Classification"))).drop("__noise")
-    own = written(own)
-    found = classify(own, grid, tile_size, buffer, method, key, **parameters)
+    own = written((with_noise(points, key) if denoise else points).withColumn("__given", F.col("Classification")))
+    found = CLASSIFIERS[method](own, grid, tile_size, buffer, key=key, **parameters).select(key, "is_ground")
     marked = own.join(found, key, "left").withColumn("Classification", F.when(F.col("is_ground"), F.lit(2)).when(F.col("Classification").isin(*NOISE), F.col("Classification")).otherwise(F.lit(1))).drop("is_ground")
     heights = terrain.normalise(written(marked), grid, tile_size, buffer)
     out = vegetation_by_height(heights, bounds)
@@ -304,3 +306,11 @@ def _smooth_fit(r, c, z, w, shape, smoothness, steps: int = 400) -> np.ndarray:
         new = float((res * res).sum())
         step, rr = res + new / rr * step, new
     return u + mean
+
+
+#: Whole classifiers by name, each giving ``key`` and ``is_ground``.
+CLASSIFIERS: dict[str, Callable[..., DataFrame]] = {
+    **{name: functools.partial(classify, method=name) for name in METHODS},
+    "votes": classify_by_votes,
+    "envelope": envelope,
+}
