@@ -2,11 +2,19 @@
 
 A text is the weighted set of its runs of five folded words (a shorter text is
 one run). The weight of a run is ``tf * idf`` with
-``idf = 1 + ln((1 + N) / (1 + df)) / ln(DF_SLOTS)``, where ``df`` counts the
-documents that hold the run, over all documents and in ``DF_SLOTS`` hashed
-slots, so that the table has the same size for any corpus. The idf is damped:
-a plain logarithm would give the runs of a large group of near copies a small
-part of the weight of the few runs that differ, and the copies would be lost.
+``idf = 1 + ln((1 + N) / (1 + df)) / ln(DAMP)``, where ``df`` counts the
+documents that hold the run, exactly and over all of them; a run in fewer than
+one of ``RARE`` documents weighs as if it were in so many. (So for up to
+``RARE`` documents the weights are the plain formula's.) The idf is damped: a
+plain logarithm would give the runs of a large group of near copies a small part
+of the weight of the few runs that differ, and the copies would be lost.
+
+Runs in more documents than that are found in two passes. The first counts
+documents by ``SLOTS`` hashed slots, and a slot's count is no less than that of
+any run in it; the second counts the runs of the slots over the bound one by
+one. What is broadcast is a bit a slot and the runs over the bound, of which
+there can be no more than ``RARE`` times the mean number of runs of a text,
+however many texts there are.
 
 ``BANDS * ROWS`` consistent weighted samples (Ioffe, 2010) of each distinct
 text form bands. Texts that share a band meet in two steps:
@@ -52,7 +60,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 HASHES = BANDS * ROWS
-DF_SLOTS = 1 << 18
+#: Documents per rarest frequency that is told apart; the base of the idf's damping; slots of the first count, some times ``RARE`` texts' runs.
+RARE, DAMP, SLOTS = 1 << 14, 1 << 18, 1 << 25
+_BLOCK, _ADDERS = 1 << 16, 128
 #: Similarities under this aren't kept; two texts of which one is linked to a third and the other isn't even so similar to it aren't a link.
 RELATED = 2 * SIMILARITY - 1
 #: Texts, and weight (a run weighs 1 at least), of a block of the second step.
@@ -62,35 +72,103 @@ _PIECE = 512
 _CLOSE = 1e-9
 
 
-def _slot(runs: np.ndarray, slots: int) -> np.ndarray:
-    return (runs & np.uint64(slots - 1)).astype(np.int64)
+def _slot(runs: np.ndarray) -> np.ndarray:
+    return (runs & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def run_idf(docs: DataFrame, slots: int = DF_SLOTS) -> np.ndarray:
-    """idf by hashed slot of a run (a power of two of them), over all documents."""
+class Idf:
+    """idf of runs: those in ``heavy`` (ascending hashes) have values of their own, all others ``rest``."""
 
-    def counts(batches):
-        total, documents = np.zeros(slots, np.int64), 0
-        for batch in batches:
-            for part in slices(batch):
-                words = Words(folded(part.column("text")))
-                for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True):
-                    total[np.unique(_slot(run_hashes(words.hashes[lo:hi], WIDTH), slots))] += 1
-                documents += part.num_rows
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"slot": pa.array(np.append(some, -1).astype(np.int32)), "n": pa.array(np.append(total[some], documents))})
+    def __init__(self, heavy: np.ndarray, value: np.ndarray, rest: float):
+        self.heavy, self.value, self.rest = heavy, value.astype(np.float32), np.float32(rest)
+        bits = np.zeros(SLOTS, bool)
+        bits[_slot(heavy)] = True
+        self.bits = np.packbits(bits)
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        out = np.full(len(runs), self.rest, np.float32)
+        maybe = np.flatnonzero(_has_bit(self.bits, runs))
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.heavy, runs[maybe]), len(self.heavy) - 1)
+            found = self.heavy[at] == runs[maybe]
+            out[maybe[found]] = self.value[at[found]]
+        return out
 
-    counted = arrow_map(docs.select("text"), counts, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slot, n = counted.column("slot").to_numpy(), counted.column("n").to_numpy()
-    df = np.zeros(slots)
-    df[slot[slot >= 0]] = n[slot >= 0]
-    return (1 + np.log((1 + n[slot < 0].sum()) / (1 + df)) / math.log(slots)).astype(np.float32)
 
+def _has_bit(bits: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    slot = _slot(runs)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
-def weighted_runs(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _document_runs(batches):
+    """The distinct runs of each text, a slice of texts at a time."""
+    for batch in batches:
+        for part in slices(batch):
+            words = Words(folded(part.column("text")))
+            yield [np.unique(run_hashes(words.hashes[lo:hi], WIDTH)) for lo, hi in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+
+
+def _full_slots(docs: DataFrame, bound: float) -> np.ndarray:
+    """A bit for each slot that more than ``bound`` documents meet."""
+
+    def count(batches):
+        total, seen = np.zeros(SLOTS, np.uint16), 0
+
+        def blocks():
+            for k in np.flatnonzero(total.reshape(-1, _BLOCK).any(axis=1)):
+                yield pa.record_batch({"block": pa.array([k], pa.int32()), "counts": pa.array([pa.compress(total[k * _BLOCK : (k + 1) * _BLOCK].tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+        for texts in _document_runs(batches):
+            for runs in texts:
+                if seen == 65535:
+                    yield from blocks()
+                    total[:], seen = 0, 0
+                total[_slot(runs)] += 1
+                seen += 1
+        yield from blocks()
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total = held.setdefault(k, np.zeros(_BLOCK, np.int64))
+                total += np.frombuffer(pa.decompress(counts, 2 * _BLOCK, "zstd", asbytes=True), np.uint16)
+        for k, total in held.items():
+            if (total > bound).any():
+                yield pa.record_batch({"block": pa.array([k], pa.int32()), "full": pa.array([np.packbits(total > bound).tobytes()], pa.binary())})
+
+    counted = arrow_map(docs.select("text"), count, "block int, counts binary")
+    full = arrow_map(counted.repartition(_ADDERS, "block"), add, "block int, full binary")
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for row in full.collect():  # a bit a slot in all
+        bits[row["block"] * _BLOCK // 8 :][: _BLOCK // 8] = np.frombuffer(row["full"], np.uint8)
+    return bits
+
+
+def run_idf(docs: DataFrame) -> Idf:
+    """idf by the documents that hold a run, over all documents."""
+    n = docs.count()
+    bound = max(1.0, n / RARE)
+    shared = docs.sparkSession.sparkContext.broadcast(_full_slots(docs, bound))
+
+    def count(batches):
+        bits = shared.value
+        for texts in _document_runs(batches):
+            every = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+            run, times = np.unique(every[_has_bit(bits, every)], return_counts=True)
+            yield pa.record_batch({"run": pa.array(run.view(np.int64)), "n": pa.array(times)})
+
+    found = arrow_map(docs.select("text"), count, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > bound).toArrow()
+    run, df = found.column("run").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.float64)
+    order = np.argsort(run)
+    value = lambda d: 1 + np.log((1 + n) / (1 + d)) / math.log(DAMP)
+    return Idf(run[order], value(df[order]), value(bound))
+
+
+def weighted_runs(hashes: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of a text's words, ascending, and their weights."""
     runs, times = np.unique(run_hashes(hashes, WIDTH), return_counts=True)
-    return runs, times * idf[_slot(runs, len(idf))].astype(np.float64)
+    return runs, times * idf.of(runs).astype(np.float64)
 
 
 def _product(bits: np.ndarray) -> np.ndarray:
@@ -144,7 +222,7 @@ def _identity(docs: DataFrame) -> list[Column]:
     return [did.isNull().alias("nameless"), F.coalesce(did, F.lit(0)).alias("did"), F.unhex(F.md5(docs["text"])).alias("digest")]
 
 
-def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sketches(docs: DataFrame, idf: Idf) -> DataFrame:
     """Each row's identity, text key (k1, k2), total weight and band keys; no bands without words. Null texts give no row."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -175,7 +253,7 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return arrow_map(given.select(*_identity(given), "text"), run, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
     """The pairs (a, b) whose ``similarity``, from whole texts (node, text), is ``RELATED`` or more."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -237,7 +315,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tested.where(F.col("similarity") >= SIMILARITY - _CLOSE).select("a", "b").union(found.select("a", "b")), nodes, seen
 
 
-def _unled(met: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def _unled(met: DataFrame, tested: DataFrame, nodes: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
     """Links (a, b) of the second step."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
     known = tested.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity")
@@ -291,7 +369,7 @@ def _cells(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _cell_links(cell: pa.Table, idf: np.ndarray) -> list[tuple[int, int]]:
+def _cell_links(cell: pa.Table, idf: Idf) -> list[tuple[int, int]]:
     """Links (a, b) that join all components that a link of the cell's left rows with its rows joins."""
     node, weight, known = (cell.column(c).to_numpy() for c in ("node", "weight", "to_leader"))
     side = cell.column("side").to_numpy()

@@ -9,7 +9,7 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 CUT = regex.compile(r"[.!?]+[ \t\r\n]+|[。！？]+[ \t\r\n]*|[ \t\r]*\n[ \t\r\n]*")
 
 
-def near_classes(docs: dict[int, str], threshold: float = 0.8) -> dict[int, int]:
+def near_classes(docs: dict[int, str], threshold: float = 0.8, rare: int = 2**14) -> dict[int, int]:
     """Class ids by all pairs that share a run of five words."""
     words = {i: WORD.findall(t.lower()) for i, t in docs.items()}
     runs = {}
@@ -17,7 +17,7 @@ def near_classes(docs: dict[int, str], threshold: float = 0.8) -> dict[int, int]
         k = min(5, len(ws))
         runs[i] = Counter(tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)) if ws else Counter()
     df = Counter(s for some in runs.values() for s in some)
-    idf = {s: 1 + math.log((1 + len(docs)) / (1 + c)) / math.log(2**18) for s, c in df.items()}
+    idf = {s: 1 + math.log((1 + len(docs)) / (1 + max(c, len(docs) / rare))) / math.log(2**18) for s, c in df.items()}
     weights, holders = {}, defaultdict(list)
     for i, some in runs.items():
         weights[i] = {s: n * idf[s] for s, n in some.items()}

@@ -55,6 +55,30 @@ def test_near_duplicates(spark, texts):
     assert got == plain.near_classes(texts)
 
 
+def test_frequencies_of_runs_are_exact(spark, monkeypatch):
+    rows = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("doc_id < 3000").select("doc_id", "text")
+    held = Counter()
+    for r in rows.collect():
+        words = arrowtext.Words(arrowtext.folded(pa.array([r["text"]])))
+        held.update(np.unique(arrowtext.run_hashes(words.hashes, nearedup.WIDTH)).tolist())
+    runs, df = np.array(list(held), np.uint64), np.array(list(held.values()))
+    n = rows.count()
+    for rare in (1 << 14, 100):
+        monkeypatch.setattr(nearedup, "RARE", rare)
+        idf = nearedup.run_idf(rows)
+        real = 1 + np.log((1 + n) / (1 + np.maximum(df, max(1, n / rare)))) / np.log(2**18)
+        assert np.allclose(idf.of(runs), real, atol=1e-6)
+        assert len(idf.heavy) == (df > max(1, n / rare)).sum()
+
+
+def test_near_duplicates_of_a_larger_table(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    real = plain.near_classes({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
+    got = {r["doc_id"]: r["class_id"] for r in nearedup.classes(docs).collect()}
+    assert len(real) - len(set(real.values())) > 500
+    assert sum(got[i] != c for i, c in real.items()) <= 2  # banding finds a pair at the threshold in 99.7 % of cases
+
+
 def test_near_duplicates_in_one_large_group(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(3000)]
