@@ -59,22 +59,27 @@ class Mesh:
             c = apex[a, b]
         return a, b, c
 
-    def insert(self, p: int, held: tuple[int, int, int]) -> None:
-        """Adds vertex p, which the triangle ``held`` holds."""
+    def insert(self, p: int, held: tuple[int, int, int], locked: set[tuple[int, int]] = frozenset()) -> list[tuple[int, int]]:
+        """Adds vertex p, which the triangle ``held`` holds; gives the edges that it forms triangles with.
+
+        Edges in ``locked`` (both directions) stay, whatever circles they lie in.
+        """
         px, py, apex = self.px, self.py, self.apex
         a, b, c = held
-        hole = [(a, b), (b, c), (c, a)]
+        hole, rim = [(a, b), (b, c), (c, a)], []
         for e in hole:
             del apex[e]
         while hole:
             u, v = hole.pop()
-            w = apex.get((v, u))
+            w = apex.get((v, u)) if (u, v) not in locked else None
             if w is not None and _inside(px, py, u, v, w, p):
                 del apex[v, u], apex[u, w], apex[w, v]
                 hole += [(u, w), (w, v)]
             else:
                 apex[u, v], apex[v, p], apex[p, u] = p, u, v
-                self.at = (u, v)
+                rim.append((u, v))
+        self.at = rim[-1]
+        return rim
 
     def triangles(self) -> np.ndarray:
         """Vertex triples without those at the frame."""
@@ -125,22 +130,39 @@ def triangles(points: DataFrame, keys: list[str], max_edge: float | None = None)
     return points.select(*keys, "X", "Y", "Z").repartition(parts, *keys).groupBy(*keys).applyInPandas(build, schema)
 
 
-def interpolate(queries: DataFrame, tin: DataFrame, keys: list[str], cell: float = 5.0) -> DataFrame:
+def _spread_triangles(tin: DataFrame, finest: float) -> DataFrame:
+    """``tin`` with a row for each bucket cell that a triangle's box touches: ``__k`` (level) and ``__kx``, ``__ky``.
+
+    A triangle's level follows from its own extent: its cells are from a half to
+    a quarter as wide, so it touches few, dense ground has small cells and sparse
+    ground large ones.
+    """
+    ends = {c: (F.least(*[F.col(f"{v}{c}") for v in "abc"]), F.greatest(*[F.col(f"{v}{c}") for v in "abc"])) for c in "xy"}
+    extent = F.greatest(ends["x"][1] - ends["x"][0], ends["y"][1] - ends["y"][0])
+    levelled = tin.withColumn("__k", F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)) / finest)), F.lit(0)).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("__k")) * (finest / 2)
+    cells = lambda c: F.sequence(F.floor((ends[c][0] - EDGE) / width), F.floor((ends[c][1] + EDGE) / width))
+    return levelled.withColumn("__kx", F.explode(cells("x"))).withColumn("__ky", F.explode(cells("y")))
+
+
+def interpolate(queries: DataFrame, tin: DataFrame, keys: list[str], finest: float = 0.5) -> DataFrame:
     """``queries`` (keys, id, X, Y) with ``ground`` and ``slope`` (degrees) of the triangle that holds them, else null.
 
-    Of several, as on a common edge, the first counts.
+    Of several, as on a common edge, the first counts. Triangles and points meet
+    by cells in levels; a query looks in the levels that triangles have.
     """
-    low = lambda c: F.floor(F.least(F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"c{c}")) / cell)
-    high = lambda c: F.floor(F.greatest(F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"c{c}")) / cell)
-    spread = tin.withColumn("__kx", F.explode(F.sequence(low("x"), high("x")))).withColumn("__ky", F.explode(F.sequence(low("y"), high("y"))))
-    keyed = queries.select(*keys, "id", "X", "Y").withColumn("__kx", F.floor(F.col("X") / cell)).withColumn("__ky", F.floor(F.col("Y") / cell))
+    spread = _spread_triangles(tin, finest)
+    levels = spread.agg(F.collect_set("__k")).first()[0]  # a few numbers
+    level = F.explode(F.array(*[F.lit(k) for k in sorted(levels)]) if levels else F.array().cast("array<int>"))
+    width = F.pow(F.lit(2.0), F.col("__k")) * (finest / 2)
+    keyed = queries.select(*keys, "id", "X", "Y", level.alias("__k")).withColumn("__kx", F.floor(F.col("X") / width)).withColumn("__ky", F.floor(F.col("Y") / width))
     e1x, e1y, e1z = (F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz")
     e2x, e2y, e2z = (F.col(f"c{c}") - F.col(f"a{c}") for c in "xyz")
     dx, dy = F.col("X") - F.col("ax"), F.col("Y") - F.col("ay")
     det = e1x * e2y - e1y * e2x
     u, v = (dx * e2y - dy * e2x) / F.nullif(det, F.lit(0.0)), (e1x * dy - e1y * dx) / F.nullif(det, F.lit(0.0))
     gx, gy = (e1z * e2y - e2z * e1y) / F.nullif(det, F.lit(0.0)), (e2z * e1x - e1z * e2x) / F.nullif(det, F.lit(0.0))
-    held = keyed.join(spread, [*keys, "__kx", "__ky"]).withColumn("__u", u).withColumn("__v", v).where((F.col("__u") >= -EDGE) & (F.col("__v") >= -EDGE) & (F.col("__u") + F.col("__v") <= 1 + EDGE))
+    held = keyed.join(spread, [*keys, "__k", "__kx", "__ky"]).withColumn("__u", u).withColumn("__v", v).where((F.col("__u") >= -EDGE) & (F.col("__v") >= -EDGE) & (F.col("__u") + F.col("__v") <= 1 + EDGE))
     z = F.col("az") + F.col("__u") * e1z + F.col("__v") * e2z
     first = held.groupBy(*keys, "id").agg(F.min_by(F.struct(z.alias("ground"), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("slope")), "tri").alias("__g"))
     return queries.join(first.select(*keys, "id", "__g.ground", "__g.slope"), [*keys, "id"], "left")
@@ -158,8 +180,7 @@ def evaluate(queries: DataFrame, ground: DataFrame, keys: list[str], max_distanc
     far, unless ``extrapolate`` is off. Beyond ``max_distance`` from any ground
     point it is null. The distance is worked out only where one of these needs it.
     """
-    out = interpolate(queries, triangles(ground, keys), keys)
-    out = written(out)  # so that the triangles are made once
+    out = written(interpolate(queries, written(triangles(ground, keys)), keys))  # so that the triangles are made once
     far = out if max_distance is not None else out.where("ground is null")
     if max_distance is None and (not extrapolate or far.isEmpty()):
         return out.withColumn("distance", F.lit(None).cast("double")).withColumn("extrapolated", F.col("ground").isNull())
@@ -173,32 +194,54 @@ def evaluate(queries: DataFrame, ground: DataFrame, keys: list[str], max_distanc
     return out.withColumn("ground", height).drop("__z")
 
 
+def _places(points: DataFrame, grid: Grid, tile_size: float) -> tuple[DataFrame, DataFrame]:
+    """The points that tiles own, with ``tile``, and their distinct positions: however many returns stand on one, it has one height."""
+    own = grid.halo(points.drop("HeightAboveGround"), tile_size, 0.0).where("is_core").drop("is_core")
+    return own, own.select("tile", "X", "Y").distinct()
+
+
+def _over_ground(own: DataFrame, found: DataFrame) -> DataFrame:
+    """Points with heights over the ground of their positions (tile, X, Y, ground, extrapolated, slope)."""
+    found = found.select("tile", "X", "Y", F.col("ground").alias("__g"), F.col("extrapolated").alias("GroundExtrapolated"), F.col("slope").alias("GroundSlope"))
+    out = own.join(found, ["tile", "X", "Y"], "left")
+    height = F.col("Z") - F.col("__g")
+    return out.withColumn("HeightAboveGround", F.when(height.isNotNull(), F.greatest(height, F.lit(0.0)))).withColumn("NegativeHAG", F.coalesce(height < 0, F.lit(False))).drop("__g")
+
+
 def normalise(points: DataFrame, grid: Grid, tile_size: float, buffer: float, max_distance: float | None = None, extrapolate: bool = True, ground: tuple[int, ...] = GROUND) -> DataFrame:
     """Points of the grid with ``tile``, HeightAboveGround (not below 0), NegativeHAG, GroundExtrapolated.
 
     Each point is worked out once, in the tile that owns it.
     """
-    own = grid.halo(points.drop("HeightAboveGround"), tile_size, 0.0).where("is_core").drop("is_core")
+    own, places = _places(points, grid, tile_size)
     base = ground_halo(points, grid, tile_size, buffer, ground)
-    # one height for each position, however many returns stand on it
-    places = own.select("tile", "X", "Y").distinct().withColumn("id", F.struct("X", "Y"))
-    found = evaluate(places, base, ["tile"], max_distance, extrapolate).select("tile", "X", "Y", F.col("ground").alias("__g"), F.col("extrapolated").alias("GroundExtrapolated"), F.col("slope").alias("GroundSlope"))
-    out = own.join(found, ["tile", "X", "Y"], "left")
-    height = F.col("Z") - F.col("__g")
-    return out.withColumn("HeightAboveGround", F.greatest(height, F.lit(0.0))).withColumn("HeightAboveGround", F.when(height.isNotNull(), F.col("HeightAboveGround"))).withColumn("NegativeHAG", F.coalesce(height < 0, F.lit(False))).drop("__g")
+    return _over_ground(own, evaluate(places.withColumn("id", F.struct("X", "Y")), base, ["tile"], max_distance, extrapolate))
+
+
+def _pixels(points: DataFrame, grid: Grid, tile_size: float) -> DataFrame:
+    """Pixel centres in the tiles that own them: tile, row, col, X, Y."""
+    cells = grid.cells(points.sparkSession).withColumnsRenamed({"x": "X", "y": "Y"})
+    return grid.halo(cells, tile_size, 0.0).where("is_core").select("tile", "row", "col", "X", "Y")
+
+
+def heights_and_terrain(points: DataFrame, grid: Grid, tile_size: float, buffer: float, ground: tuple[int, ...] = GROUND) -> tuple[DataFrame, DataFrame]:
+    """What :func:`normalise` and :func:`dtm` give, from one triangulation and one lookup of positions and pixel centres."""
+    own, places = _places(points, grid, tile_size)
+    no = F.lit(None).cast("int")
+    both = places.select("tile", no.alias("row"), no.alias("col"), "X", "Y").unionByName(_pixels(points, grid, tile_size)).withColumn("id", F.struct("row", "col", "X", "Y"))
+    found = written(evaluate(both, ground_halo(points, grid, tile_size, buffer, ground), ["tile"]))
+    raster = found.where("row is not null").select("row", "col", F.col("ground").alias("value"), "slope")
+    return _over_ground(own, found.where("row is null")), raster
 
 
 def dtm(points: DataFrame, grid: Grid, tile_size: float, buffer: float = 10.0, method: str = "tin", ground: tuple[int, ...] = GROUND) -> DataFrame:
     """Terrain at pixel centres: row, col, value, slope; ``method`` is tin or idw (see ``surfaces.dtm_min`` for min)."""
-    cells = grid.cells(points.sparkSession)
-    base = ground_halo(points, grid, tile_size, buffer, ground)
     if method == "idw":
-        centres = cells.select(F.struct("row", "col").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+        centres = grid.cells(points.sparkSession).select(F.struct("row", "col").alias("id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
         out = idw(centres, merged_ground(points, ground), "id")
         return out.select("id.row", "id.col", F.col("Z").alias("value"), F.lit(None).cast("double").alias("slope"))
     if method != "tin":
         raise ValueError("method must be tin or idw")
-    queries = grid.halo(cells.withColumnsRenamed({"x": "X", "y": "Y"}), tile_size, 0.0).where("is_core")
-    queries = queries.select("tile", F.struct("row", "col").alias("id"), "X", "Y")
-    return evaluate(queries, base, ["tile"]).select("id.row", "id.col", F.col("ground").alias("value"), "slope")
+    queries = _pixels(points, grid, tile_size).select("tile", F.struct("row", "col").alias("id"), "X", "Y")
+    return evaluate(queries, ground_halo(points, grid, tile_size, buffer, ground), ["tile"]).select("id.row", "id.col", F.col("ground").alias("value"), "slope")
 

@@ -29,10 +29,12 @@ def of_year(points: DataFrame, year: int | None) -> DataFrame:
 
 def normalised(points: DataFrame, grid: Grid, year: int, tile: float = TILE, buffer: float = BUFFER, outliers: bool = True) -> DataFrame:
     """Clean points of the year with heights above ground; low ground outliers are dropped first."""
+    return terrain.normalise(_for_heights(points, year, outliers), grid, tile, buffer)
+
+
+def _for_heights(points: DataFrame, year: int, outliers: bool = True) -> DataFrame:
     p = filters.clean(of_year(points, year))
-    if outliers:
-        p = filters.clean(filters.drop_ground_outliers(p))
-    return terrain.normalise(p, grid, tile, buffer)
+    return filters.clean(filters.drop_ground_outliers(p)) if outliers else p
 
 
 def compute_dtm(points: DataFrame, grid: Grid, year: int, method: str = "tin", tile: float = TILE, buffer: float = 10.0) -> DataFrame:
@@ -46,10 +48,12 @@ def compute_dsm(points: DataFrame, grid: Grid, year: int, first_only: bool = Tru
 
 def compute_chm(points: DataFrame, grid: Grid, year: int, method: str = "max", tile: float = TILE, buffer: float = BUFFER, fill: bool = False, max_height: float | None = None) -> DataFrame:
     """Canopy height by method: max, tin, pitfree or spikefree; ``max`` carries quality flags."""
-    heights = normalised(points, grid, year, tile, buffer)
     if method == "max":
-        out = surfaces.chm_from_heights(heights, grid, compute_dtm(points, grid, year, "tin", tile, buffer), max_height=max_height)
-    elif method == "tin":
+        heights, base = terrain.heights_and_terrain(_for_heights(points, year), grid, tile, buffer)
+        out = surfaces.chm_from_heights(heights, grid, base, max_height=max_height)
+        return surfaces.fill_pits(out, grid) if fill else out
+    heights = normalised(points, grid, year, tile, buffer)
+    if method == "tin":
         out = surfaces.chm_layers(heights, grid, tile, buffer, (0.0,))
     elif method == "pitfree":
         out = surfaces.chm_layers(heights, grid, tile, buffer)
@@ -63,12 +67,10 @@ def compute_chm(points: DataFrame, grid: Grid, year: int, method: str = "max", t
 def compute_all(points: DataFrame, grid: Grid, year: int, tile: float = TILE, buffer: float = BUFFER, max_height: float | None = None) -> dict[str, DataFrame]:
     """``dtm``, ``dsm`` and ``chm`` (largest height, with quality flags) of one survey.
 
-    Heights are worked out once and written; the canopy uses the same terrain
-    raster that is returned, so ground is triangulated once for the points and
-    once for the pixels.
+    Ground, without its low outliers, is triangulated once for points and pixels.
     """
-    heights = written(normalised(points, grid, year, tile, buffer))
-    base = written(compute_dtm(points, grid, year, "tin", tile, buffer))
+    heights, base = terrain.heights_and_terrain(_for_heights(points, year), grid, tile, buffer)
+    heights, base = written(heights), written(base)
     return {"dtm": base, "dsm": compute_dsm(points, grid, year), "chm": surfaces.chm_from_heights(heights, grid, base, max_height=max_height)}
 
 

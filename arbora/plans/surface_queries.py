@@ -57,8 +57,8 @@ def dtm_idw(spark, sf_dir):
 
 @register("chm_max_flags")
 def chm_max_flags(spark, sf_dir):
-    base = terrain.dtm(framed(spark, sf_dir), GRID, TILE, BUFFER)
-    return surfaces.chm_from_heights(_normalised(spark, sf_dir), GRID, base, max_height=60.0)
+    heights, base = terrain.heights_and_terrain(framed(spark, sf_dir), GRID, TILE, BUFFER)
+    return surfaces.chm_from_heights(heights, GRID, base, max_height=60.0)
 
 
 @register("chm_max", f"SELECT {R}, col, {sql_cut('MAX(hag)')} AS value FROM cells WHERE rn = 1 AND cls IN (2, 3, 4, 5, 9) GROUP BY {R}, col")

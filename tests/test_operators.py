@@ -83,25 +83,78 @@ def test_nearest_at_any_distance(spark):
     assert kept.count() == len(spread) - 1 and kept.where("n = 100").count() == 0
 
 
-def test_spike_free_takes_returns_one_by_one():
+def plain_sweep(x, y, z, freeze, drop):
+    """The spike-free sweep with a list of triangles and flips; gives triangles, frozen ones among them, and who joined."""
+    n = len(x)
+    px, py = [*x, -1e5, 1e5, 0.0], [*y, -1e5, -1e5, 1e5]
+    turn = lambda a, b, c: (px[b] - px[a]) * (py[c] - py[a]) - (py[b] - py[a]) * (px[c] - px[a])
+    tris, locked, frozen, waiting, kept = {(n, n + 1, n + 2)}, set(), set(), [], []
+
+    def in_circle(t, p):
+        m = np.array([[px[v] - px[p], py[v] - py[p], (px[v] - px[p]) ** 2 + (py[v] - py[p]) ** 2] for v in t])
+        return np.linalg.det(m) > 1e-9
+
+    for p in range(n):
+        for level, t in sorted(waiting, reverse=True):
+            if level > z[p]:
+                waiting.remove((level, t))
+                if any(set(t) == set(s) for s in tris):
+                    frozen.add(frozenset(t))
+                    locked |= {frozenset(e) for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))}
+        held = next(t for t in tris if min(turn(t[0], t[1], p), turn(t[1], t[2], p), turn(t[2], t[0], p)) >= 0)
+        if frozenset(held) in frozen:
+            continue
+        kept.append(p)
+        tris.remove(held)
+        todo = []
+        for u, v in ((held[0], held[1]), (held[1], held[2]), (held[2], held[0])):
+            tris.add((u, v, p))
+            todo.append((u, v))
+        while todo:
+            u, v = todo.pop()
+            other = [t for t in tris if {u, v} < set(t) and p not in t]
+            if other and frozenset((u, v)) not in locked and in_circle(other[0], p):
+                w = (set(other[0]) - {u, v}).pop()
+                tris -= {other[0], (u, v, p)}
+                tris |= {(u, w, p), (w, v, p)}
+                todo += [(u, w), (w, v)]
+        for t in [t for t in tris if p in t and max(t) < n]:
+            sides = [math.hypot(px[i] - px[j], py[i] - py[j]) for i, j in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))]
+            if max(sides) < freeze(sum(px[v] for v in t) / 3, sum(py[v] for v in t) / 3):
+                waiting.append((min(z[v] for v in t) - drop, t))
+    return {frozenset(t) for t in tris if max(t) < n}, frozen, kept
+
+
+@pytest.mark.parametrize("freeze", [lambda a, b: 2.0, lambda a, b: 3.0 if a < 5 else 0.7])
+def test_spike_free_sweep(freeze):
     rng = np.random.default_rng(2)
     n = 150
     x, y = rng.uniform(0, 10, (2, n))
     z = np.where(rng.random(n) < 0.4, rng.uniform(0, 5, n), 12 + np.sin(x))
     order = np.lexsort((y, x, -z))
     x, y, z = x[order], y[order], z[order]
-    kept = []
-    for p in range(n):  # triangulated anew for each return
-        under = False
-        for a, b, c in np.array(kept, int)[terrain.delaunay(x[kept], y[kept])] if len(kept) > 2 else []:
-            m = np.array([[x[b] - x[a], x[c] - x[a]], [y[b] - y[a], y[c] - y[a]]])
-            u, v = np.linalg.solve(m, [x[p] - x[a], y[p] - y[a]])
-            sides = [math.hypot(x[i] - x[j], y[i] - y[j]) for i, j in ((a, b), (b, c), (c, a))]
-            if min(u, v, 1 - u - v) >= 0 and max(sides) <= 2.0:
-                under = z[p] < z[a] + u * (z[b] - z[a]) + v * (z[c] - z[a]) - 0.5
-        if not under:
-            kept.append(p)
-    assert len(kept) < n and surfaces.above_frozen(x, y, z, 2.0, 0.5) == kept
+    t, kept = surfaces.swept(x, y, z, freeze, 0.5)
+    real, frozen, joined = plain_sweep(x, y, z, freeze, 0.5)
+    assert kept == joined and len(kept) < n and len(frozen) > 10
+    assert {frozenset(r) for r in t.tolist()} == real
+    assert frozen <= real  # a frozen triangle never changes
+    assert len(surfaces.swept(x[:0], y[:0], z[:0], freeze, 0.5)[1]) == 0
+
+
+def test_local_freeze_distances_and_trimmed_edges(spark):
+    canopy = lambda x0: [(x0, 0.1, 0, 5, 10.0, 1, 1), (x0 + 2, 0.1, 0, 5, 10.0, 1, 1), (x0, 2.1, 0, 5, 10.0, 1, 1), (x0 + 2, 2.1, 0, 5, 10.0, 1, 1), (x0 + 1, 1.1, 0, 5, 0.0, 1, 1)]
+    p, g = points(spark, canopy(0.2) + canopy(5.2)), Grid.from_bbox(0.0, 0.0, 10.0, 2.5, 0.5)
+    wide = {(r["row"], r["col"]): r["value"] for r in surfaces.spike_free(p, g, 10.0, 2.0, freeze=4.0).collect()}
+    assert all(abs(wide[r, c] - 10) < 1e-6 for r in (1, 2, 3) for c in (1, 2, 3, 11, 12, 13))
+    none = {(r["row"], r["col"]): r["value"] for r in surfaces.spike_free(p, g, 10.0, 2.0, freeze=0.1).collect()}
+    assert none[2, 2] < 5 and none[2, 12] < 5
+    # five pulses in 25 m2 count as the lowest density, of which the distance is under 4 m but over the canopy's diagonal
+    local = {(r["row"], r["col"]): r["value"] for r in surfaces.spike_free(p, g, 10.0, 2.0, freeze="local").collect()}
+    assert all(abs(local[r, c] - 10) < 1e-6 for r in (1, 2, 3) for c in (1, 2, 3))
+    cut = {(r["row"], r["col"]): r["value"] for r in surfaces.spike_free(p, g, 10.0, 2.0, freeze=4.0, max_edge=2.9).collect()}
+    assert cut[2, 2] is not None and cut[2, 7] is None and wide[2, 7] is not None
+    first = surfaces.spike_free(p.withColumn("ReturnNumber", F.lit(2)), g, 10.0, 2.0, freeze=4.0, first_only=True)
+    assert first.where("value is not null").count() == 0
 
 
 def test_delaunay_covers_and_keeps_circles_empty():
