@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.lineage import written
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -90,3 +92,60 @@ class Grid:
         spread = near.withColumn("__c", F.explode(columns)).withColumn("__r", F.explode(rows))
         own = self.owned() & (F.floor((F.col("X") - self.x0) / step) == F.col("__c")) & (F.floor((F.lit(self.y1) - F.col("Y")) / step) == F.col("__r"))
         return spread.withColumn("tile", F.col("__r") * across + F.col("__c")).withColumn("is_core", own).drop("__r", "__c")
+
+    def balanced(self, points: DataFrame, tile_size: float, limit: int, depth: int = 8) -> BalancedGrid:
+        """The same lattice with tiles of about equal load: see :class:`BalancedGrid`."""
+        return BalancedGrid(self.x0, self.y1, self.resolution, self.nx, self.ny, self._leaves(points, tile_size, limit, depth), tile_size, depth)
+
+    def _leaves(self, points: DataFrame, tile_size: float, limit: int, depth: int) -> DataFrame:
+        """Tiles cut in quarters, again and again, while more than ``limit`` points lie in one: level, i, j (a quarter's column and row in its level)."""
+        if limit < 1 or not 0 <= depth <= 12:
+            raise ValueError("limit must be positive, depth from 0 to 12")
+        self.per_tile(tile_size)
+        fine = tile_size / (1 << depth)
+        own = points.where(self.owned())
+        counts = own.groupBy(F.floor((F.col("X") - self.x0) / fine).cast("int").alias("i"), F.floor((F.lit(self.y1) - F.col("Y")) / fine).cast("int").alias("j")).agg(F.count("*").alias("n"))
+        # a histogram of quarters on all levels, from the finest cells up
+        levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+        nodes = counts.withColumn("level", levels).groupBy("level", *[F.expr(f"shiftright({c}, {depth} - level)").alias(c) for c in "ij"]).agg(F.sum("n").alias("n"))
+        nodes = written(nodes)
+        over = nodes.where((F.col("n") > limit) & (F.col("level") < depth))
+        quarters = over.select((F.col("level") + 1).alias("level"), F.explode(F.array(*[F.struct((2 * F.col("i") + a).alias("i"), (2 * F.col("j") + b).alias("j")) for a in (0, 1) for b in (0, 1)])).alias("at")).select("level", "at.*")
+        across, down = (-(-n // self.per_tile(tile_size)) for n in (self.nx, self.ny))
+        top = points.sparkSession.range(across * down).select(F.lit(0).alias("level"), (F.col("id") % across).cast("int").alias("i"), F.expr(f"cast(id div {across} as int)").alias("j"))
+        return written(top.unionByName(quarters).join(over, ["level", "i", "j"], "left_anti"))
+
+
+@dataclass(frozen=True, eq=False)
+class BalancedGrid(Grid):
+    """A lattice whose tiles are quarters of quarters of ``base`` tiles, none with more points than a limit (or at the last depth).
+
+    Whatever takes a grid and asks for its halo works on these tiles; the tile
+    size that it names must be ``base``. Points meet tiles by cells as wide as
+    the smallest quarter or, where tiles are larger, as these: an equi-join on
+    (level, column, row), as each level of tiles has its own cells.
+    """
+
+    leaves: DataFrame
+    base: float
+    depth: int
+
+    def halo(self, points: DataFrame, tile_size: float, buffer: float) -> DataFrame:
+        if tile_size != self.base:
+            raise ValueError("tiles were made for another size")
+        side = F.lit(self.base) / F.pow(F.lit(2.0), F.col("level"))
+        box = self.leaves.withColumn("__w", self.x0 + F.col("i") * side).withColumn("__e", F.col("__w") + side).withColumn("__n", self.y1 - F.col("j") * side).withColumn("__s", F.col("__n") - side)
+        # a number for each tile: its place in its level, after those of the levels above
+        wide = lambda n: f"cast(ceil({n} / {self.per_tile(self.base)}) as bigint)"
+        first = f"cast((pow(4, level) - 1) / 3 as bigint) * {wide(self.nx)} * {wide(self.ny)}"
+        box = box.withColumn("tile", F.expr(f"{first} + cast(j as bigint) * cast(pow(2, level) as bigint) * {wide(self.nx)} + i"))
+        cells = lambda low, high, origin, sign: F.sequence(F.floor(sign * (low - origin) / side), F.floor(sign * (high - origin) / side))
+        spread = box.withColumn("__kx", F.explode(cells(F.col("__w") - buffer, F.col("__e") + buffer, F.lit(self.x0), 1))).withColumn("__ky", F.explode(cells(F.col("__n") + buffer, F.col("__s") - buffer, F.lit(self.y1), -1)))
+        levels = [r["level"] for r in self.leaves.select("level").distinct().collect()]  # no more than depth + 1
+        near = points.where((F.col("X") >= self.x0 - buffer) & (F.col("X") <= self.x1 + buffer) & (F.col("Y") >= self.y0 - buffer) & (F.col("Y") <= self.y1 + buffer))
+        keyed = near.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)])))
+        keyed = keyed.withColumn("__kx", F.floor((F.col("X") - self.x0) / side)).withColumn("__ky", F.floor((F.lit(self.y1) - F.col("Y")) / side))
+        met = keyed.join(spread.select("level", "__kx", "__ky", "tile", "__w", "__e", "__n", "__s"), ["level", "__kx", "__ky"])
+        met = met.where((F.col("X") >= F.col("__w") - buffer) & (F.col("X") <= F.col("__e") + buffer) & (F.col("Y") >= F.col("__s") - buffer) & (F.col("Y") <= F.col("__n") + buffer))
+        core = self.owned() & (F.col("X") >= F.col("__w")) & (F.col("X") < F.col("__e")) & (F.col("Y") > F.col("__s")) & (F.col("Y") <= F.col("__n"))
+        return met.withColumn("is_core", core).drop("level", "__kx", "__ky", "__w", "__e", "__n", "__s")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.columns import lai
 from arbora.functions.lineage import written
-from arbora.grid import Grid
+from arbora.grid import BalancedGrid, Grid
 from arbora.operators import filters, metrics, surfaces, terrain
 from arbora.operators.change import change
 from arbora.operators.joins import disc_join
@@ -18,6 +18,13 @@ from arbora.operators.profiles import pavd_profile
 from arbora.sources.catalog import RasterStore
 
 TILE, BUFFER = 500.0, 50.0
+#: Points over which a tile is cut in quarters before kernels run on it.
+LIMIT = 500_000
+
+
+def even(grid: Grid, points: DataFrame, tile: float) -> Grid:
+    """The lattice with tiles of no more than ``LIMIT`` points each."""
+    return grid if isinstance(grid, BalancedGrid) else grid.balanced(points, tile, LIMIT)
 
 
 def of_year(points: DataFrame, year: int | None) -> DataFrame:
@@ -29,7 +36,8 @@ def of_year(points: DataFrame, year: int | None) -> DataFrame:
 
 def normalised(points: DataFrame, grid: Grid, year: int, tile: float = TILE, buffer: float = BUFFER, outliers: bool = True) -> DataFrame:
     """Clean points of the year with heights above ground; low ground outliers are dropped first."""
-    return terrain.normalise(_for_heights(points, year, outliers), grid, tile, buffer)
+    p = _for_heights(points, year, outliers)
+    return terrain.normalise(p, even(grid, p, tile), tile, buffer)
 
 
 def _for_heights(points: DataFrame, year: int, outliers: bool = True) -> DataFrame:
@@ -39,7 +47,7 @@ def _for_heights(points: DataFrame, year: int, outliers: bool = True) -> DataFra
 
 def compute_dtm(points: DataFrame, grid: Grid, year: int, method: str = "tin", tile: float = TILE, buffer: float = 10.0) -> DataFrame:
     p = filters.clean(of_year(points, year), drop_noise=False)
-    return surfaces.dtm_min(p, grid) if method == "min" else terrain.dtm(p, grid, tile, buffer, method)
+    return surfaces.dtm_min(p, grid) if method == "min" else terrain.dtm(p, even(grid, p, tile) if method == "tin" else grid, tile, buffer, method)
 
 
 def compute_dsm(points: DataFrame, grid: Grid, year: int, first_only: bool = True) -> DataFrame:
@@ -48,6 +56,7 @@ def compute_dsm(points: DataFrame, grid: Grid, year: int, first_only: bool = Tru
 
 def compute_chm(points: DataFrame, grid: Grid, year: int, method: str = "max", tile: float = TILE, buffer: float = BUFFER, fill: bool = False, max_height: float | None = None) -> DataFrame:
     """Canopy height by method: max, tin, pitfree or spikefree; ``max`` carries quality flags."""
+    grid = even(grid, of_year(points, year), tile)
     if method == "max":
         heights, base = terrain.heights_and_terrain(_for_heights(points, year), grid, tile, buffer)
         out = surfaces.chm_from_heights(heights, grid, base, max_height=max_height)
@@ -69,6 +78,7 @@ def compute_all(points: DataFrame, grid: Grid, year: int, tile: float = TILE, bu
 
     Ground, without its low outliers, is triangulated once for points and pixels.
     """
+    grid = even(grid, of_year(points, year), tile)
     heights, base = terrain.heights_and_terrain(_for_heights(points, year), grid, tile, buffer)
     heights, base = written(heights), written(base)
     return {"dtm": base, "dsm": compute_dsm(points, grid, year), "chm": surfaces.chm_from_heights(heights, grid, base, max_height=max_height)}

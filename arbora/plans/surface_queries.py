@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora import fixtures
+from arbora.functions.lineage import written
 from arbora.grid import Grid
 from arbora.operators import filters, ground, metrics, profiles, scoring, surfaces, terrain, waveform
 from arbora.operators.attenuation import fit_transmittance
@@ -32,7 +33,7 @@ def framed(spark, sf_dir) -> DataFrame:
     sides = [(x0 - 5.0, 0.0, y0 - 5.0, 10.0), (x1 + 5.0, 0.0, y0 - 5.0, 10.0), (x0 - 5.0, 10.0, y0 - 5.0, 0.0), (x0 - 5.0, 10.0, y1 + 5.0, 0.0)]
     ring = spark.createDataFrame(sides, "x double, dx double, y double, dy double").select("*", along).select((F.col("x") + F.col("k") * F.col("dx")).alias("X"), (F.col("y") + F.col("k") * F.col("dy")).alias("Y")).distinct()
     marks = ring.select("X", "Y", (800 + (F.col("X") - x0) / 64 + (F.col("Y") - y0) / 32).alias("Z"), F.lit(0.0).alias("HeightAboveGround"), F.lit(2).alias("Classification"))
-    return cleaned(spark, sf_dir).unionByName(marks, allowMissingColumns=True)
+    return written(cleaned(spark, sf_dir).unionByName(marks, allowMissingColumns=True))  # several steps read it
 
 
 def _normalised(spark, sf_dir) -> DataFrame:
