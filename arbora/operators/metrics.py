@@ -16,6 +16,7 @@ COVER_HEIGHT = 2.0
 BAND_LIMIT = 80
 #: Height strata, lower edge open and upper edge closed.
 STRATA = {"pv_0_2": (0.0, 2.0), "pv_2_5": (2.0, 5.0), "pv_5_10": (5.0, 10.0), "pv_10_20": (10.0, 20.0), "pv_20_40": (20.0, 40.0), "pv_above40": (40.0, float("inf"))}
+PERCENTILES = {"h50": 0.5, "h75": 0.75, "h95": 0.95}
 METRICS = ("density", "cc", "hmean", *STRATA, "h50", "h75", "h95", "hmax", "crr", "fhd", "vci")
 
 
@@ -28,11 +29,13 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def structure(points: DataFrame, keys: list[str], area: float, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, percentile: str = "percentile") -> DataFrame:
+def structure(points: DataFrame, keys: list[str], area: float, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, beside: tuple[Column, ...] = ()) -> DataFrame:
     """The wanted metrics of each group of ``keys``, from points with HeightAboveGround.
 
-    All but the height diversity are one aggregate; that one counts by 1 m band
-    first. With less than ``min_density`` points per area all metrics are null.
+    All but the height diversity are one aggregate, with one buffer for all
+    percentiles; the diversity counts by 1 m band first. With less than
+    ``min_density`` points per area all metrics are null. ``beside`` are
+    aggregates of other products that go along.
     """
     unknown = set(wanted) - set(METRICS)
     if unknown:
@@ -48,17 +51,21 @@ def structure(points: DataFrame, keys: list[str], area: float, wanted: tuple[str
         "cc": share(count_if(first & cls.isin(*VEGETATION) & (h > COVER_HEIGHT)), count_if(first)),
         "hmean": F.avg(height),
         **{name: share(count_if(veg & (h > lo) & (h <= hi)), n_veg) for name, (lo, hi) in STRATA.items()},
-        **{name: F.expr(f"percentile(CASE WHEN __veg THEN HeightAboveGround END, {q})") for name, q in (("h50", 0.5), ("h75", 0.75), ("h95", 0.95))},
         "hmax": F.max(height),
         "crr": share(F.avg(height) - F.min(height), F.max(height) - F.min(height)),
     }
     marked = points.withColumn("__veg", veg)
     chosen = [parts[m].alias(m) for m in wanted if m in parts]
-    out = marked.groupBy(*keys).agg((F.count("*") / area).alias("__density"), *chosen)
+    asked = [m for m in PERCENTILES if m in wanted]
+    if asked:
+        chosen.append(F.percentile(F.when(F.col("__veg"), h), [PERCENTILES[m] for m in asked]).alias("__p"))
+    out = marked.groupBy(*keys).agg((F.count("*") / area).alias("__density"), *chosen, *beside)
+    carried = [c for c in out.columns if c not in (*keys, "__density", "__p", *wanted)]
+    out = out.withColumns({m: F.col("__p")[k] for k, m in enumerate(asked)})
     if {"fhd", "vci"} & set(wanted):
         out = out.join(height_diversity(marked.where("__veg"), keys), keys, "left")
     full = F.col("__density") >= min_density
-    return out.select(*keys, *[F.when(full, F.col(m)).alias(m) for m in wanted])
+    return out.select(*keys, *[F.when(full, F.col(m)).alias(m) for m in wanted], *carried)
 
 
 def height_diversity(vegetation: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,10 +79,10 @@ def height_diversity(vegetation: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, fhd.alias("fhd"), (fhd / math.log(BAND_LIMIT)).alias("vci"))
 
 
-def cell_metrics(points: DataFrame, grid: Grid, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0) -> DataFrame:
+def cell_metrics(points: DataFrame, grid: Grid, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, beside: tuple[Column, ...] = ()) -> DataFrame:
     """Metrics of each pixel that owns a point."""
     need = [c for c in ("X", "Y", "HeightAboveGround", "Classification", "ReturnNumber") if c in points.columns]
-    return structure(grid.bins(points.select(*need)), ["row", "col"], grid.resolution**2, wanted, min_density)
+    return structure(grid.bins(points.select(*need)), ["row", "col"], grid.resolution**2, wanted, min_density, beside)
 
 
 def disc_metrics(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, x: str = "cx", y: str = "cy") -> DataFrame:
@@ -93,14 +100,23 @@ def plot_metrics(plots: DataFrame, points: DataFrame, key: str, radius: float, w
     return out.join(counts, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
 
 
-def gap_counts(points: DataFrame, keys: list[str], area: float, min_density: float = 0.0) -> DataFrame:
-    """Gap fraction of first returns: ground over ground and vegetation, with its counts."""
+def gap_sums() -> tuple[Column, ...]:
+    """The counts of first returns that gap fraction takes: ground, ground and vegetation, all."""
     first = F.col("ReturnNumber") == 1
     ground, veg = first & (F.col("Classification") == BARE_GROUND), first & F.col("Classification").isin(*VEGETATION)
-    sums = points.groupBy(*keys).agg(count_if(ground).alias("gap_n_ground"), count_if(ground | veg).alias("gap_n_classified"), count_if(first).alias("gap_n_first"))
+    return count_if(ground).alias("gap_n_ground"), count_if(ground | veg).alias("gap_n_classified"), count_if(first).alias("gap_n_first")
+
+
+def gap_columns(area: float, min_density: float = 0.0) -> dict[str, Column]:
+    """``gap`` and ``gap_saturated`` of those counts."""
     supported = (F.col("gap_n_classified") > 0) & (F.col("gap_n_first") / area >= min_density)
-    gap = F.when(supported, F.col("gap_n_ground") / F.col("gap_n_classified"))
-    return sums.select(*keys, gap.alias("gap"), "gap_n_ground", "gap_n_classified", "gap_n_first", F.when(supported, F.col("gap_n_ground") == 0).alias("gap_saturated"))
+    return {"gap": F.when(supported, F.col("gap_n_ground") / F.col("gap_n_classified")), "gap_saturated": F.when(supported, F.col("gap_n_ground") == 0)}
+
+
+def gap_counts(points: DataFrame, keys: list[str], area: float, min_density: float = 0.0) -> DataFrame:
+    """Gap fraction of first returns: ground over ground and vegetation, with its counts."""
+    out = points.groupBy(*keys).agg(*gap_sums()).withColumns(gap_columns(area, min_density))
+    return out.select(*keys, "gap", "gap_n_ground", "gap_n_classified", "gap_n_first", "gap_saturated")
 
 
 def gap_fraction(points: DataFrame, grid: Grid, min_density: float = 0.0) -> DataFrame:

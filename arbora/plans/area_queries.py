@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import projection
 from arbora.functions.lineage import written
-from arbora.operators import terrain
+from arbora.operators import metrics, terrain
 from arbora.plans.queries import GRID, R, cleaned, pts, register
 
 TILE, BUFFER = 50.0, 30.0
@@ -88,3 +88,29 @@ def relief_dtm(spark, sf_dir):
     """The same ground at pixel centres, from the triangulation that serves points too."""
     _, raster = terrain.heights_and_terrain(on_relief(spark, sf_dir), GRID, TILE, BUFFER)
     return raster.select("row", "col", _hundredths(F.col("value"), 1000.0).alias("value"))
+
+
+LIMIT = 400
+_NODES = "n AS (SELECT l, CAST(FLOOR((x - 308000) / (50 / POW(2, l))) AS BIGINT) AS i, CAST(FLOOR((4688200 - y) / (50 / POW(2, l))) AS BIGINT) AS j, COUNT(*) AS n FROM cells, range(9) AS t(l) GROUP BY ALL)"
+
+
+@register("equal_tiles", f"""WITH {_NODES} SELECT CAST((POW(4, a.l) - 1) / 3 AS BIGINT) * 16 + a.j * (CAST(POW(2, a.l) AS BIGINT) * 4) + a.i AS tile, a.n FROM n a LEFT JOIN n p ON p.l = a.l - 1 AND p.i = a.i // 2 AND p.j = a.j // 2
+ WHERE (a.l = 0 OR p.n > {LIMIT}) AND (a.n <= {LIMIT} OR a.l = 8)""")
+def equal_tiles(spark, sf_dir):
+    """Points of tiles that are cut in quarters until each has few enough."""
+    points = written(pts(spark, sf_dir).select("X", "Y"))
+    tiles = GRID.balanced(points, TILE, LIMIT).halo(points, TILE, 0.0).where("is_core")
+    return tiles.groupBy("tile").agg(F.count("*").alias("n"))
+
+
+@register("area_products", f"""WITH own AS (SELECT ROW_NUMBER() OVER () AS id, * FROM pts WHERE yr = 2021 AND cls NOT IN (7, 18)), {_ground_sql('own')},
+ h AS (SELECT own.*, CASE WHEN cls IN (2, 9) THEN 1 ELSE cls END AS c, FLOOR(GREATEST(z - g, 0) * 1000 + 0.3e0) / 1000 AS h FROM own JOIN surface USING (id) WHERE x >= 308000 AND x < 308200 AND y > 4688000 AND y <= 4688200)
+ SELECT CAST(LEAST(FLOOR((4688200 - y) / 10), 19) AS INT) AS {R}, CAST(LEAST(FLOOR((x - 308000) / 10), 19) AS INT) AS col,
+  QUANTILE_CONT(h, 0.95) FILTER (c IN (3, 4, 5) AND h > 0) AS h95, MAX(h) FILTER (c IN (3, 4, 5) AND h > 0) AS hmax,
+  COUNT(*) FILTER (rn = 1 AND c IN (3, 4, 5)) AS gap_n_first FROM h GROUP BY 1, 2""")
+def area_products(spark, sf_dir):
+    """Metrics of all points over rough ground and counts of first returns, by one aggregate."""
+    heights = terrain.normalise(on_relief(spark, sf_dir), GRID, TILE, BUFFER).where("Pulse IS NOT NULL")
+    heights = heights.withColumn("HeightAboveGround", _hundredths(F.col("HeightAboveGround"), 1000.0))
+    first = F.count(F.when((F.col("ReturnNumber") == 1) & F.col("Classification").isin(3, 4, 5), 1)).alias("gap_n_first")
+    return metrics.cell_metrics(heights, GRID, ("h95", "hmax"), beside=(first,))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.metadata
 import math
-from collections.abc import Mapping
+import platform
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,14 +132,102 @@ def compute_biomass(points: DataFrame, grid: Grid, year: int, model: Column, req
     return compute_metrics(points, grid, year, required, tile=tile, buffer=buffer).select("row", "col", model.alias("value"))
 
 
-def compute_area_products(points: DataFrame, grid: Grid, year: int, wanted: tuple[str, ...] = metrics.METRICS, models: Mapping[str, Column] | None = None, gap: bool = True, tile: float = TILE, buffer: float = BUFFER) -> DataFrame:
-    """Metrics, gap, leaf area and biomass of each pixel from one normalisation."""
-    heights = normalised(points, grid, year, tile, buffer)
-    out = metrics.cell_metrics(heights, grid, wanted)
-    for name, model in (models or {}).items():
-        out = out.withColumn(name, model)
-    if gap:
-        out = out.join(metrics.gap_fraction(heights, grid).withColumn("lai", lai(F.col("gap"))), ["row", "col"], "left")
+GAP = ("gap", "lai", "gap_n_first", "gap_saturated")
+
+
+def software() -> dict[str, str]:
+    """Versions that go with a product's provenance."""
+    return {"python": platform.python_version(), **{m: importlib.metadata.version(m) for m in ("pyspark", "numpy", "pandas", "pyarrow")}}
+
+
+def has_survey(points: DataFrame, grid: Grid, year: int) -> bool:
+    """Whether the survey has points in the lattice's box; a year that no point has is an error."""
+    if points.where(F.col("Year") == year).isEmpty():
+        known = [r["Year"] for r in points.select("Year").distinct().orderBy("Year").collect()]
+        raise ValueError(f"no points of {year}; there are {known}")
+    return not of_year(points, year).where(grid.owned()).isEmpty()
+
+
+def area_columns(heights: DataFrame, grid: Grid, wanted: tuple[str, ...], gap: bool, k: float = 0.5, clumping: float = 1.0, min_density: float = 0.0) -> DataFrame:
+    """Metrics, gap and leaf area of each pixel by one aggregate over points with heights."""
+    out = metrics.cell_metrics(heights, grid, wanted, min_density, metrics.gap_sums() if gap else ())
+    if not gap:
+        return out
+    out = out.withColumns(metrics.gap_columns(grid.resolution**2, min_density))
+    return out.withColumn("lai", lai(F.col("gap"), k, clumping)).select("row", "col", *wanted, *GAP)
+
+
+def compute_area_products(points: DataFrame, grid: Grid, year: int, wanted: tuple[str, ...] = metrics.METRICS, models: Mapping[str, Column] | None = None, gap: bool = True, tile: float = TILE, buffer: float = BUFFER,
+                          chm: bool = False, store: RasterStore | None = None, features: Mapping[str, tuple[str, ...]] | None = None, settings: Mapping | None = None,
+                          revision: Callable[[], str] | None = None, overwrite: bool = False) -> DataFrame:
+    """Metrics, gap, leaf area, biomass and canopy height of each pixel from one normalisation and one aggregate.
+
+    With a ``store`` each variable is a run with its provenance (``settings``,
+    tiles, software and ``revision`` of the points, such as a table's). What is
+    complete under the same settings isn't worked out again: a model whose
+    ``features`` (metrics by model, ``wanted`` if not given) are stored takes
+    them from there, and if nothing is open the points aren't read. All open
+    variables are written by one job. A revision that changes meanwhile is an
+    error, and the runs stay failed. Other settings than those of a complete run
+    are an error unless ``overwrite``. Gives row, col and a column for each
+    variable.
+    """
+    models = dict(models or {})
+    need = {name: tuple((features or {}).get(name, wanted)) for name in models}
+    unknown = {m for names in (wanted, *need.values()) for m in names} - set(metrics.METRICS)
+    if unknown:
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    asked = [*wanted, *(GAP if gap else ()), *models, *(("chm",) if chm else ())]
+    if store is None:
+        every = tuple(dict.fromkeys([*wanted, *(m for names in need.values() for m in names)]))
+        return _area(points, grid, year, every, models, gap, chm, tile, buffer, None).select("row", "col", *asked)
+    before = revision() if revision else ""
+    common = {"year": year, "resolution": grid.resolution, "tile": tile, "buffer": buffer, "software": software(), "revision": before, **(settings or {})}
+    runs = {v: {"variable": v, **common, **({"features": list(need[v]), "model": str(models[v])} if v in models else {})} for v in asked}
+    store.ensure_grid(grid)
+    todo = [v for v in asked if store.check_run(v, grid.resolution, year, runs[v], overwrite)]
+    if todo:
+        lacking = {m for v in todo if v in models for m in need[v] if m not in wanted or m in todo}
+        metric = tuple(m for m in metrics.METRICS if m in todo or m in lacking)
+        stored = sorted({m for v in todo if v in models for m in need[v]} - set(metric))
+        some_gap = any(v in todo for v in GAP)
+        reads_points = bool(metric) or some_gap or "chm" in todo
+        for v in todo:
+            store.mark_run(v, grid.resolution, year, "running", runs[v])
+        try:
+            known = store.to_wide(grid, stored, year).select("row", "col", *stored) if stored else None
+            open_models = {v: m for v, m in models.items() if v in todo}
+            if reads_points:
+                out = _area(points, grid, year, metric, open_models, some_gap, "chm" in todo, tile, buffer, known)
+            else:
+                out = known.withColumns(open_models)
+            store.write_wide(out, todo, grid.resolution, year)
+            if revision and revision() != before:
+                raise RuntimeError("the points changed while products were made")
+        except Exception:
+            for v in todo:
+                store.mark_run(v, grid.resolution, year, "failed", runs[v])
+            raise
+        for v in todo:
+            store.mark_run(v, grid.resolution, year, "complete", runs[v])
+    return store.to_wide(grid, asked, year).select("row", "col", *asked)
+
+
+def _area(points: DataFrame, grid: Grid, year: int, metric: tuple[str, ...], models: Mapping[str, Column], gap: bool, chm: bool, tile: float, buffer: float, known: DataFrame | None) -> DataFrame:
+    """The open variables; ``known`` holds stored metrics by row and col."""
+    if chm:
+        p = _for_heights(points, year)
+        heights, base = terrain.heights_and_terrain(p, even(grid, p, tile), tile, buffer)
+        heights = written(heights)
+    else:
+        heights = normalised(points, grid, year, tile, buffer)
+    out = area_columns(heights, grid, metric, gap)
+    if known is not None:
+        out = out.join(known, ["row", "col"], "left")
+    out = out.withColumns(dict(models)) if models else out
+    if chm:
+        top = surfaces.chm_from_heights(heights, grid, base).select("row", "col", F.col("value").alias("chm"))
+        out = out.join(top, ["row", "col"], "full")
     return out
 
 

@@ -253,8 +253,16 @@ class PointTable:
         return len(old)
 
     def revision(self) -> str:
-        """A digest of the files that make up the table."""
-        return hashlib.sha256("\n".join(sorted(self.points().inputFiles())).encode()).hexdigest()
+        """A digest of the files that make up the table: names, sizes and times of change."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        found = []
+        for batch in self._batches():
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/points/batch={batch}")
+            files = at.getFileSystem(conf).listFiles(at, True)
+            while files.hasNext():
+                f = files.next()
+                found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
 _MANIFEST = "file string, status string, n_points bigint, fingerprint string, message string, ts string, batch string"
@@ -274,8 +282,16 @@ def fingerprint(configuration: dict) -> str:
     return hashlib.sha256(json.dumps(configuration, sort_keys=True, default=str).encode()).hexdigest()
 
 
+#: Pixels along the side of a block of a raster, which is written and replaced as one.
+BLOCK = 256
+
+
 class RasterStore:
-    """Rasters as one long table by variable, resolution and year; runs and finished tiles beside it."""
+    """Rasters as one long table by variable, resolution, year and block of pixels; runs and finished tiles beside it.
+
+    Batches of blocks are only ever added; a list of blocks says which batch
+    counts for each, so a killed write changes nothing that is read.
+    """
 
     _RUNS = "variable string, resolution double, year int, status string, fingerprint string, configuration string, ts string"
     _TILES = "variable string, resolution double, year int, tile int, ts string"
@@ -284,7 +300,9 @@ class RasterStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    _has, _append = PointTable._has, PointTable._append
+    _has, _append, _remove = PointTable._has, PointTable._append, PointTable._remove
+    _BLOCKS = "variable string, resolution double, year int, batch string, block_row int, block_col int, ts string"
+    _RASTER = "row int, col int, value float, batch string, variable string, resolution double, year int, block_row int, block_col int"
 
     def ensure_grid(self, grid: Grid, epsg: int = 0) -> None:
         """Registers the lattice of a resolution; another one for it is an error."""
@@ -311,30 +329,72 @@ class RasterStore:
     def mark_run(self, variable: str, resolution: float, year: int, status: str, configuration: dict) -> None:
         self._append("runs", [(variable, float(resolution), year, status, fingerprint(configuration), json.dumps(configuration, sort_keys=True, default=str), _now())], self._RUNS)
 
+    def _put(self, rows: DataFrame, variables: list[str], resolution: float, year: int, whole: bool) -> None:
+        """Writes a batch of blocks of row, col, variable, value; one entry of the block list makes it count."""
+        batch, side = uuid.uuid4().hex, F.lit(BLOCK)
+        slices = F.lit(batch).alias("batch"), F.lit(float(resolution)).alias("resolution"), F.lit(year).alias("year")
+        laid = rows.select("row", "col", F.col("value").cast("float").alias("value"), *slices, "variable", F.floor(F.col("row") / side).cast("int").alias("block_row"), F.floor(F.col("col") / side).cast("int").alias("block_col"))
+        laid.repartition("variable", "block_row", "block_col").sortWithinPartitions("variable", "block_row", "block_col", "row", "col").write.mode("append").partitionBy("batch", "variable", "resolution", "year", "block_row", "block_col").parquet(f"{self.path}/raster")
+        entries = [(v, float(resolution), year, batch, None, None, _now()) for v in variables] if whole else []
+        if self._has(f"raster/batch={batch}"):
+            there = self.spark.read.option("basePath", f"{self.path}/raster").schema(self._RASTER).parquet(f"{self.path}/raster/batch={batch}")
+            entries += [(r["variable"], float(resolution), year, batch, r["block_row"], r["block_col"], _now()) for r in there.select("variable", "block_row", "block_col").distinct().collect()]
+        if entries:
+            self._append("blocks", entries, self._BLOCKS)
+
+    def _current(self) -> DataFrame:
+        """The batch that counts for each block: the last since its slice was last written whole."""
+        entries = self.spark.read.schema(self._BLOCKS).parquet(f"{self.path}/blocks")
+        of = ["variable", "resolution", "year"]
+        since = F.max(F.when(F.col("block_row").isNull(), F.col("ts"))).over(Window.partitionBy(*of))
+        last = Window.partitionBy(*of, "block_row", "block_col").orderBy(F.desc("ts"), "batch")
+        kept = entries.withColumn("since", since).where("block_row IS NOT NULL AND (since IS NULL OR ts >= since)")
+        return kept.withColumn("n", F.row_number().over(last)).where("n = 1").select(*of, "batch", "block_row", "block_col")
+
+    def _pixels(self) -> DataFrame:
+        """All pixels that count; what is asked of variable, resolution and year reaches the folders."""
+        if not self._has("raster"):
+            return self.spark.createDataFrame([], self._RASTER)
+        every = self.spark.read.schema(self._RASTER).parquet(f"{self.path}/raster")
+        return every.join(self._current(), ["variable", "resolution", "year", "batch", "block_row", "block_col"], "left_semi")
+
     def write(self, raster: DataFrame, variable: str, resolution: float, year: int) -> None:
-        """Replaces the slice of one variable, resolution and year by row, col, value."""
-        rows = raster.select("row", "col", F.col("value").cast("float").alias("value"), F.lit(variable).alias("variable"), F.lit(float(resolution)).alias("resolution"), F.lit(year).alias("year"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable", "resolution", "year").parquet(f"{self.path}/raster")
+        """Replaces the slice of one variable, resolution and year by row, col, value. Until it is whole the old slice counts."""
+        self._put(raster.select("row", "col", "value", F.lit(variable).alias("variable")), [variable], resolution, year, True)
+
+    def write_wide(self, wide: DataFrame, variables: list[str], resolution: float, year: int) -> None:
+        """The same for many variables in one job, from row, col and a column for each; nulls take no room."""
+        pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("float").alias("value")) for v in variables]))
+        self._put(wide.select("row", "col", pairs.alias("v")).select("row", "col", "v.*").where("value IS NOT NULL"), variables, resolution, year, True)
 
     def upsert(self, raster: DataFrame, variable: str, resolution: float, year: int) -> None:
-        """Puts pixels (row, col, value) in the place of those stored, such as a tile; the others of the slice stay."""
-        rows = raster.select("row", "col", F.col("value").cast("float").alias("value"))
-        if self._has("raster"):
-            old = self.read(variable, resolution, year).select("row", "col", "value").join(rows, ["row", "col"], "left_anti")
-            rows = written(rows.unionByName(old))  # the slice is read before it is replaced
-        self.write(rows, variable, resolution, year)
+        """Puts pixels (row, col, value) in the place of those stored, such as a tile. Only the blocks that they touch are written anew."""
+        rows = written(raster.select("row", "col", F.col("value").cast("float").alias("value")))
+        block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+        touched = rows.select(block("row").alias("block_row"), block("col").alias("block_col")).distinct()
+        old = self._pixels().where((F.col("variable") == variable) & (F.col("resolution") == float(resolution)) & (F.col("year") == year))
+        old = old.join(touched, ["block_row", "block_col"], "left_semi").select("row", "col", "value").join(rows, ["row", "col"], "left_anti")
+        self._put(rows.unionByName(old).withColumn("variable", F.lit(variable)), [variable], resolution, year, False)
 
     def read(self, variable: str, resolution: float, year: int | None = None) -> DataFrame:
         keep = (F.col("variable") == variable) & (F.col("resolution") == float(resolution))
-        found = self.spark.read.parquet(f"{self.path}/raster").where(keep if year is None else keep & (F.col("year") == year))
-        return found.select("row", "col", "value", "year")
+        return self._pixels().where(keep if year is None else keep & (F.col("year") == year)).select("row", "col", "value", "year")
 
     def variables(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/raster").select("variable", "resolution", "year").distinct()
+        return self._current().select("variable", "resolution", "year").distinct()
+
+    def vacuum(self) -> int:
+        """Removes batches of which no block counts, when nobody reads or writes them any more; gives how many there were."""
+        kept = {r["batch"] for r in self._current().select("batch").distinct().collect()}
+        gone = {r["batch"] for r in self.spark.read.schema(self._BLOCKS).parquet(f"{self.path}/blocks").select("batch").distinct().collect()} - kept
+        gone = {b for b in gone if self._has(f"raster/batch={b}")}
+        for b in gone:
+            self._remove(f"raster/batch={b}")
+        return len(gone)
 
     def to_wide(self, grid: Grid, variables: list[str], year: int) -> DataFrame:
         """Every pixel of the lattice with a column for each variable."""
-        raster = self.spark.read.parquet(f"{self.path}/raster").where((F.col("resolution") == grid.resolution) & (F.col("year") == year))
+        raster = self._pixels().where((F.col("resolution") == grid.resolution) & (F.col("year") == year) & F.col("variable").isin(*variables))
         wide = raster.groupBy("row", "col").pivot("variable", variables).agg(F.first("value"))
         return grid.cells(self.spark).join(wide, ["row", "col"], "left")
 

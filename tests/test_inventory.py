@@ -7,6 +7,7 @@ from test_operators import GRID, plane_scene, points
 
 from arbora.operators import allometry, ground, scoring
 from arbora.plans import products
+from arbora.sources import catalog
 from arbora.sources.catalog import RasterStore
 from arbora.sources.results import append_results, export_csv, read_results
 
@@ -77,6 +78,32 @@ def test_raster_tiles_replace_their_pixels(spark, tmp_path):
     assert store.read("dsm", 1.0).where("value = 1").count() == 4
 
 
+def test_blocks_are_replaced_by_themselves(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "BLOCK", 4)
+    store = RasterStore(spark, str(tmp_path / "r"))
+    whole = spark.range(100).select(F.expr("cast(id div 10 as int)").alias("row"), (F.col("id") % 10).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    store.write(whole, "dtm", 1.0, 2021)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "r/raster").rglob("*.parquet")}
+    before = files()
+    assert len(before) == 9
+    tile = spark.createDataFrame([(0, 0, -1.0), (1, 3, -2.0)], "row int, col int, value double")
+    store.upsert(tile, "dtm", 1.0, 2021)
+    after = files()
+    assert len(after) == 10 and all(after[f] == t for f, t in before.items())  # one block more, none touched
+    got = {(r["row"], r["col"]): r["value"] for r in store.read("dtm", 1.0, 2021).collect()}
+    assert len(got) == 100 and got[0, 0] == -1 and got[1, 3] == -2 and got[3, 3] == 33 and got[9, 9] == 99
+    kept = RasterStore._append
+    monkeypatch.setattr(RasterStore, "_append", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+    for change in (lambda: store.upsert(tile.withColumn("value", F.lit(7.0)), "dtm", 1.0, 2021), lambda: store.write(tile, "dtm", 1.0, 2021)):
+        with pytest.raises(RuntimeError):
+            change()
+    monkeypatch.setattr(RasterStore, "_append", kept)
+    assert {(r["row"], r["col"]): r["value"] for r in store.read("dtm", 1.0, 2021).collect()} == got
+    store.write(tile, "dtm", 1.0, 2021)
+    assert store.read("dtm", 1.0, 2021).count() == 2 and [tuple(r) for r in store.variables().collect()] == [("dtm", 1.0, 2021)]
+    assert store.vacuum() == 2 and store.read("dtm", 1.0, 2021).count() == 2
+
+
 def test_results_gain_columns(spark, tmp_path):
     path = str(tmp_path / "log")
     append_results(spark.createDataFrame([("a", 1.0)], "scene string, rmse double"), path)

@@ -409,6 +409,41 @@ def test_products(spark, tmp_path):
     assert [r["tile"] for r in store.open_tiles(GRID.tiles(spark, 5.0), "dsm", 1.0, 2021).collect()] == [2, 3]
 
 
+def test_area_products_of_a_store(spark, tmp_path):
+    from arbora.sources.catalog import RasterStore
+
+    p, store = plane_scene(spark), RasterStore(spark, str(tmp_path / "s"))
+    revisions = ["a"]
+    make = lambda wanted, models=(), **how: products.compute_area_products(p, GRID, 2021, wanted, dict(models), tile=10.0, buffer=5.0, store=store, revision=lambda: revisions[0], **how)
+    free = products.compute_area_products(p, GRID, 2021, ("h95", "cc"), {"agb": F.col("h95") * 2}, tile=10.0, buffer=5.0, chm=True)
+    want = {(r["row"], r["col"]): r for r in free.collect()}
+    first = make(("h95", "cc"), gap=True, chm=True)
+    for r in first.collect():
+        w = want[r["row"], r["col"]]
+        assert all((r[c] is None) == (w[c] is None) and (r[c] is None or abs(r[c] - w[c]) < 1e-5) for c in ("h95", "cc", "chm", "gap", "lai"))
+    runs = lambda: {(r["variable"], r["status"]): r["count"] for r in spark.read.parquet(str(tmp_path / "s/runs")).groupBy("variable", "status").count().collect()}
+    assert runs()["h95", "complete"] == runs()["chm", "complete"] == 1
+    # a model over stored metrics is worked out without the points
+    p = p.where(F.raise_error(F.lit("read")).isNull())
+    out = make(("h95", "cc"), {"agb": F.col("h95") * 2}.items(), features={"agb": ("h95",)}, gap=True, chm=True)
+    rows = [r for r in out.collect() if r["h95"] is not None]
+    assert len(rows) > 50 and all(abs(r["agb"] - 2 * r["h95"]) < 1e-4 for r in rows) and runs()["h95", "complete"] == 1
+    p = plane_scene(spark)
+    with pytest.raises(ValueError, match="other settings"):
+        make(("h95",), gap=False, settings={"more": 1})
+    with pytest.raises(ValueError, match="unknown"):
+        make(("h96",))
+    changing = iter(["b", "c"])
+    with pytest.raises(RuntimeError, match="changed"):
+        products.compute_area_products(p, GRID, 2021, ("hmax",), tile=10.0, buffer=5.0, gap=False, store=store, revision=lambda: next(changing))
+    assert runs()["hmax", "failed"] == 1
+    assert products.has_survey(p, GRID, 2021) and not products.has_survey(p, Grid.from_bbox(900.0, 900.0, 910.0, 910.0, 1.0), 2021)
+    with pytest.raises(ValueError, match="2021"):
+        products.has_survey(p, GRID, 1999)
+    plan = products.area_columns(p.withColumn("HeightAboveGround", F.lit(1.0)), GRID, ("h95", "cc", "hmax"), True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
 def test_scene_truth(spark):
     grid = Grid.from_bbox(0.0, 0.0, 30.0, 30.0, 1.0)
     a, b = (scenes.scene(spark, grid, seed=5).orderBy("Pulse", "ReturnNumber").collect() for _ in range(2))
