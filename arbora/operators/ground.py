@@ -20,6 +20,7 @@ from arbora.functions.columns import tilt
 from arbora.functions.lineage import written
 from arbora.grid import Grid
 from arbora.operators import terrain
+from arbora.operators.envelope import ground_under
 from arbora.operators.filters import low_outliers, radius_outliers, vegetation_by_height
 from arbora.operators.terrain import delaunay
 from arbora.schema import NOISE
@@ -245,67 +246,27 @@ def classify_by_votes(points: DataFrame, grid: Grid, tile_size: float, buffer: f
     return told.groupBy(key).agg((F.sum("vote") >= votes).alias("is_ground"), F.sum("vote").cast("int").alias("votes"))
 
 
-def envelope(points: DataFrame, grid: Grid, tile_size: float, buffer: float, key: str = "id", cell: float = 1.0, smoothness: float = 0.1, iterations: int = 5, keep: float = 0.1, keep_bare: float = 1.0) -> DataFrame:
+def envelope(points: DataFrame, grid: Grid, tile_size: float, buffer: float, key: str = "id", **parameters) -> DataFrame:
     """A smooth lower surface fitted to last returns by reweighting, seeded by the voted triangulation.
 
     Where pulses have several returns the fit follows the lower side of the
-    points, on bare ground their middle. ``points`` also has ReturnNumber and
-    NumberOfReturns. Gives ``key`` and ``is_ground``.
+    points, on bare ground their middle (see ``envelope.ground_under``, of which
+    ``parameters`` are). ``points`` may have ReturnNumber and NumberOfReturns;
+    without them all counts as vegetated last returns. Gives ``key`` and ``is_ground``.
     """
     seeds = classify_by_votes(points, grid, tile_size, buffer, key=key).select(key, F.col("is_ground").alias("seed"))
-    given = grid.halo(points.where("Classification not in (7, 18)").join(seeds, key, "left").select(key, "X", "Y", "Z", "ReturnNumber", "NumberOfReturns", F.coalesce("seed", F.lit(False)).alias("seed")), tile_size, buffer)
+    known = {"ReturnNumber", "NumberOfReturns"} <= set(points.columns)
+    last = F.coalesce(F.col("ReturnNumber") >= F.col("NumberOfReturns"), F.lit(True)) if known else F.lit(True)
+    several = F.coalesce(F.col("NumberOfReturns") > 1, F.lit(False)) if known else F.lit(True)
+    given = points.where("Classification not in (7, 18)").join(seeds, key, "left").select(key, "X", "Y", "Z", last.alias("last"), several.alias("several"), F.coalesce("seed", F.lit(False)).alias("seed"))
     kind = points.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(["X", "Y", "Z", key], ignore_index=True)
-        x, y, z, seed = (p[c].to_numpy() for c in ("X", "Y", "Z", "seed"))
-        last = (p["ReturnNumber"] >= p["NumberOfReturns"]).to_numpy()
-        surface, r, c, shape = None, *((v - v.min()).__floordiv__(cell).astype(int) for v in (y, x)), None
-        shape = (r.max() + 1, c.max() + 1)
-        share = np.zeros(shape)
-        count = np.zeros(shape)
-        np.add.at(share, (r, c), (p["NumberOfReturns"] > 1).to_numpy())
-        np.add.at(count, (r, c), 1)
-        evidence = np.clip((share / np.maximum(count, 1))[r, c] / 0.2, 0, 1)
-        prior = np.where(seed, 1.0, np.where(last, 0.5, 0.0))
-        weight = prior
-        for _ in range(iterations):
-            surface = _smooth_fit(r, c, z, weight, shape, smoothness)
-            rise = z - surface[r, c]
-            lower = np.where(rise > 0, 1 / (1 + np.abs(rise) ** 4), 1.0)
-            even = 1 / (1 + (rise / 3.0) ** 2)
-            weight = prior * (evidence * lower + (1 - evidence) * even)
-        limit = evidence * keep + (1 - evidence) * keep_bare
-        return pd.DataFrame({key: p[key], "is_ground": (prior > 0) & (z - surface[r, c] <= limit)})[p["is_core"].to_numpy()]
-
-    return given.groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
-
+        found = ground_under(*(p[c].to_numpy() for c in ("X", "Y", "Z", "last", "several", "seed")), **parameters)
+        return pd.DataFrame({key: p[key], "is_ground": found})[p["is_core"].to_numpy()]
 
-def _smooth_fit(r, c, z, w, shape, smoothness, steps: int = 400) -> np.ndarray:
-    """Grid that balances weighted squared error and squared Laplacian, by conjugate gradients."""
-    mean = (w @ z) / max(w.sum(), 1e-12)
-    right, hold = np.zeros(shape), np.full(shape, 1e-6)
-    np.add.at(right, (r, c), w * (z - mean))
-    np.add.at(hold, (r, c), w)
-
-    def laplace(u):
-        q = np.pad(u, 1, mode="edge")
-        return q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] - 4 * u
-
-    def apply(u):
-        return hold * u + smoothness * laplace(laplace(u))
-
-    u, res = np.zeros(shape), right.copy()
-    step, rr = res.copy(), float((res * res).sum())
-    for _ in range(steps):
-        if rr < 1e-12:
-            break
-        a = apply(step)
-        k = rr / float((step * a).sum())
-        u, res = u + k * step, res - k * a
-        new = float((res * res).sum())
-        step, rr = res + new / rr * step, new
-    return u + mean
+    return grid.halo(given, tile_size, buffer).groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
 
 
 #: Whole classifiers by name, each giving ``key`` and ``is_ground``.
