@@ -195,7 +195,7 @@ def classify(points: DataFrame, grid: Grid, tile_size: float, buffer: float, met
         found = kernel(*(p[c].to_numpy() for c in ("X", "Y", "Z")))
         return pd.DataFrame({key: p[key], "is_ground": found})[p["is_core"].to_numpy()]
 
-    return given.groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
+    return terrain.apart(given, ["tile"]).groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
 
 
 def with_noise(points: DataFrame, key: str = "id", radius: float = 1.0, least: int = 2) -> DataFrame:
@@ -242,7 +242,7 @@ def classify_by_votes(points: DataFrame, grid: Grid, tile_size: float, buffer: f
         found = kernel(*(p[c].to_numpy() for c in ("X", "Y", "Z")))
         return pd.DataFrame({key: p[key], "vote": found.astype(int)})[p["is_core"].to_numpy()]
 
-    told = spread.groupBy("tile", "run").applyInPandas(run, f"{key} {kind}, vote int")
+    told = terrain.apart(spread, ["tile", "run"]).groupBy("tile", "run").applyInPandas(run, f"{key} {kind}, vote int")
     return told.groupBy(key).agg((F.sum("vote") >= votes).alias("is_ground"), F.sum("vote").cast("int").alias("votes"))
 
 
@@ -266,7 +266,7 @@ def envelope(points: DataFrame, grid: Grid, tile_size: float, buffer: float, key
         found = ground_under(*(p[c].to_numpy() for c in ("X", "Y", "Z", "last", "several", "seed")), **parameters)
         return pd.DataFrame({key: p[key], "is_ground": found})[p["is_core"].to_numpy()]
 
-    return grid.halo(given, tile_size, buffer).groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
+    return terrain.apart(grid.halo(given, tile_size, buffer), ["tile"]).groupBy("tile").applyInPandas(run, f"{key} {kind}, is_ground boolean")
 
 
 #: Whole classifiers by name, each giving ``key`` and ``is_ground``.

@@ -1,10 +1,10 @@
 """Terrain from ground points: triangulation, heights above ground, slope.
 
-A tile's ground (with a halo) is triangulated in one grouped function that
-returns triangles as rows. All the rest is relational: triangles go to the
-bucket cells that they touch, meet the query points of a cell by an equi-join,
-and the first triangle that holds a point gives its height. Points outside take
-the nearest ground point, if wanted.
+A tile's ground (with a halo) meets the places asked about in one cogrouped
+function: it is triangulated, and heights and slopes are read off in whole
+arrays. Points outside take the nearest ground point, if wanted. Surfaces that
+are built otherwise return triangles as rows, which meet points by an equi-join
+on the cells that they touch.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from arbora.functions.lineage import written
 from arbora.grid import Grid
@@ -108,6 +110,12 @@ def _inside(px: list[float], py: list[float], u: int, v: int, w: int, p: int) ->
     return ax * (by * c - b * cy) - ay * (bx * c - b * cx) + a * (bx * cy - by * cx) > 1e-14 * max(a, b, c)
 
 
+def apart(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by key to some partitions per core: groups are small in bytes but long to work on, so none waits behind another, and Spark, which would merge them, doesn't."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def triangles(points: DataFrame, keys: list[str], max_edge: float | None = None) -> DataFrame:
     """The triangulation of each group of points (X, Y, Z; positions distinct): keys and ``TRIANGLE``."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
@@ -125,9 +133,7 @@ def triangles(points: DataFrame, keys: list[str], max_edge: float | None = None)
         return pd.DataFrame(out)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + TRIANGLE
-    # a number of partitions is named, as Spark would merge groups that are small in bytes but long to triangulate
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return points.select(*keys, "X", "Y", "Z").repartition(parts, *keys).groupBy(*keys).applyInPandas(build, schema)
+    return apart(points.select(*keys, "X", "Y", "Z"), keys).groupBy(*keys).applyInPandas(build, schema)
 
 
 def _spread_triangles(tin: DataFrame, finest: float) -> DataFrame:
@@ -164,8 +170,75 @@ def interpolate(queries: DataFrame, tin: DataFrame, keys: list[str], finest: flo
     gx, gy = (e1z * e2y - e2z * e1y) / F.nullif(det, F.lit(0.0)), (e2z * e1x - e1z * e2x) / F.nullif(det, F.lit(0.0))
     held = keyed.join(spread, [*keys, "__k", "__kx", "__ky"]).withColumn("__u", u).withColumn("__v", v).where((F.col("__u") >= -EDGE) & (F.col("__v") >= -EDGE) & (F.col("__u") + F.col("__v") <= 1 + EDGE))
     z = F.col("az") + F.col("__u") * e1z + F.col("__v") * e2z
-    first = held.groupBy(*keys, "id").agg(F.min_by(F.struct(z.alias("ground"), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("slope")), "tri").alias("__g"))
-    return queries.join(first.select(*keys, "id", "__g.ground", "__g.slope"), [*keys, "id"], "left")
+    first = held.groupBy(*keys, "id").agg(F.min_by(z, "tri").alias("ground"), F.min_by(F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))), "tri").alias("slope"))
+    return queries.join(first, [*keys, "id"], "left")
+
+
+def located(x: np.ndarray, y: np.ndarray, z: np.ndarray, t: np.ndarray, qx: np.ndarray, qy: np.ndarray, at_once: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Height and slope (degrees) at each query, of the first triangle in ``t`` that holds it; NaN outside.
+
+    Triangles go to the cells that their boxes touch, on levels by their own
+    extent, and queries look in the cells of each level.
+    """
+    height, slope = np.full(len(qx), np.nan), np.full(len(qx), np.nan)
+    if not len(t) or not len(qx):
+        return height, slope
+    first = np.full(len(qx), len(t))
+    ends = [(v[t].min(axis=1), v[t].max(axis=1)) for v in (x, y)]
+    extent = np.maximum(ends[0][1] - ends[0][0], ends[1][1] - ends[1][0])
+    level = np.ceil(np.log2(np.maximum(extent, 1e-9))).astype(int)
+    level = np.maximum(level, np.quantile(level, 0.1).astype(int))
+    x0, y0 = min(x.min(), qx.min()) - 1.0, min(y.min(), qy.min()) - 1.0
+    for k in np.unique(level):
+        width = 2.0**k / 2
+        own = np.flatnonzero(level == k)
+        low = [np.floor((e[0][own] - EDGE - o) / width).astype(np.int64) for e, o in zip(ends, (x0, y0), strict=True)]
+        size = [np.floor((e[1][own] + EDGE - o) / width).astype(np.int64) - lo + 1 for e, o, lo in zip(ends, (x0, y0), low, strict=True)]
+        count = size[0] * size[1]
+        which = np.repeat(np.arange(len(own)), count)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        tall = int(max((low[1] + size[1]).max(), (qy.max() - y0) // width)) + 2
+        key = (low[0][which] + nth // size[1][which]) * tall + low[1][which] + nth % size[1][which]
+        order = np.argsort(key, kind="stable")
+        key, which = key[order], own[which[order]]
+        mine = np.floor((qx - x0) / width).astype(np.int64) * tall + np.floor((qy - y0) / width).astype(np.int64)
+        begin, n = np.searchsorted(key, mine), np.searchsorted(key, mine, "right")
+        n = n - begin
+        upto = np.cumsum(n)
+        at = 0
+        while at < len(qx):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, "right")))
+            q = np.repeat(np.arange(at, to), n[at:to])
+            tri = which[np.repeat(begin[at:to] - np.cumsum(n[at:to]) + n[at:to], n[at:to]) + np.arange(len(q))]
+            a, b, c = t[tri].T
+            e1x, e1y, e2x, e2y, dx, dy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a], qx[q] - x[a], qy[q] - y[a]
+            det = e1x * e2y - e1y * e2x
+            with np.errstate(divide="ignore", invalid="ignore"):
+                u, v = (dx * e2y - dy * e2x) / det, (e1x * dy - e1y * dx) / det
+                held = np.flatnonzero((u >= -EDGE) & (v >= -EDGE) & (u + v <= 1 + EDGE))
+            held = held[np.lexsort((tri[held], q[held]))][::-1]  # of several the first is written last
+            held = held[tri[held] < first[q[held]]]
+            e1z, e2z = z[b[held]] - z[a[held]], z[c[held]] - z[a[held]]
+            gx, gy = (e1z * e2y[held] - e2z * e1y[held]) / det[held], (e2z * e1x[held] - e1z * e2x[held]) / det[held]
+            height[q[held]] = z[a[held]] + u[held] * e1z + v[held] * e2z
+            slope[q[held]] = np.degrees(np.arctan(np.sqrt(gx * gx + gy * gy)))
+            first[q[held]] = tri[held]
+            at = to
+    return height, slope
+
+
+def by_group(queries: DataFrame, ground: DataFrame, keys: list[str]) -> DataFrame:
+    """``queries`` with ``ground`` and ``slope`` over the triangulation of their group's ground: each group is triangulated once, where its queries are."""
+    kinds = StructType([*queries.schema.fields, StructField("ground", DoubleType()), StructField("slope", DoubleType())])
+
+    def run(base: pa.Table, asked: pa.Table) -> pa.Table:
+        base = base.sort_by([("X", "ascending"), ("Y", "ascending"), ("Z", "ascending")])
+        x, y, z = (base.column(c).to_numpy() for c in ("X", "Y", "Z"))
+        height, slope = located(x, y, z, delaunay(x, y), *(asked.column(c).to_numpy() for c in ("X", "Y")))
+        return asked.append_column("ground", pa.array(height, from_pandas=True)).append_column("slope", pa.array(slope, from_pandas=True))
+
+    both = apart(ground.select(*keys, "X", "Y", "Z"), keys).groupBy(*keys).cogroup(apart(queries, keys).groupBy(*keys))
+    return both.applyInArrow(run, kinds)
 
 
 def ground_halo(points: DataFrame, grid: Grid, tile_size: float, buffer: float, ground: tuple[int, ...] = GROUND) -> DataFrame:
@@ -180,7 +253,7 @@ def evaluate(queries: DataFrame, ground: DataFrame, keys: list[str], max_distanc
     far, unless ``extrapolate`` is off. Beyond ``max_distance`` from any ground
     point it is null. The distance is worked out only where one of these needs it.
     """
-    out = written(interpolate(queries, written(triangles(ground, keys)), keys))  # so that the triangles are made once
+    out = written(by_group(queries, ground, keys))  # so that ground is triangulated once
     far = out if max_distance is not None else out.where("ground is null")
     if max_distance is None and (not extrapolate or far.isEmpty()):
         return out.withColumn("distance", F.lit(None).cast("double")).withColumn("extrapolated", F.col("ground").isNull())
