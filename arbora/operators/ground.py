@@ -22,6 +22,7 @@ from arbora.grid import Grid
 from arbora.operators import terrain
 from arbora.operators.envelope import ground_under
 from arbora.operators.filters import low_outliers, radius_outliers, vegetation_by_height
+from arbora.operators.spikes import without_spikes
 from arbora.operators.terrain import delaunay
 from arbora.schema import NOISE
 
@@ -127,9 +128,10 @@ def csf(resolution: float = 0.5, threshold: float = 0.5, rigidness: int = 1, ste
     return run
 
 
-def ptd(seed_cell: float = 10.0, angle: float = 45.0, distance: float = 1.0, spacing: float = 0.25, rounds: int = 50) -> Kernel:
+def ptd(seed_cell: float = 10.0, angle: float = 45.0, distance: float = 1.0, spacing: float = 0.25, rounds: int = 50, spike_passes: int = 2) -> Kernel:
     """Progressive triangulation (Axelsson, 2000): seeds are the lowest of coarse cells on two shifted grids; points near
-    a facet, by distance and by the angle to its corners, join until hardly any does.
+    a facet, by distance and by the angle to its corners, join until hardly any does. Then those off the plane of their
+    neighbours leave, in ``spike_passes`` passes.
     """
 
     def run(x, y, z):
@@ -148,9 +150,13 @@ def ptd(seed_cell: float = 10.0, angle: float = 45.0, distance: float = 1.0, spa
                 ground[free[near]] = True
                 break
             ground[free[near]] = True
+        base = np.flatnonzero(ground)
+        spike = np.zeros(len(x), bool)
+        spike[base] = ~without_spikes(x[base], y[base], z[base], spike_passes, least=math.sqrt(3 * spacing))
+        ground &= ~spike
         # all points close to the final surface belong to it
         base = np.flatnonzero(ground)
-        rest = np.flatnonzero(~ground)
+        rest = np.flatnonzero(~ground & ~spike)
         ground[rest[_facet_tests(x, y, z, base, rest, math.radians(angle), min(distance, spacing))]] = True
         return ground
 
