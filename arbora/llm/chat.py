@@ -10,12 +10,16 @@ Template: ``<s>`` then for each turn ``<|role|>ROLE<|text|>CONTENT<|end|>``,
 then ``</s>``. Inside roles and texts a backslash is doubled and every control
 string gets a backslash after its first character, so that none can occur in
 content; ``unescape`` takes both back. The loss mask holds the spans of the
-contents of assistant turns.
+text parts of assistant turns, without placeholders.
+
+An image stands for a token for each patch of 14 pixels a side that it touches,
+an audio for 25 tokens a second, a document for 512 a page, always for one at least.
 
 Turns are ordered by ``turn``, role and text, nulls first. A null role or text
 counts as empty; a null ``conv_id`` is a conversation of its own; repeated
 rows are repeated turns; an empty table gives no rows; other columns are
-ignored. A part of unknown kind raises an error.
+ignored. A null part is none; null fields of a part count as 0 or empty; a part
+of unknown kind raises an error.
 
 One conversation is one output row, so it must fit in a task's memory; turns
 are gathered per conversation and never beyond it.
@@ -39,7 +43,7 @@ _TURN = re.compile(re.escape(ROLE) + r"(.*?)" + re.escape(TEXT) + r"(.*?)" + re.
 
 #: Fields of a part beside ``kind``: text; ref; width, height (pixels); seconds; pages.
 PART = "struct<kind: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
-IMAGE_PATCH, IMAGE_MAX_TOKENS = 14, 4096
+IMAGE_PATCH = 14
 AUDIO_TOKENS_PER_SECOND = 25
 DOCUMENT_TOKENS_PER_PAGE = 512
 
@@ -69,7 +73,7 @@ class Flattener:
 
     def visit_image(self, part: dict) -> str:
         across, down = (-(-(part.get(side) or 0) // IMAGE_PATCH) for side in ("width", "height"))
-        return self._attach(part, min(IMAGE_MAX_TOKENS, max(1, across * down)))
+        return self._attach(part, max(1, across * down))
 
     def visit_audio(self, part: dict) -> str:
         return self._attach(part, max(1, -int(-(part.get("seconds") or 0.0) * AUDIO_TOKENS_PER_SECOND // 1)))
@@ -89,11 +93,16 @@ def format_turns(turns: list[dict]) -> dict:
     for turn in turns:
         role = turn.get("role") or ""
         head = ROLE + escape(role) + TEXT
-        body = "".join(flat.visit(p) for p in [{"kind": "text", "text": turn.get("text")}, *(turn.get("parts") or [])])
-        if role == "assistant":
-            spans.append({"begin": at + len(head), "end": at + len(head) + len(body)})
-        out += [head, body, END]
-        at += len(head) + len(body) + len(END)
+        out.append(head)
+        at += len(head)
+        for part in [{"kind": "text", "text": turn.get("text")}, *(p for p in turn.get("parts") or [] if p is not None)]:
+            body = flat.visit(part)
+            if role == "assistant" and part["kind"] == "text":
+                spans.append({"begin": at, "end": at + len(body)})
+            out.append(body)
+            at += len(body)
+        out.append(END)
+        at += len(END)
     out.append(CLOSE)
     return {"formatted": "".join(out), "loss_spans": spans, "attachments": flat.attachments, "expanded_tokens": sum(a["tokens"] for a in flat.attachments)}
 

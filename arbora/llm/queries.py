@@ -23,11 +23,29 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), "removed_sentences")
 
 
+def _parts_of_turn() -> Column:
+    """For user turns an image, an audio or a document by the turn's own numbers, with a caption after every other."""
+    size, turn = F.length(F.coalesce("text", F.lit(""))), F.coalesce(F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4)), F.lit(3)).cast("int")
+    none = {"text": "string", "ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+
+    def part(kind: str, **given: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in none.items()])
+
+    name = F.concat(F.lit("file-"), F.coalesce(F.col("turn").cast("string"), F.lit("")))
+    one = F.when(turn == 0, part("image", ref=name, width=size, height=size % 300)).when(turn == 1, part("audio", ref=name, seconds=size / F.lit(16.0))).when(turn == 2, part("document", ref=name, pages=size % 9))
+    parts = F.when(size % 2 == 0, F.array(one)).otherwise(F.array(one, part("text", text=F.lit("</s> a caption"))))
+    return F.when((F.col("role") == "user") & (turn < 3), parts)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from the plain conversations; attachments and tokens of the same ones with parts."""
     given = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
-    return chat.read_back(chat.format_chats(given.unionByName(more)))
+    given = given.unionByName(more)
+    told = F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["position"].cast("string"), a["ref"], a["tokens"].cast("string")))
+    rich = chat.format_chats(given.withColumn("parts", _parts_of_turn())).select(F.col("conv_id").alias("of"), F.size("attachments").cast("bigint").alias("n_attachments"), "expanded_tokens", F.array_join(told, " ").alias("attached"), F.length("formatted").cast("bigint").alias("chars_with_parts"))
+    return chat.read_back(chat.format_chats(given)).join(rich, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,15 +148,19 @@ def _rules_sql() -> str:
     failed = ", ".join(f"CASE WHEN NOT ({test}) THEN '{name}' END" for name, test in rules)
     return rf"""
 WITH docs AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS row, doc_id, COALESCE(text, '') AS text FROM documents),
-split AS MATERIALIZED (SELECT row, doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS ws,
-    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM docs),
+split AS MATERIALIZED (SELECT row, doc_id, text, regexp_extract_all(text, '[^ 	-
+]+') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM docs),
 runs AS (SELECT row, unnest(range(1, len(ws) - 1)) AS k, unnest(list_transform(range(1, len(ws) - 1), lambda k: ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2])) AS run FROM split WHERE len(ws) > 2),
 again AS (SELECT row, k FROM (SELECT row, k, COUNT(*) OVER (PARTITION BY row, run) AS n FROM runs) WHERE n > 1),
 repeats AS (SELECT row, COUNT(DISTINCT k + j) AS n FROM again, range(3) AS t(j) GROUP BY row),
 counts AS (SELECT row, doc_id, len(ws)::BIGINT AS n_words, COALESCE(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, COALESCE(n, 0)::BIGINT AS n_repeat_words,
     len(list_filter(ws, lambda w: lower(w) IN ({stops})))::BIGINT AS n_stop_words, len(ls)::BIGINT AS n_lines,
-    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-]*\z')))::BIGINT AS n_ellipsis_lines, len(list_filter(ls, lambda x: regexp_matches(x, '\A[ 	-]*[-*•] ')))::BIGINT AS n_bullet_lines
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ 	-
+]*\z')))::BIGINT AS n_ellipsis_lines, len(list_filter(ls, lambda x: regexp_matches(x, '\A[ 	-
+]*[-*•] ')))::BIGINT AS n_bullet_lines
     FROM split LEFT JOIN repeats USING (row))
 SELECT * EXCLUDE (row), NOT base_failed AND len(failed) = 0 AS kept FROM (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM counts)"""
@@ -217,11 +239,17 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN COALESCE(k.text, '') END AS t
     "op2_chat_formatting": r"""
 WITH turns AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-sized AS (SELECT *, replace(role, '\', '\\') AS r, replace(text, '\', '\\') AS t FROM turns),
-long AS (SELECT *, length(r) + length(t) + len(regexp_extract_all(r, '<s>|</s>|<\||\[INST\]|\[/INST\]')) + len(regexp_extract_all(t, '<s>|</s>|<\||\[INST\]|\[/INST\]')) AS chars FROM sized)
+sized AS (SELECT *, replace(role, '\', '\\') AS r, replace(text, '\', '\\') AS t, length(text) AS n, CASE WHEN role = 'user' THEN ((turn + conv_id) % 4 + 4) % 4 ELSE 3 END AS k FROM turns),
+long AS (SELECT *, length(r) + length(t) + len(regexp_extract_all(r, '<s>|</s>|<\||\[INST\]|\[/INST\]')) + len(regexp_extract_all(t, '<s>|</s>|<\||\[INST\]|\[/INST\]')) AS chars,
+    CASE WHEN k < 3 THEN ROW_NUMBER() OVER (PARTITION BY conv_id, k < 3 ORDER BY turn NULLS FIRST, role, text) - 1 END AS place,
+    CASE k WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'document' END AS kind,
+    CASE k WHEN 0 THEN greatest(1, ceil(n / 14.0) * ceil(n % 300 / 14.0)) WHEN 1 THEN greatest(1, ceil(n * 25 / 16.0)) WHEN 2 THEN greatest(1, n % 9) * 512 ELSE 0 END::BIGINT AS tokens FROM sized)
 SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    (SUM(chars) + 23 * COUNT(*) + 7)::BIGINT AS formatted_chars FROM long GROUP BY conv_id
+    (SUM(chars) + 23 * COUNT(*) + 7)::BIGINT AS formatted_chars, COUNT(place) AS n_attachments, SUM(tokens)::BIGINT AS expanded_tokens,
+    COALESCE(string_agg(kind || ':' || place || ':file-' || COALESCE(turn::VARCHAR, '') || ':' || tokens, ' ' ORDER BY place) FILTER (k < 3), '') AS attached,
+    (SUM(chars + CASE WHEN k < 3 THEN length(kind) + length(place::VARCHAR) + 5 + n % 2 * 15 ELSE 0 END) + 23 * COUNT(*) + 7)::BIGINT AS chars_with_parts
+FROM long GROUP BY conv_id
 """,
 }

@@ -55,6 +55,16 @@ def test_near_duplicates(spark, texts):
     assert got == plain.near_classes(texts)
 
 
+def test_placeholders_are_outside_the_loss():
+    parts = [{"kind": "image", "ref": "i", "width": 5000, "height": 5000}, None, {"kind": "text", "text": "</s> after"}, {"kind": "audio"}]
+    out = chat.format_turns([{"role": "user", "text": None, "parts": [{"kind": "document"}]}, {"role": "assistant", "text": "before", "parts": parts}])
+    loss = [chat.unescape(out["formatted"][s["begin"] : s["end"]]) for s in out["loss_spans"]]
+    assert loss == ["before", "</s> after"]
+    assert [(a["kind"], a["position"], a["ref"], a["tokens"]) for a in out["attachments"]] == [("document", 0, None, 512), ("image", 1, "i", 358 * 358), ("audio", 2, None, 1)]
+    assert out["expanded_tokens"] == 512 + 358 * 358 + 1
+    assert all(f"<|{a['kind']}:{a['position']}|>" in out["formatted"] for a in out["attachments"])
+
+
 def test_frequencies_of_runs_are_exact(spark, monkeypatch):
     rows = spark.read.parquet(f"{MIDDLE}/documents.parquet").where("doc_id < 3000").select("doc_id", "text")
     held = Counter()
