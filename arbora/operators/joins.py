@@ -36,10 +36,10 @@ def disc_join(centres: DataFrame, points: DataFrame, radius: float, x: str = "cx
 def nearest(centres: DataFrame, points: DataFrame, key: str, k: int, radius: float | None = None, x: str = "cx", y: str = "cy", z: str | None = None, other: str | None = None) -> DataFrame:
     """The ``k`` nearest points of each centre, within ``radius`` if one is given, with ``distance2`` and ``rank``; ties by X, then Y.
 
-    Without a radius the search starts with a disc that holds about ``k`` points
-    at the mean density and doubles it for the centres, ever fewer, that have
-    not met ``k``, until it covers all points: exact at any distance, and where
-    points are dense the discs stay small. With ``z`` distances are in space;
+    Without a radius the search starts with a disc that is small enough for the
+    densest place (:func:`first_reach`) and doubles it for the centres, ever
+    fewer, that have not met ``k``, until it covers all points: exact at any
+    distance, and where points are dense the discs stay small. With ``z`` distances are in space;
     ``other`` names a column of ``points`` that must differ from the centre's key.
     """
 
@@ -61,7 +61,8 @@ def nearest(centres: DataFrame, points: DataFrame, key: str, k: int, radius: flo
         return within(centres, 1.0)
     spans = [max(box[f"{c}1"], own[f"{c}1"]) - min(box[f"{c}0"], own[f"{c}0"]) for c in ("xyz" if z else "xy")]
     whole = math.hypot(*spans) + 1e-6
-    reach = min(whole, max(whole * 1e-6, 1.5 * math.sqrt(k * max(spans[0] * spans[1], 1e-12) / (math.pi * box["n"]))))
+    mean = 1.5 * math.sqrt(k * max(spans[0] * spans[1], 1e-12) / (math.pi * box["n"]))
+    reach = min(whole, first_reach(points, k, mean, whole * 1e-6))
     parts, left = [], centres
     while True:
         found = written(within(left, reach))
@@ -75,6 +76,21 @@ def nearest(centres: DataFrame, points: DataFrame, key: str, k: int, radius: flo
         reach = min(whole, 2 * reach)
 
 
+def first_reach(points: DataFrame, k: int, reach: float, least: float) -> float:
+    """``reach``, or less of it (not under ``least``), so that no square of that side holds more than ``4 * k`` points.
+
+    Points lie unevenly: in a strip, or a dense block in a wide box, the mean
+    density says little. Each look is one count by cell.
+    """
+    while reach > least:
+        cells = points.groupBy(F.floor(F.col("X") / reach), F.floor(F.col("Y") / reach)).agg(F.count("*").alias("n"))
+        most = cells.agg(F.max("n")).first()[0] or 0
+        if most <= 4 * k:
+            break
+        reach *= max(0.05, math.sqrt(2 * k / most))
+    return max(reach, least)
+
+
 def idw(centres: DataFrame, ground: DataFrame, key: str, k: int = 8, radius: float | None = None) -> DataFrame:
     """Height at each centre by inverse squared distance over the ``k`` nearest ground points."""
     w = 1.0 / F.pow(F.greatest(F.sqrt("distance2"), F.lit(1e-10)), 2)

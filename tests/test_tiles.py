@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.grid import Grid
-from arbora.operators import ground, surfaces, terrain
+from arbora.operators import ground, joins, surfaces, terrain
 
 GRID = Grid.from_bbox(0.0, 0.0, 90.0, 60.0, 1.0)
 
@@ -79,3 +79,22 @@ def test_kernels_agree_on_equal_tiles(uneven):
     assert a.keys() == b.keys() and sum((a[k] is None) != (b[k] is None) or (a[k] is not None and abs(a[k] - b[k]) > 1e-9) for k in a) <= 0.02 * len(a)
     found = ground.classify(uneven, even, 30.0, 12.0, "smrf")
     assert found.count() == uneven.where(GRID.owned()).count()
+
+
+def test_nearest_on_strongly_clustered_points(spark):
+    rng = np.random.default_rng(9)
+    x, y = np.r_[rng.normal(0, 0.05, 3000), rng.uniform(-500, 500, 200), [7.0] * 50], np.r_[rng.normal(0, 0.05, 3000), rng.uniform(-500, 500, 200), [7.0] * 50]
+    points = spark.createDataFrame([(float(a), float(b), 0.0) for a, b in zip(x, y, strict=True)], "X double, Y double, Z double").cache()
+    where = [(0.0, 0.0), (0.03, -0.05), (300.0, 10.0), (7.0, 7.0), (499.0, 499.0), (0.4, 0.4)]
+    centres = spark.createDataFrame([(k, *w) for k, w in enumerate(where)], "id int, cx double, cy double")
+    k = 6
+    mean = 1.5 * float(np.sqrt(k * 1000.0 * 1000.0 / np.pi / len(x)))
+    reach = joins.first_reach(points, k, mean, 1e-3)
+    near_by = joins.disc_join(centres.where("id < 2"), points, reach).groupBy("id").count().collect()
+    wide = joins.disc_join(centres.where("id < 2"), points, mean).groupBy("id").count().collect()
+    assert max(r["count"] for r in near_by) <= 36 * k < min(r["count"] for r in wide)
+    got = {}
+    for r in joins.nearest(centres, points, "id", k).collect():
+        got.setdefault(r["id"], []).append(r["distance2"])
+    for i, (a, b) in enumerate(where):
+        assert np.allclose(sorted(got[i]), np.sort((x - a) ** 2 + (y - b) ** 2)[:k])
