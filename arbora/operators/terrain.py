@@ -232,12 +232,15 @@ def by_group(queries: DataFrame, ground: DataFrame, keys: list[str]) -> DataFram
     kinds = StructType([*queries.schema.fields, StructField("ground", DoubleType()), StructField("slope", DoubleType())])
 
     def run(base: pa.Table, asked: pa.Table) -> pa.Table:
-        base = base.sort_by([("X", "ascending"), ("Y", "ascending"), ("Z", "ascending")])
-        x, y, z = (base.column(c).to_numpy() for c in ("X", "Y", "Z"))
+        base = base.sort_by([("gx", "ascending"), ("gy", "ascending"), ("gz", "ascending")])
+        x, y, z = (base.column(c).to_numpy() for c in ("gx", "gy", "gz"))
         height, slope = located(x, y, z, delaunay(x, y), *(asked.column(c).to_numpy() for c in ("X", "Y")))
         return asked.append_column("ground", pa.array(height, from_pandas=True)).append_column("slope", pa.array(slope, from_pandas=True))
 
-    both = apart(ground.select(*keys, "X", "Y", "Z"), keys).groupBy(*keys).cogroup(apart(queries, keys).groupBy(*keys))
+    # names of its own, as both sides may come from one table
+    own = [f"g_{k}" for k in keys]
+    base = ground.select(*[F.col(k).alias(g) for k, g in zip(keys, own, strict=True)], *[F.col(c).alias(f"g{c.lower()}") for c in "XYZ"])
+    both = apart(base, own).groupBy(*own).cogroup(apart(queries, keys).groupBy(*keys))
     return both.applyInArrow(run, kinds)
 
 
