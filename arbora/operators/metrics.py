@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from arbora.grid import Grid
 from arbora.operators.filters import finite
+from arbora.operators.discs import Values, celled, disc_cells, disc_parts, disc_percentiles, disc_sums
 from arbora.operators.joins import disc_join
 from arbora.schema import BARE_GROUND, VEGETATION
 
 COVER_HEIGHT = 2.0
 BAND_LIMIT = 80
+#: What the sums of a cell cost against a pair of a disc and a point, with metre bands and without. Pairs that only add to sums are cheap: at 30
+#: points per m2 and 12.5 m percentiles take 12.8 s by cells and 18.0 s by pairs, sums 4.1 s and 2.8 s.
+BAND_ROWS, SUM_ROWS = 16, 64
 #: Height strata, lower edge open and upper edge closed.
 STRATA = {"pv_0_2": (0.0, 2.0), "pv_2_5": (2.0, 5.0), "pv_5_10": (5.0, 10.0), "pv_10_20": (10.0, 20.0), "pv_20_40": (20.0, 40.0), "pv_above40": (40.0, float("inf"))}
 PERCENTILES = {"h50": 0.5, "h75": 0.75, "h95": 0.95}
@@ -72,6 +76,10 @@ def height_diversity(vegetation: DataFrame, keys: list[str]) -> DataFrame:
     """Shannon entropy of vegetation over 1 m bands up to 80 m (fhd), and its share of the largest (vci)."""
     band = F.least(F.floor("HeightAboveGround"), F.lit(BAND_LIMIT - 1)).cast("int")
     counts = vegetation.where(F.col("HeightAboveGround") <= BAND_LIMIT).groupBy(*keys, band.alias("__band")).agg(F.count("*").alias("__n"))
+    return _diversity(counts, keys)
+
+
+def _diversity(counts: DataFrame, keys: list[str]) -> DataFrame:
     n = F.col("__n").cast("double")
     # -sum(p ln p) with p = n / N is ln N - sum(n ln n) / N
     sums = counts.groupBy(*keys).agg(F.sum("__n").cast("double").alias("__all"), F.sum(n * F.log(n)).alias("__nln"))
@@ -85,19 +93,79 @@ def cell_metrics(points: DataFrame, grid: Grid, wanted: tuple[str, ...] = METRIC
     return structure(grid.bins(points.select(*need)), ["row", "col"], grid.resolution**2, wanted, min_density, beside)
 
 
-def disc_metrics(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, x: str = "cx", y: str = "cy") -> DataFrame:
-    """Metrics over the disc around each centre; centres without enough points stay, with nulls."""
+def disc_metrics(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, x: str = "cx", y: str = "cy", parts: int | None = None) -> DataFrame:
+    """Metrics over the disc around each centre; centres without enough points stay, with nulls.
+
+    The same values as :func:`structure` of all pairs. Where points are dense they
+    come from cells that the discs share, ``parts`` of them on a radius: 0 for
+    pairs alone, by default as :func:`disc_parts` says.
+    """
+    out = _disc_structure(centres, points, keys, radius, wanted, min_density, x, y, parts)
+    return centres.select(*keys).join(out.drop("n_points"), keys, "left")
+
+
+def _disc_structure(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, wanted: tuple[str, ...], min_density: float, x: str, y: str, parts: int | None) -> DataFrame:
+    unknown = set(wanted) - set(METRICS)
+    if unknown:
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
+    h, cls = F.col("HeightAboveGround"), F.col("Classification")
+    known = finite("HeightAboveGround")
     need = points.select("X", "Y", "HeightAboveGround", "Classification", "ReturnNumber")
-    found = disc_join(centres.select(*keys, x, y), need, radius, x, y)
-    out = structure(found, keys, math.pi * radius**2, wanted, min_density)
-    return centres.select(*keys).join(out, keys, "left")
+    asked = {name: p for name, p in PERCENTILES.items() if name in wanted}
+    banded = bool(asked) or bool({"fhd", "vci"} & set(wanted))
+    parts = disc_parts(need, radius, BAND_ROWS if banded else SUM_ROWS) if parts is None else parts
+    if parts == 0:
+        found = disc_join(centres.select(*keys, x, y), need, radius, x, y)
+        return structure(found, keys, math.pi * radius**2, wanted, min_density, (F.count("*").alias("n_points"),))
+    need = celled(need, radius, parts)
+    veg, first, height = F.col("__veg"), F.col("__first"), F.when(F.col("__veg"), h)
+    marked = need.withColumns({
+        "__veg": F.coalesce(known & cls.isin(*VEGETATION) & (h > 0), F.lit(False)),
+        "__first": F.coalesce(known & (F.col("ReturnNumber") == 1) & cls.isin(*VEGETATION, BARE_GROUND), F.lit(False)),
+    }).withColumn("__band", F.when(veg, F.floor(h)).otherwise(F.lit(-1).cast("bigint")))
+    one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    values: Values = {"n_points": (F.lit(1).cast("bigint"), "sum"), "__n": (one(veg), "sum")}
+    if "cc" in wanted:
+        values |= {"__n_first": (one(first), "sum"), "__n_cover": (one(first & cls.isin(*VEGETATION) & (h > COVER_HEIGHT)), "sum")}
+    if {"hmean", "crr"} & set(wanted):
+        values["__sum"] = (height, "sum")
+    if {"hmax", "crr"} & set(wanted):
+        values["__top"] = (height, "max")
+    if "crr" in wanted:
+        values["__low"] = (height, "min")
+    if {"fhd", "vci"} & set(wanted):
+        values["__n_band"] = (one(veg & (h <= BAND_LIMIT)), "sum")
+    strata = [name for name in STRATA if name in wanted]
+    values |= {f"__{name}": (one(veg & (h > STRATA[name][0]) & (h <= STRATA[name][1])), "sum") for name in strata}
+    cells = disc_cells(centres, keys, radius, parts, x, y)
+    sums = disc_sums(cells, marked, keys, radius, values, ("__band",) if banded else ())
+    out = sums
+    if banded:
+        band = F.struct("__band", F.col("__n").alias("n"), *(["__n_band"] if "__n_band" in values else []))
+        listed = F.collect_list(F.when(F.col("__band") >= 0, band)).alias("__bands")  # as many as a disc has metres of height
+        out = sums.groupBy(*keys).agg(listed, *[getattr(F, how)(name).alias(name) for name, (_, how) in values.items()])
+    if asked:
+        out = disc_percentiles(cells, marked.where("__veg"), out, keys, radius, "HeightAboveGround", "__band", asked)
+    if "__n_band" in values:
+        bands = out.select(*keys, F.inline("__bands")).where("__n_band > 0").groupBy(*keys, F.least("__band", F.lit(BAND_LIMIT - 1)).alias("__band")).agg(F.sum("__n_band").alias("__n"))
+        out = out.join(_diversity(bands, keys), keys, "left")
+    mean = F.col("__sum") / F.when(F.col("__n") > 0, F.col("__n"))
+    made: dict[str, Column] = {
+        "density": F.col("n_points") / (math.pi * radius**2),
+        "cc": share(F.col("__n_cover"), F.col("__n_first")),
+        "hmean": mean,
+        **{name: share(F.col(f"__{name}"), F.col("__n")) for name in strata},
+        "hmax": F.col("__top"),
+        "crr": share(mean - F.col("__low"), F.col("__top") - F.col("__low")),
+    }
+    full = F.col("n_points") / (math.pi * radius**2) >= min_density
+    return out.select(*keys, *[F.when(full, made.get(m, F.col(m))).alias(m) for m in wanted], "n_points")
 
 
-def plot_metrics(plots: DataFrame, points: DataFrame, key: str, radius: float, wanted: tuple[str, ...] = METRICS, x: str = "px", y: str = "py") -> DataFrame:
+def plot_metrics(plots: DataFrame, points: DataFrame, key: str, radius: float, wanted: tuple[str, ...] = METRICS, x: str = "px", y: str = "py", parts: int | None = None) -> DataFrame:
     """Metrics of each plot, and ``n_points``; plots without points stay."""
-    counts = disc_join(plots.select(key, x, y), points.select("X", "Y"), radius, x, y).groupBy(key).agg(F.count("*").alias("n_points"))
-    out = disc_metrics(plots, points, [key], radius, wanted, x=x, y=y)
-    return out.join(counts, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+    out = _disc_structure(plots, points, [key], radius, wanted, 0.0, x, y, parts)
+    return plots.select(key).join(out, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
 
 
 def gap_sums() -> tuple[Column, ...]:
@@ -123,9 +191,20 @@ def gap_fraction(points: DataFrame, grid: Grid, min_density: float = 0.0) -> Dat
     return gap_counts(grid.bins(points.select("X", "Y", "Classification", "ReturnNumber")), ["row", "col"], grid.resolution**2, min_density)
 
 
-def disc_gap(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, x: str = "cx", y: str = "cy") -> DataFrame:
-    found = disc_join(centres.select(*keys, x, y), points.select("X", "Y", "Classification", "ReturnNumber"), radius, x, y)
-    return gap_counts(found, keys, math.pi * radius**2)
+def disc_gap(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, x: str = "cx", y: str = "cy", min_density: float = 0.0, parts: int | None = None) -> DataFrame:
+    """Gap fraction over the disc around each centre that has a point, from cells that the discs share."""
+    first = F.col("ReturnNumber") == 1
+    ground, veg = first & (F.col("Classification") == BARE_GROUND), first & F.col("Classification").isin(*VEGETATION)
+    one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    values: Values = {"gap_n_ground": (one(ground), "sum"), "gap_n_classified": (one(ground | veg), "sum"), "gap_n_first": (one(first), "sum")}
+    need = points.select("X", "Y", "Classification", "ReturnNumber")
+    parts = disc_parts(need, radius, SUM_ROWS) if parts is None else parts
+    if parts == 0:
+        return gap_counts(disc_join(centres.select(*keys, x, y), need, radius, x, y), keys, math.pi * radius**2, min_density)
+    need = celled(need, radius, parts)
+    out = disc_sums(disc_cells(centres, keys, radius, parts, x, y), need, keys, radius, values)
+    out = out.withColumns(gap_columns(math.pi * radius**2, min_density))
+    return out.select(*keys, "gap", "gap_n_ground", "gap_n_classified", "gap_n_first", "gap_saturated")
 
 
 def rasterise(points: DataFrame, grid: Grid, value: str, statistic: str = "max") -> DataFrame:

@@ -377,6 +377,12 @@ def baba_metrics(spark, sf_dir):
     return _tidy(out.where("density is not null").drop("density"))
 
 
+@register("disc_cell_metrics", f"WITH {_DISC} SELECT id, {_metric_sql(('density', 'cc', 'hmean', *metrics.STRATA, 'h50', 'h75', 'h95', 'hmax', 'crr'), area='(PI() * 64)')} FROM disc GROUP BY id")
+def disc_cell_metrics(spark, sf_dir):
+    names = ("density", "cc", "hmean", *metrics.STRATA, "h50", "h75", "h95", "hmax", "crr")
+    return _tidy(metrics.disc_metrics(_centres(spark), cleaned(spark, sf_dir), ["id"], 8.0, names, parts=4).where("density is not null"))
+
+
 @register("baba_gap", f"WITH {_DISC} SELECT id, COUNT(*) FILTER (rn = 1 AND cls = 2) AS gap_n_ground, COUNT(*) FILTER ({_FIRST}) AS gap_n_classified, CAST(COUNT(*) FILTER (rn = 1 AND cls = 2) AS DOUBLE) / NULLIF(COUNT(*) FILTER ({_FIRST}), 0) AS gap FROM disc GROUP BY id")
 def baba_gap(spark, sf_dir):
     return metrics.disc_gap(_centres(spark), cleaned(spark, sf_dir), ["id"], 8.0).select("id", "gap_n_ground", "gap_n_classified", "gap")
