@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -90,6 +91,24 @@ def slope_class(degrees: Column) -> Column:
     return F.when(degrees < 10, F.lit("flat")).when(degrees < 25, F.lit("moderate")).when(degrees >= 25, F.lit("steep"))
 
 
+#: Beginnings of forest formation codes by leaf type, and the share of typed forest from which one type names the whole.
+LEAF_CODES = {"broadleaf": ("FF1", "FO1", "FP"), "conifer": ("FF2", "FO2"), "mixed": ("FF3", "FO3")}
+LEAF_SHARE = 0.75
+
+
+def leaf_code(formation: Column) -> Column:
+    """Leaf type of a forest formation; null if it has none."""
+    begins = {kind: functools.reduce(Column.__or__, [formation.startswith(c) for c in codes]) for kind, codes in LEAF_CODES.items()}
+    return F.coalesce(*[F.when(hit, F.lit(kind)) for kind, hit in begins.items()])
+
+
+def leaf_type(broadleaf: Column, conifer: Column, mixed: Column) -> Column:
+    """Leaf type of a block from areas or shares: broadleaf or conifer from three quarters of the typed forest, else mixed; null without any."""
+    typed = broadleaf + conifer + mixed
+    pure = [F.when(part / F.nullif(typed, F.lit(0.0)) >= LEAF_SHARE, F.lit(kind)) for kind, part in (("broadleaf", broadleaf), ("conifer", conifer))]
+    return F.when(typed > 0, F.coalesce(*pure, F.lit("mixed")))
+
+
 FEET = {"us": 0.3048006096, "international": 0.3048}
 
 

@@ -234,3 +234,32 @@ def scene_scores(spark, sf_dir):
     trees = fixtures.plots(spark, sf_dir).select(GRID.row("py").alias("row"), GRID.col("px").alias("col"))
     out = reference.scene_scores(rasters.drop("value"), rasters.select("row", "col", "value"), trees, GRID)
     return out.select(*[cut(F.col(c)).alias(c) for c in out.columns if c != "trees"], "trees")
+
+
+_TOPS = """t AS (SELECT yr, CAST(LEAST(FLOOR((4688200.0e0 - y) / 5.0e0), 39) AS INT) AS r, CAST(LEAST(FLOOR((x - 308000.0e0) / 5.0e0), 39) AS INT) AS c, FLOOR(MAX(hag) / 4.0e0) * 4.0e0 AS v
+  FROM pts WHERE cls = 5 AND x >= 308000.0e0 AND x < 308200.0e0 AND y > 4688000.0e0 AND y <= 4688200.0e0 GROUP BY 1, 2, 3),
+ p AS (SELECT t.yr, t.r, t.c FROM t JOIN t n ON n.yr = t.yr AND ABS(n.r - t.r) <= 1 AND ABS(n.c - t.c) <= 1 GROUP BY t.yr, t.r, t.c, t.v HAVING t.v >= MAX(n.v) AND t.v >= 2),
+ g AS (WITH RECURSIVE w AS (SELECT yr, r, c, r * 40 + c AS root FROM p UNION SELECT p.yr, p.r, p.c, w.root FROM w JOIN p ON p.yr = w.yr AND ABS(p.r - w.r) + ABS(p.c - w.c) = 1) SELECT yr, r, c, MIN(root) AS root FROM w GROUP BY yr, r, c),
+ k AS (SELECT COUNT(DISTINCT CASE WHEN yr = 2017 THEN root END) AS peaks, COUNT(DISTINCT CASE WHEN yr = 2021 THEN root END) AS found FROM g),
+ j AS (SELECT a.v AS rv, b.v AS cv FROM (SELECT * FROM t WHERE yr = 2017) a FULL JOIN (SELECT * FROM t WHERE yr = 2021) b ON a.r = b.r AND a.c = b.c)"""
+_AGREED = f"SELECT COUNT(cv - rv) AS shared_pixels, COUNT(cv - rv) / CAST(COUNT(rv) AS DOUBLE) AS coverage, COUNT(cv) / 1600.0e0 AS candidate_coverage, COUNT(rv) / 1600.0e0 AS reference_coverage, (COUNT(*) - COUNT(cv - rv)) / 1600.0e0 AS coverage_disagreement, {sql_cut('AVG(cv - rv)')} AS bias, {sql_cut('AVG(ABS(cv - rv))')} AS mae, {sql_cut('SQRT(AVG(POW(cv - rv, 2)))')} AS rmse, quantile_cont(ABS(cv - rv), 0.95) AS p95, ANY_VALUE(peaks) AS peaks, ANY_VALUE(found) AS found FROM j, k"
+
+
+@register("raster_agreement", f"WITH {_TOPS} {_AGREED}")
+def raster_agreement(spark, sf_dir):
+    grid = Grid.from_bbox(*fixtures.EXTENT, 5.0)
+    tops = [grid.bins(pts(spark, sf_dir, year).where("Classification = 5")).groupBy("row", "col").agg((F.floor(F.max("HeightAboveGround") / 4.0) * 4.0).alias("value")) for year in (2017, 2021)]
+    out = scoring.compare_rasters(*tops, grid.ny, grid.nx, reach=10.0, resolution=grid.resolution)
+    return out.select(*[cut(F.col(c)).alias(c) if c in ("bias", "mae", "rmse") else c for c in out.columns if not c.startswith(("matched", "peak_"))])
+
+
+_STANDS = "SELECT block, agb + 25.0e0 AS area, CASE plot_id % 4 WHEN 0 THEN 'FF' || CAST(plot_id % 5 AS VARCHAR(9)) WHEN 1 THEN 'FO' || CAST(plot_id % 3 AS VARCHAR(9)) WHEN 2 THEN 'FP' ELSE 'LA4' END AS code FROM plots"
+_KINDS = {kind: " OR ".join(f"code LIKE '{c}%'" for c in codes) for kind, codes in fn.LEAF_CODES.items()}
+
+
+@register("leaf_types", f"WITH s AS ({_STANDS}), b AS (SELECT block, {', '.join(f'SUM(CASE WHEN {hit} THEN area ELSE 0 END) AS {kind}' for kind, hit in _KINDS.items())} FROM s GROUP BY block) SELECT block, {', '.join(f'{sql_cut(kind)} AS {kind}' for kind in _KINDS)}, CASE WHEN broadleaf + conifer + mixed <= 0 THEN NULL WHEN broadleaf / (broadleaf + conifer + mixed) >= 0.75e0 THEN 'broadleaf' WHEN conifer / (broadleaf + conifer + mixed) >= 0.75e0 THEN 'conifer' ELSE 'mixed' END AS leaf_type FROM b")
+def leaf_types(spark, sf_dir):
+    stands = spark.sql(_STANDS.replace("FROM plots", "FROM {plots}"), plots=fixtures.plots(spark, sf_dir))
+    kind, area = fn.leaf_code(F.col("code")), F.col("area")
+    sums = stands.groupBy("block").agg(*[F.sum(F.when(kind == k, area).otherwise(0.0)).alias(k) for k in _KINDS])
+    return sums.select("block", *[cut(F.col(k)).alias(k) for k in _KINDS], fn.leaf_type(*[F.col(k) for k in _KINDS]).alias("leaf_type"))
