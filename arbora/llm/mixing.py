@@ -14,6 +14,10 @@ slot is then arithmetic on its place in its source, and that place comes from
 window functions over (source, bucket of the hashed id), so that no window
 holds a whole source.
 
+Files and shuffles keep no order of rows, so a mixed table says by what it was
+mixed: the metadata of its ``source`` column hold the blocks and the weight of
+each source, and its rows are placed again by those alone.
+
 A null source is a source of its own. A source without a target gets
 ``default_weight``. Null ids and texts are ordinary rows, repeated rows take
 a place each, and an empty table gives no rows.
@@ -30,6 +34,7 @@ BLOCK_SIZE = 16
 BUCKETS = 1024
 MAX_SOURCES = 1000
 DEFAULT_WEIGHT = 1
+METADATA = "mix"
 #: Production targets, in parts.
 TARGETS = {f"src{k}": 1 + k % 5 for k in range(20)}
 
@@ -73,11 +78,20 @@ def _order(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 7), 16, 10).cast("bigint")
 
 
-def schedule(docs: DataFrame, targets: Mapping[str | None, int] | None = None, block_size: int = BLOCK_SIZE, default_weight: int = DEFAULT_WEIGHT) -> DataFrame:
-    """``docs`` with ``block`` (within the source), ``slot`` of the block and ``place`` of the row in its block."""
+def settle(docs: DataFrame, targets: Mapping[str | None, int] | None = None, block_size: int = BLOCK_SIZE, default_weight: int = DEFAULT_WEIGHT) -> dict:
+    """The mix of ``docs``: the size of blocks, and how many blocks and which weight each source has."""
     if block_size < 1 or default_weight < 1 or any(int(w) != w or w < 1 for w in (targets or {}).values()):
         raise ValueError("block size and weights must be whole numbers of at least one")
     weights = TARGETS if targets is None else targets
+    totals = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = sorted(((r["source"], r["n"]) for r in totals), key=lambda x: (x[0] is not None, x[0] or ""))
+    return {"block_size": block_size, "sources": [{"source": s, "blocks": -(-n // block_size), "weight": int(weights.get(s, default_weight))} for s, n in found]}
+
+
+def _placed(docs: DataFrame, settled: dict) -> DataFrame:
+    """The columns of ``docs`` as ``c0``, ``c1``, ..., and ``block``, ``slot`` and ``place``; null in rows over the blocks that were settled."""
     kept = [f"c{k}" for k in range(len(docs.columns))]
     rows = docs.toDF(*kept)
     source, doc = (F.col(kept[docs.columns.index(c)]) for c in ("source", "doc_id"))
@@ -89,28 +103,43 @@ def schedule(docs: DataFrame, targets: Mapping[str | None, int] | None = None, b
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     running = Window.partitionBy("__known", "__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).drop("n")
-    totals = counts.groupBy("__known", "__source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    blocks = {r["__source"] if r["__known"] else None: -(-r["n"] // block_size) for r in totals}
-    plan = phases(blocks, {s: int(weights.get(s, default_weight)) for s in blocks})
+    plan = phases({x["source"]: x["blocks"] for x in settled["sources"]}, {x["source"]: x["weight"] for x in settled["sources"]})
     table = docs.sparkSession.createDataFrame(
         [(p["source"] is not None, p["source"] or "", p["first"], p["last"], p["start"], p["period"], p["places"]) for p in plan],
-        "__known boolean, __source string, first bigint, last bigint, start bigint, period bigint, places array<int>",
+        "k2 boolean, s2 string, first bigint, last bigint, start bigint, period bigint, places array<int>",
     )
     texts = [F.xxhash64(*[F.col(c) for c in kept])]
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", doc, *texts))
     placed = rows.withColumn("__number", number).join(before, keys).withColumn("__nth", F.col("before") + F.col("__number") - 1)
-    placed = placed.withColumn("block", F.floor(F.col("__nth") / block_size)).withColumn("place", (F.col("__nth") % block_size).cast("int"))
+    placed = placed.withColumn("__block", F.floor(F.col("__nth") / settled["block_size"]))
     # sources and phases are few: at most a row for each pair of sources that were counted
-    within = (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last"))
-    p = table.toDF("k2", "s2", "first", "last", "start", "period", "places")
-    placed = placed.join(F.broadcast(p), (F.col("__known") == F.col("k2")) & (F.col("__source") == F.col("s2")) & within)
-    nth = F.col("block") - F.col("first")
+    within = (F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("last"))
+    placed = placed.join(F.broadcast(table), (F.col("__known") == F.col("k2")) & (F.col("__source") == F.col("s2")) & within, "left")
+    nth = F.col("__block") - F.col("first")
     slot = F.col("start") + F.floor(nth / F.size("places")) * F.col("period") + F.get("places", (nth % F.size("places")).cast("int"))
-    return placed.select(*[F.col(c).alias(name) for c, name in zip(kept, docs.columns, strict=True)], F.col("block").cast("bigint").alias("__block"), slot.cast("bigint").alias("__slot"), F.col("place").alias("__place"))
+    values = {"block": F.col("__block").cast("bigint"), "slot": slot.cast("bigint"), "place": (F.col("__nth") % settled["block_size"]).cast("int")}
+    return placed.select(*kept, *[F.when(F.col("k2").isNotNull(), v).alias(name) for name, v in values.items()])
+
+
+def place(docs: DataFrame, settled: dict) -> DataFrame:
+    """``docs`` with ``__block`` (within the source), ``__slot`` of the block and ``__place`` of the row in its block, by what :func:`settle` gave."""
+    return _placed(docs, settled).toDF(*docs.columns, "__block", "__slot", "__place")
+
+
+def schedule(docs: DataFrame, targets: Mapping[str | None, int] | None = None, block_size: int = BLOCK_SIZE, default_weight: int = DEFAULT_WEIGHT) -> DataFrame:
+    """``docs`` placed by the mix that :func:`settle` finds for them."""
+    return place(docs, settle(docs, targets, block_size, default_weight))
 
 
 def mix(docs: DataFrame, targets: Mapping[str | None, int] | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """``docs``, with their own columns, in scheduled order."""
-    return schedule(docs, targets, block_size).orderBy("__slot", "__place").select(*docs.columns)
+    """``docs``, with their own columns, in scheduled order; the metadata of ``source`` hold the mix, in Parquet too."""
+    settled = settle(docs, targets, block_size)
+    out = _placed(docs, settled).orderBy("slot", "place")
+    noted = {c: docs.schema[c].metadata | ({METADATA: settled} if c == "source" else {}) for c in docs.columns}
+    return out.select(*[F.col(f"c{k}").alias(c, metadata=noted[c]) for k, c in enumerate(docs.columns)])
+
+
+def mixed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows of :func:`mix`, in any order: ``columns``, and the ``slot`` and ``place`` by the mix that they came with; without one these are null."""
+    out = _placed(docs, docs.schema["source"].metadata.get(METADATA, {"block_size": BLOCK_SIZE, "sources": []}))
+    return out.select(*[F.col(f"c{docs.columns.index(c)}").alias(c) for c in columns], "slot", "place")

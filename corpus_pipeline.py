@@ -5,9 +5,11 @@
 3. repeated passages: sentences under a span that came before go; a document
    that loses all its sentences stays as an empty text.
 4. mixing: rows in the order of the schedule that gives sources their weights.
+   The mix (blocks and weight of each source) goes along in the metadata of
+   ``source``, as files don't keep the order of rows.
 5. encoding: ids of every text, with whether they decode to it, and its
-   ``slot`` and ``place`` in the mix, as files don't keep the order of rows;
-   the schedule follows from the rows alone, so it is the same again.
+   ``slot`` and ``place`` in the mix that the fourth stage settled. Rows that
+   were not mixed have neither.
 
 All stages but the last return the columns of ``documents``, and any others
 that their input has, whatever their names. A null text has no language, so the
@@ -23,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from arbora.llm import langid, mixing, nearedup, spans, unigram
 from arbora.llm.arrowtext import checkpointed
@@ -46,8 +47,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = mixing.schedule(docs).select("doc_id", "text", F.col("__slot").alias("slot"), F.col("__place").alias("place"))
-    return unigram.encode(placed, carried=("slot", "place"))
+    return unigram.encode(mixing.mixed(docs, "doc_id", "text"), carried=("slot", "place"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
