@@ -63,6 +63,21 @@ def waveform_histogram(returns: DataFrame, keys: list[str], step: float = STEP,
     return rows.groupBy(*keys, at.alias("bin")).agg(F.sum("__w").alias("energy"), F.first("z_min").alias("z_min"))
 
 
+def disc_histogram(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, step: float, energies: dict[str, Column], x: str = "cx", y: str = "cy") -> DataFrame:
+    """The bins of :func:`waveform_histogram` over the disc around each centre: keys, bin, ``energies``, z_min.
+
+    Each centre first learns its lowest and highest Z, then meets the points
+    again to count them: pairs of a centre and a point are only ever summed where
+    they are met, never shuffled.
+    """
+    own = list(dict.fromkeys([*keys, x, y]))
+    ends = disc_join(centres.select(*own), points.select("X", "Y", "Z"), radius, x, y).groupBy(*own).agg(F.min("Z").alias("z_min"), F.max("Z").alias("__top"))
+    bins = F.greatest(F.ceil((F.col("__top") - F.col("z_min")) / step), F.lit(1))
+    found = disc_join(ends.withColumn("__bins", bins), points.select("X", "Y", "Z", *[c.alias(name) for name, c in energies.items()]), radius, x, y)
+    at = F.least(F.floor((F.col("Z") - F.col("z_min")) / step), F.col("__bins") - 1).cast("int")
+    return found.groupBy(*keys, "z_min", at.alias("bin")).agg(*[F.sum(name).alias(name) for name in energies])
+
+
 def relative_heights(histogram: DataFrame, keys: list[str], levels: list[int], step: float = STEP, ground: str = "z_ground") -> DataFrame:
     """For each level the centre of the first bin where that share of the energy is reached, above ``ground``."""
     w = Window.partitionBy(*keys)
