@@ -35,14 +35,15 @@ def pavd_profile(points: DataFrame, keys: list[str], step: float = STEP, k: floa
     cls = F.col("Classification")
     h = F.when(cls == BARE_GROUND, F.lit(0.0)).otherwise(F.col("HeightAboveGround"))
     used = points.where(cls.isin(BARE_GROUND, *VEGETATION)).select(*keys, (cls == BARE_GROUND).alias("__g"), h.alias("__h")).where("__h is not null and not isnan(__h)")
-    # one shuffle by group serves its totals, its counts by layer and their running sum
+    # returns of one height are one row before anything is shuffled; one shuffle by group then serves its totals, its counts by layer and their running sum
+    heights = used.groupBy(*keys, "__g", "__h").agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*keys)
-    totals = {"n": F.count("*"), "n_ground": F.count_if("__g"), "canopy_height": F.percentile(F.when(~F.col("__g") & (F.col("__h") > 0), F.col("__h")), 0.98)}
-    good = used.repartition(*keys).select("*", *[c.over(group).alias(name) for name, c in totals.items()]).where((F.col("n_ground") >= least_ground) & (F.col("canopy_height") > 0))
+    totals = {"n": F.sum("__n"), "n_ground": F.sum(F.when(F.col("__g"), F.col("__n")).otherwise(0)), "canopy_height": F.percentile(F.when(~F.col("__g") & (F.col("__h") > 0), F.col("__h")), 0.98, F.col("__n"))}
+    good = heights.repartition(*keys).select("*", *[c.over(group).alias(name) for name, c in totals.items()]).where((F.col("n_ground") >= least_ground) & (F.col("canopy_height") > 0))
     # returns by the first edge at or above them; a running sum of the counts is the gap
     edge = F.greatest(F.ceil(F.col("__h") / step), F.lit(0)).cast("int")
     edge = F.when((edge - 1) * step >= F.col("__h"), F.greatest(edge - 1, F.lit(0))).when(edge * step < F.col("__h"), edge + 1).otherwise(edge)
-    counts = good.groupBy(*keys, *totals, edge.alias("layer")).agg(F.count("*").alias("c"))
+    counts = good.groupBy(*keys, *totals, edge.alias("layer")).agg(F.sum("__n").alias("c"))
     layers = F.greatest(F.ceil(F.col("canopy_height") / step), F.lit(1)).cast("int")
     bins = counts.groupBy(*keys, *totals).agg(F.map_from_entries(F.collect_list(F.struct("layer", "c"))).alias("__c"))
     edges = bins.select(*keys, *totals, "__c", F.explode(F.sequence(F.lit(0), layers)).alias("layer"))
