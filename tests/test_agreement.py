@@ -68,3 +68,11 @@ def test_leaf_types(spark):
     assert [r[0] for r in codes.select(fn.leaf_code(F.col("code"))).collect()] == ["broadleaf", "broadleaf", "conifer", "mixed", None, None, None, None]
     shares = spark.createDataFrame([(0.75, 0.25, 0.0), (0.1, 0.6, 0.1), (0.4, 0.4, 0.0), (0.0, 0.0, 0.0)], "b double, c double, m double")
     assert [r[0] for r in shares.select(fn.leaf_type(F.col("b"), F.col("c"), F.col("m"))).collect()] == ["broadleaf", "conifer", "mixed", None]
+
+
+def test_moments_without_spread(spark):
+    pairs = spark.createDataFrame([(39.99, 39.99), (39.99, 39.99), (39.99, 38.0), (None, 1.0)], "a double, b double")
+    r = scoring.moments(pairs, [], "a", "b").first()
+    assert r["n"] == 3 and r["rmse"] > 1 and r["r2"] is None and r["r"] is None
+    r = scoring.moments(pairs, [], "b", "a").first()
+    assert r["r2"] < 0 and r["r"] is None
