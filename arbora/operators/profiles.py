@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.columns import plant_area
-from arbora.operators.joins import disc_join
+from arbora.operators.joins import at_places, disc_join
 from arbora.schema import BARE_GROUND, VEGETATION
 
 STEP = 0.15
@@ -169,12 +169,16 @@ def attenuation_levels(profiles: DataFrame, value: str = "pavd", keys: tuple[str
 
 
 def matched_gaps(shots: DataFrame, points: DataFrame, key: str, heights: list[float], beam_sigma: float, density_cell: float, radius: float) -> DataFrame:
-    """Gap profiles of footprints with the beam and density weights: level, height, first, all_returns."""
+    """Gap profiles of footprints with the beam and density weights: ``key``, level, height, first, all_returns."""
+    return at_places(shots.select(key, "center_x", "center_y"), "center_x", "center_y", lambda places: _matched_gaps(places, points, ["center_x", "center_y"], heights, beam_sigma, density_cell, radius)).drop("center_x", "center_y")
+
+
+def _matched_gaps(shots: DataFrame, points: DataFrame, keys: list[str], heights: list[float], beam_sigma: float, density_cell: float, radius: float) -> DataFrame:
     first = points.where("ReturnNumber = 1").groupBy(F.floor(F.col("X") / density_cell).alias("__dx"), F.floor(F.col("Y") / density_cell).alias("__dy")).agg(F.count("*").alias("__pulses"))
     used = points.withColumn("__dx", F.floor(F.col("X") / density_cell)).withColumn("__dy", F.floor(F.col("Y") / density_cell)).join(first, ["__dx", "__dy"], "left")
     found = disc_join(shots, used, radius, "center_x", "center_y")
     weight = F.when(F.col("__pulses") > 0, F.exp(-F.col("distance2") / (2.0 * beam_sigma**2)) / F.col("__pulses")).otherwise(0.0)
     found = found.withColumn("__beam", weight)
-    a = gap_from_returns(found.where("ReturnNumber = 1"), [key], heights, F.col("__beam")).withColumnRenamed("gap", "first")
-    b = gap_from_returns(found, [key], heights, F.col("__beam") / F.greatest(F.col("NumberOfReturns"), F.lit(1))).withColumnRenamed("gap", "all_returns")
-    return a.join(b.drop("height"), [key, "level"], "full")
+    a = gap_from_returns(found.where("ReturnNumber = 1"), keys, heights, F.col("__beam")).withColumnRenamed("gap", "first")
+    b = gap_from_returns(found, keys, heights, F.col("__beam") / F.greatest(F.col("NumberOfReturns"), F.lit(1))).withColumnRenamed("gap", "all_returns")
+    return a.join(b.drop("height"), [*keys, "level"], "full")
