@@ -8,7 +8,7 @@ from arbora.operators import joins, metrics, profiles, waveform
 from arbora.plans import products
 
 MANY = "/root/testdata/sf0.01"  # 500 shots on 90 places, 100 plots on 100
-QUERIES = ["canopy_cover_wave", "gap_from_waveform", "pavd_profile", "rh_from_histogram", "waveform_histogram", "waveform_weights", "footprint_profiles", "matched_gaps", "disc_join_counts", "gap_from_returns"]
+QUERIES = ["canopy_cover_wave", "gap_from_waveform", "pavd_profile", "rh_from_histogram", "waveform_histogram", "waveform_weights", "footprint_profiles", "matched_gaps", "disc_join_counts", "gap_from_returns", "waveform_beam_energy"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
