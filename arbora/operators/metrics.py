@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.functions.lineage import written
 from arbora.grid import Grid
 from arbora.operators.filters import finite
 from arbora.operators.discs import Values, celled, disc_cells, disc_parts, disc_percentiles, disc_sums
@@ -96,12 +97,13 @@ def cell_metrics(points: DataFrame, grid: Grid, wanted: tuple[str, ...] = METRIC
 def disc_metrics(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, wanted: tuple[str, ...] = METRICS, min_density: float = 0.0, x: str = "cx", y: str = "cy", parts: int | None = None) -> DataFrame:
     """Metrics over the disc around each centre; centres without enough points stay, with nulls.
 
-    The same values as :func:`structure` of all pairs. Where points are dense they
+    The same values as :func:`structure` of all pairs; a place that several
+    centres share is worked out once. Where points are dense they
     come from cells that the discs share, ``parts`` of them on a radius: 0 for
     pairs alone, by default as :func:`disc_parts` says.
     """
-    out = _disc_structure(centres, points, keys, radius, wanted, min_density, x, y, parts)
-    return centres.select(*keys).join(out.drop("n_points"), keys, "left")
+    out = _disc_structure(centres.select(x, y).distinct(), points, [x, y], radius, wanted, min_density, x, y, parts)
+    return centres.select(*dict.fromkeys([*keys, x, y])).join(out, [x, y], "left").select(*keys, *wanted)
 
 
 def _disc_structure(centres: DataFrame, points: DataFrame, keys: list[str], radius: float, wanted: tuple[str, ...], min_density: float, x: str, y: str, parts: int | None) -> DataFrame:
@@ -115,7 +117,7 @@ def _disc_structure(centres: DataFrame, points: DataFrame, keys: list[str], radi
     banded = bool(asked) or bool({"fhd", "vci"} & set(wanted))
     parts = disc_parts(need, radius, BAND_ROWS if banded else SUM_ROWS) if parts is None else parts
     if parts == 0:
-        found = disc_join(centres.select(*keys, x, y), need, radius, x, y)
+        found = disc_join(centres.select(*dict.fromkeys([*keys, x, y])), need, radius, x, y)
         return structure(found, keys, math.pi * radius**2, wanted, min_density, (F.count("*").alias("n_points"),))
     need = celled(need, radius, parts)
     veg, first, height = F.col("__veg"), F.col("__first"), F.when(F.col("__veg"), h)
@@ -137,6 +139,7 @@ def _disc_structure(centres: DataFrame, points: DataFrame, keys: list[str], radi
         values["__n_band"] = (one(veg & (h <= BAND_LIMIT)), "sum")
     strata = [name for name in STRATA if name in wanted]
     values |= {f"__{name}": (one(veg & (h > STRATA[name][0]) & (h <= STRATA[name][1])), "sum") for name in strata}
+    marked = written(marked)  # whole cells, rims and percentiles read it
     cells = disc_cells(centres, keys, radius, parts, x, y)
     sums = disc_sums(cells, marked, keys, radius, values, ("__band",) if banded else ())
     out = sums
@@ -164,8 +167,8 @@ def _disc_structure(centres: DataFrame, points: DataFrame, keys: list[str], radi
 
 def plot_metrics(plots: DataFrame, points: DataFrame, key: str, radius: float, wanted: tuple[str, ...] = METRICS, x: str = "px", y: str = "py", parts: int | None = None) -> DataFrame:
     """Metrics of each plot, and ``n_points``; plots without points stay."""
-    out = _disc_structure(plots, points, [key], radius, wanted, 0.0, x, y, parts)
-    return plots.select(key).join(out, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+    out = _disc_structure(plots.select(x, y).distinct(), points, [x, y], radius, wanted, 0.0, x, y, parts)
+    return plots.select(key, x, y).join(out, [x, y], "left").select(key, *wanted, F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 def gap_sums() -> tuple[Column, ...]:

@@ -34,3 +34,27 @@ def test_histogram_of_discs_is_that_of_their_pairs(spark):
     found = profiles.disc_histogram(centres, points, ["id"], 3.0, 0.5, {"energy": F.col("X")})
     tidy = lambda df: sorted((r["id"], r["bin"], round(r["energy"], 9), r["z_min"]) for r in df.collect())
     assert tidy(found) == tidy(pairs) and len(tidy(found)) > 50
+
+
+def _plots(spark):
+    points = spark.createDataFrame([(k % 20 * 1.0, k // 20 * 1.0, 100.0 + (k % 3 == 0) * (k % 11), 2 if k % 3 else 5, 1, float(k % 11)) for k in range(400)], "X double, Y double, Z double, Classification int, ReturnNumber int, HeightAboveGround double")
+    return points, spark.createDataFrame([(k, 9.5, 9.5) for k in range(5)] + [(9, None, 1.0), (10, 500.0, 500.0)], "plot int, px double, py double")
+
+
+def _watch(monkeypatch, module) -> list[int]:
+    met, plain = [], joins.disc_join
+
+    def watched(centres, *args, **how):
+        met.append(centres.where("px is not null").count())
+        return plain(centres, *args, **how)
+
+    monkeypatch.setattr(module, "disc_join", watched)
+    return met
+
+
+def test_plots_on_one_place_are_worked_out_once(spark, monkeypatch):
+    points, plots = _plots(spark)
+    met = _watch(monkeypatch, metrics)
+    rows = {r["plot"]: r for r in metrics.plot_metrics(plots, points, "plot", 4.0, ("h95", "cc"), parts=0).collect()}
+    assert met == [2] and set(rows) == {0, 1, 2, 3, 4, 9, 10}
+    assert len({tuple(rows[k])[1:] for k in range(5)}) == 1 and rows[0]["n_points"] > 40 and rows[9]["n_points"] == rows[10]["n_points"] == 0
