@@ -95,31 +95,34 @@ def compute_metrics(points: DataFrame, grid: Grid, year: int, wanted: tuple[str,
     return metrics.disc_metrics(centres, heights, ["row", "col"], radius, wanted, min_density)
 
 
-def plot_heights(plots: DataFrame, points: DataFrame, key: str, radius: float, margin: float = 20.0, x: str = "px", y: str = "py", outliers: bool = True, max_distance: float | None = None, extrapolate: bool = True) -> DataFrame:
+def plot_heights(plots: DataFrame, points: DataFrame, key: str | list[str], radius: float, margin: float = 20.0, x: str = "px", y: str = "py", outliers: bool = True, max_distance: float | None = None, extrapolate: bool = True) -> DataFrame:
     """The points within ``radius`` of each plot, with heights above the plot's own terrain.
 
     The terrain is triangulated from the ground within ``radius + margin`` along
-    both axes, cleaned as for a tile of ``compute_metrics``.
+    both axes, cleaned as for a tile of ``compute_metrics``. ``key`` is one column
+    or several; plots on one place cost less as one, by their ``x`` and ``y``.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     p = filters.clean(points)
     if outliers:
         p = filters.clean(filters.drop_ground_outliers(p))
-    centres, reach = plots.select(key, x, y), radius + margin
+    centres, reach = plots.select(*dict.fromkeys([*keys, x, y])), radius + margin
     around = disc_join(centres, filters.merged_ground(p).select("X", "Y", "Z"), reach * 2**0.5, x, y)
-    base = written(around.where((F.abs(F.col("X") - F.col(x)) <= reach) & (F.abs(F.col("Y") - F.col(y)) <= reach)).select(key, "X", "Y", "Z"))
+    base = written(around.where((F.abs(F.col("X") - F.col(x)) <= reach) & (F.abs(F.col("Y") - F.col(y)) <= reach)).select(*keys, "X", "Y", "Z"))
     inside = written(disc_join(centres, p.drop("HeightAboveGround"), radius, x, y))
-    places = inside.select(key, "X", "Y").distinct().withColumn("id", F.struct("X", "Y"))
-    found = terrain.evaluate(places, base, [key], max_distance, extrapolate).select(key, "X", "Y", F.col("ground").alias("__g"))
+    places = inside.select(*keys, "X", "Y").distinct().withColumn("id", F.struct("X", "Y"))
+    found = terrain.evaluate(places, base, keys, max_distance, extrapolate).select(*keys, "X", "Y", F.col("ground").alias("__g"))
     height = F.col("Z") - F.col("__g")
-    return inside.join(found, [key, "X", "Y"], "left").withColumn("HeightAboveGround", F.when(height.isNotNull(), F.greatest(height, F.lit(0.0)))).drop("__g")
+    return inside.join(found, [*keys, "X", "Y"], "left").withColumn("HeightAboveGround", F.when(height.isNotNull(), F.greatest(height, F.lit(0.0)))).drop("__g")
 
 
 def compute_plot_metrics(plots: DataFrame, points: DataFrame, key: str, radius: float, wanted: tuple[str, ...] = metrics.METRICS, x: str = "px", y: str = "py", **how) -> DataFrame:
     """The wanted metrics of each plot from raw points, and ``n_points``; plots without points or ground stay, with nulls."""
-    heights = written(plot_heights(plots, points, key, radius, x=x, y=y, **how).withColumn("__h", F.col("HeightAboveGround").isNotNull()))
-    out = metrics.structure(heights.where("__h"), [key], math.pi * radius**2, wanted)
-    counts = heights.where("__h").groupBy(key).agg(F.count("*").alias("n_points"))
-    return plots.select(key).join(out, key, "left").join(counts, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+    place = [x, y]
+    heights = written(plot_heights(plots.select(*place).distinct(), points, place, radius, x=x, y=y, **how).withColumn("__h", F.col("HeightAboveGround").isNotNull()))
+    out = metrics.structure(heights.where("__h"), place, math.pi * radius**2, wanted)
+    counts = heights.where("__h").groupBy(*place).agg(F.count("*").alias("n_points"))
+    return plots.select(key, *place).join(out, place, "left").join(counts, place, "left").select(key, *wanted, F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 def compute_gap_fraction(points: DataFrame, grid: Grid, year: int, k: float = 0.5, clumping: float = 1.0, min_density: float = 0.0) -> DataFrame:

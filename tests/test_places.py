@@ -58,3 +58,11 @@ def test_plots_on_one_place_are_worked_out_once(spark, monkeypatch):
     rows = {r["plot"]: r for r in metrics.plot_metrics(plots, points, "plot", 4.0, ("h95", "cc"), parts=0).collect()}
     assert met == [2] and set(rows) == {0, 1, 2, 3, 4, 9, 10}
     assert len({tuple(rows[k])[1:] for k in range(5)}) == 1 and rows[0]["n_points"] > 40 and rows[9]["n_points"] == rows[10]["n_points"] == 0
+
+
+def test_terrain_of_plots_on_one_place_is_made_once(spark, monkeypatch):
+    points, plots = _plots(spark)
+    met = _watch(monkeypatch, products)
+    rows = {r["plot"]: r for r in products.compute_plot_metrics(plots, points, "plot", 4.0, ("h95", "cc")).collect()}
+    assert met == [2, 2] and set(rows) == {0, 1, 2, 3, 4, 9, 10}
+    assert len({tuple(rows[k])[1:] for k in range(5)}) == 1 and rows[0]["n_points"] > 40 and rows[10]["n_points"] == 0
