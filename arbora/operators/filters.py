@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.operators.joins import disc_join
+from arbora.functions.lineage import written
 from arbora.schema import GROUND, NOISE, VEGETATION
 
 
@@ -61,12 +61,29 @@ def drop_ground_outliers(points: DataFrame, cell: float = 10.0, gap: float = 1.0
 
 
 def radius_outliers(points: DataFrame, key: str, radius: float = 1.0, least: int = 2) -> DataFrame:
-    """``key`` of the points with fewer than ``least`` other points within ``radius`` in 3-D."""
-    centre = points.select(F.col(key).alias("__key"), F.col("X").alias("cx"), F.col("Y").alias("cy"), F.col("Z").alias("cz"))
-    near = disc_join(centre, points.select(F.col(key).alias("__other"), "X", "Y", "Z"), radius)
-    close = near.where((F.col("__key") != F.col("__other")) & (F.pow(F.col("Z") - F.col("cz"), 2) + F.col("distance2") <= radius * radius))
-    enough = close.groupBy("__key").count().where(F.col("count") >= least).select("__key")
-    return centre.select("__key").join(enough, "__key", "left_anti").withColumnRenamed("__key", key)
+    """``key``, which names a point, of those with fewer than ``least`` other points within ``radius`` in 3-D.
+
+    In a cube half a radius wide all points are neighbours, so those of a cube
+    with more than ``least`` are settled by its count. The others meet the points
+    of the cubes around theirs, and only who is still left those of a radius.
+    """
+    known = finite("X") & finite("Y") & finite("Z")
+    keys = ["__kX", "__kY", "__kZ"]
+    cube = lambda side: [F.when(known, F.floor(F.col(c) / side)).alias(k) for c, k in zip("XYZ", keys, strict=True)]
+    own = written(points.select(F.col(key).alias("__key"), "X", "Y", "Z"))
+    placed = own.select("*", *cube(radius / 2))
+    crowded = placed.where("__kX is not null").groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > least)
+    few = written(placed.join(crowded, keys, "left_anti").select(*own.columns))
+    d2 = F.pow(F.col("X") - F.col("cx"), 2) + F.pow(F.col("Y") - F.col("cy"), 2)
+    for side in (radius / 2, radius):
+        spread = few.select("__key", *[F.col(c).alias(f"c{c.lower()}") for c in "XYZ"], *cube(side))
+        for c in keys:
+            spread = spread.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+        near = spread.join(own.withColumnRenamed("__key", "__other").select("*", *cube(side)), keys)
+        close = near.where((F.col("__key") != F.col("__other")) & (F.pow(F.col("Z") - F.col("cz"), 2) + d2 <= radius * radius))
+        enough = close.groupBy("__key").count().where(F.col("count") >= least).select("__key")
+        few = written(few.join(enough, "__key", "left_anti"))
+    return few.select(F.col("__key").alias(key))
 
 
 def best_per_cell(points: DataFrame, cell: float, order: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
