@@ -66,3 +66,13 @@ def test_ground_by_triangulation_has_no_spikes():
     z = z - 2.5 * low  # low outliers are seeds, as the lowest of their cells
     found = ground.ptd()(x, y, z)
     assert not found[low].any() and found[~low].mean() > 0.9
+
+
+def test_ground_is_triangulated_as_it_grows(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = np.round(rng.uniform(0, 30, (2, 1500)), 2)
+    z = x / 16 + np.where(rng.random(1500) < 0.4, 0, np.round(rng.uniform(0, 20, 1500), 2))
+    added, plain = [], ground.Mesh.insert
+    monkeypatch.setattr(ground.Mesh, "insert", lambda *a: added.append(a[1]) or plain(*a))
+    found = ground.ptd()(x, y, z)
+    assert found.any() and len(added) <= 2 * found.sum() + 100  # each once, and once more for the last test
